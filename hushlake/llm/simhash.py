@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,11 +38,12 @@ def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
 def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
     """(doc_id, fp long): one row per document, null text like an empty one."""
 
-    def run(frames):
-        for f in frames:
-            yield pd.DataFrame({"doc_id": f["doc_id"], "fp": np.array([fingerprint(t, words, seed) for t in f["text"]], dtype=np.int64)})
+    def run(batches):
+        for b in batches:
+            fp = np.array([fingerprint(t, words, seed) for t in b["text"].to_pylist()], dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(fp)], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
 
 
 def _index(fps: DataFrame) -> DataFrame:
