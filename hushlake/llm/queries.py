@@ -14,5 +14,18 @@ def op9_simhash(spark, sf_dir):
     return d.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op9_simhash": op9_simhash}
+def op7_best_fit(spark, sf_dir):
+    from .packing import pack_documents, vocabulary
+
+    return pack_documents(table(spark, sf_dir, "documents"), vocabulary())
+
+
+def op1_mix(spark, sf_dir):
+    from .mixing import n_words, taken
+
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", n_words(F.col("text")).alias("size"))
+    return taken(d).select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
+QUERIES = {"op1_mix": op1_mix, "op7_best_fit": op7_best_fit, "op9_simhash": op9_simhash}
 ORACLES: dict[str, str] = {}
