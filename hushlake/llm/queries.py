@@ -27,5 +27,11 @@ def op1_mix(spark, sf_dir):
     return taken(d).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
-QUERIES = {"op1_mix": op1_mix, "op7_best_fit": op7_best_fit, "op9_simhash": op9_simhash}
+def op2_language(spark, sf_dir):
+    from .langid import language
+
+    return language(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+
+
+QUERIES = {"op1_mix": op1_mix, "op2_language": op2_language, "op7_best_fit": op7_best_fit, "op9_simhash": op9_simhash}
 ORACLES: dict[str, str] = {}
