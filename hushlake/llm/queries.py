@@ -33,5 +33,11 @@ def op2_language(spark, sf_dir):
     return language(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
 
 
-QUERIES = {"op1_mix": op1_mix, "op2_language": op2_language, "op7_best_fit": op7_best_fit, "op9_simhash": op9_simhash}
+def op5_lines(spark, sf_dir):
+    from .lines import line_report
+
+    return line_report(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_mix": op1_mix, "op2_language": op2_language, "op5_lines": op5_lines, "op7_best_fit": op7_best_fit, "op9_simhash": op9_simhash}
 ORACLES: dict[str, str] = {}
