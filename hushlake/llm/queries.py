@@ -39,5 +39,17 @@ def op5_lines(spark, sf_dir):
     return line_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_mix": op1_mix, "op2_language": op2_language, "op5_lines": op5_lines, "op7_best_fit": op7_best_fit, "op9_simhash": op9_simhash}
+def op3_tiles(spark, sf_dir):
+    from .neardup_vec import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op10_ann(spark, sf_dir):
+    from .ann import search
+
+    return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+QUERIES = {"op1_mix": op1_mix, "op2_language": op2_language, "op3_tiles": op3_tiles, "op5_lines": op5_lines, "op7_best_fit": op7_best_fit, "op9_simhash": op9_simhash, "op10_ann": op10_ann}
 ORACLES: dict[str, str] = {}
