@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from . import chat, licences
 from .common import table
 
 
@@ -51,5 +52,27 @@ def op10_ann(spark, sf_dir):
     return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
-QUERIES = {"op1_mix": op1_mix, "op2_language": op2_language, "op3_tiles": op3_tiles, "op5_lines": op5_lines, "op7_best_fit": op7_best_fit, "op9_simhash": op9_simhash, "op10_ann": op10_ann}
-ORACLES: dict[str, str] = {}
+def op4_rotation(spark, sf_dir):
+    from .chat import rotate
+
+    return rotate(table(spark, sf_dir, "conversations"))
+
+
+def op6_licences(spark, sf_dir):
+    from .licences import known, scan
+
+    return scan(table(spark, sf_dir, "documents"), known(spark))
+
+
+QUERIES = {
+    "op1_mix": op1_mix,
+    "op2_language": op2_language,
+    "op3_tiles": op3_tiles,
+    "op4_rotation": op4_rotation,
+    "op5_lines": op5_lines,
+    "op6_licences": op6_licences,
+    "op7_best_fit": op7_best_fit,
+    "op9_simhash": op9_simhash,
+    "op10_ann": op10_ann,
+}
+ORACLES: dict[str, str] = {"op4_rotation": chat.SQL, "op6_licences": licences.sql()}
