@@ -26,23 +26,24 @@ def _words(line: Column) -> Column:
 
 
 def _rarity(docs: DataFrame) -> Column:
-    """An array literal of COUNTERS levels, shifted to a long's top byte: how often words of a hash occur in all documents, in quarters of a binary logarithm.
+    """A literal of COUNTERS bytes, levels from 1 to 127: how often words of a hash occur in all documents, in quarters of a binary logarithm.
 
     Its size is fixed, whatever the documents.
     """
     each = docs.select(F.explode(F.split(F.lower("text"), "[ \n\t\x0b\x0c\r]+")).alias("w"))
     n = each.groupBy(F.xxhash64("w").bitwiseAND(F.lit(COUNTERS - 1)).cast("int").alias("i")).count()
-    level = F.least(F.floor(F.log2(F.col("count").cast("double")) * 4), F.lit(127)).cast("int")
-    got = ["0"] * COUNTERS
+    level = F.least(F.floor(F.log2(F.col("count").cast("double")) * 4) + 1, F.lit(127)).cast("int")
+    got = bytearray(b"\x01" * COUNTERS)
     for r in n.select("i", level.alias("level")).collect():  # at most COUNTERS rows
-        got[r["i"]] = str(r["level"] << 56)
-    return F.split(F.lit(",".join(got)), ",").cast("array<bigint>")
+        got[r["i"]] = r["level"]
+    return F.lit(got)
 
 
 def _tokens(line: Column, rarity: Column) -> Column:
     """The distinct words of a line as longs, rare ones first: the level of the word's counter, then 56 bits of its hash."""
     h = F.array_remove(F.array_distinct(F.transform(F.split(line, SPACE), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
-    return F.sort_array(F.transform(h, lambda x: F.get(rarity, x.bitwiseAND(F.lit(COUNTERS - 1)).cast("int")).bitwiseOR(F.shiftrightunsigned(x, 8))))
+    level = lambda x: F.ascii(F.substr(rarity, x.bitwiseAND(F.lit(COUNTERS - 1)).cast("int") + 1, F.lit(1)).cast("string"))
+    return F.sort_array(F.transform(h, lambda x: F.shiftleft(level(x).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(x, 8))))
 
 
 def _prefix(n: Column) -> Column:

@@ -138,3 +138,17 @@ def taken(sizes: DataFrame, weights: tuple = (5, 2, 1), most: int = 3, seed: int
     took = took.union(none).groupBy("doc_id", "copy", "size", "source").agg(F.sum("length").alias("taken"))
     plan = docs.select("source", "source_size", "target").distinct().withColumnRenamed("source", "name")
     return took.join(plan, took["source"].eqNullSafe(plan["name"])).select("doc_id", "size", "source", "source_size", "target", "taken")
+
+
+def repeat(docs: DataFrame, weights: tuple = (5, 2, 1), most: int = 3, seed: int = 42) -> DataFrame:
+    """``docs`` as the mix takes them: each whole document as often as its words taken come nearest to, 0 to ``most`` times.
+
+    Blocks cut documents at their ends, so a document taken in part is rounded. Rows equal in doc_id,
+    source and size share what they take evenly.
+    """
+    size = n_words(F.col("text"))
+    took = taken(docs.select("doc_id", "source", size.alias("size")), weights, most, seed)
+    took = took.groupBy(F.col("doc_id").alias("id_"), F.col("source").alias("source_"), F.col("size").alias("size_")).agg(F.round(F.sum("taken") / (F.count("*") * F.greatest(F.first("size"), F.lit(1)))).cast("int").alias("times_"))
+    same = docs["doc_id"].eqNullSafe(F.col("id_")) & docs["source"].eqNullSafe(F.col("source_")) & (size == F.col("size_"))
+    out = docs.join(took.where("times_ > 0"), same)
+    return out.withColumn("nth_", F.explode(F.sequence(F.lit(1), F.col("times_")))).select(*docs.columns)

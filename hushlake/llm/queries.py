@@ -64,6 +64,12 @@ def op6_licences(spark, sf_dir):
     return scan(table(spark, sf_dir, "documents"), known(spark))
 
 
+def op8_pages(spark, sf_dir):
+    from .html_extract import main_text
+
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_mix": op1_mix,
     "op2_language": op2_language,
@@ -72,6 +78,7 @@ QUERIES = {
     "op5_lines": op5_lines,
     "op6_licences": op6_licences,
     "op7_best_fit": op7_best_fit,
+    "op8_pages": op8_pages,
     "op9_simhash": op9_simhash,
     "op10_ann": op10_ann,
 }
