@@ -14,10 +14,10 @@ _LAST = (1 << 63) - 1
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(doc, doc_id, th, line_no, line, h) of the lines that aren't blank, in lower case: doc is doc_id with null last, th tells rows of one doc_id apart."""
+    """(doc, null_id, th, line_no, line, h) of the lines that aren't blank, in lower case: doc is doc_id with null last, th tells rows of one doc_id apart."""
     each = docs.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split(F.lower("text"), "\n")).alias("line_no", "line"))
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))
-    return each.where(F.col("line").rlike("[^ \t\x0b\x0c\r]")).select(doc.alias("doc"), "doc_id", "th", "line_no", "line", F.xxhash64("line").alias("h"))
+    return each.where(F.col("line").rlike("[^ \t\x0b\x0c\r]")).select(doc.alias("doc"), F.col("doc_id").isNull().alias("null_id"), "th", "line_no", "line", F.xxhash64("line").alias("h"))
 
 
 def _words(line: Column) -> Column:
@@ -62,15 +62,16 @@ def _apart(px: Column, py: Column, nx: Column, ny: Column) -> Column:
 
 
 def _entries(lines: DataFrame, rarity: Column, first: Column, *more: str) -> DataFrame:
-    """(tok, h, doc, n, pos, parity, ...): a row for each of the ``first`` rarest words of each line."""
+    """(tok, h, doc, n, ..., parity, pos): a row for each of the ``first`` rarest words of each line."""
     parity = F.aggregate("k", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
-    e = lines.select("h", "doc", *more, _tokens(F.col("line"), rarity).alias("k")).withColumn("n", F.size("k"))
-    return e.select("h", "doc", "n", *more, parity.alias("parity"), F.posexplode(F.slice("k", 1, first)).alias("pos", "tok"))
+    e = lines.select("h", "doc", *more, _tokens(F.col("line"), rarity).alias("k")).withColumn("n", F.coalesce(F.size("k"), F.lit(0)))
+    e = e.select("h", "doc", "n", *more, F.coalesce(parity, F.lit(0)).alias("parity"), F.posexplode(F.slice("k", 1, first)).alias("pos", "k"))
+    return e.select(F.coalesce(F.hash("k"), F.lit(0)).alias("tok"), "h", "doc", "n", *more, "parity", "pos")
 
 
 def _similar(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     """The x of the candidate pairs (x, y) that are later than y and have a Jaccard similarity of 4/5 or more, on the words themselves."""
-    side = lambda c: lines.select(F.col("h").alias(c), F.struct("doc", "th", "line_no").alias(f"at_{c}"), F.col("line").alias(f"line_{c}"))
+    side = lambda c: lines.select(F.col("h").alias(c), F.struct("doc", "null_id", "th", "line_no").alias(f"at_{c}"), F.col("line").alias(f"line_{c}"))
     both = pairs.join(side("x"), "x").join(side("y"), "y").where("at_x > at_y")
     a, b = _words(F.col("line_x")), _words(F.col("line_y"))
     return both.where(F.size(F.array_intersect(a, b)) * 9 >= (F.size(a) + F.size(b)) * 4).select(F.col("x").alias("h")).distinct()
@@ -87,7 +88,9 @@ def kept_lines(docs: DataFrame) -> DataFrame:
     meets all earlier lines by the prefix, length and positional filters.
     """
     rarity = _rarity(docs)
-    seen = _lines(docs).groupBy("h").agg(F.min(F.struct("doc", "th", "line_no", "line", "doc_id")).alias("f")).select("h", "f.*")
+    seen = _lines(docs).groupBy("h").agg(F.min(F.struct("doc", "null_id", "th", "line_no", "line")).alias("f"))
+    # columns that may be null would be tested for it below the tokens, which would then be made once for each test
+    seen = seen.select("h", *[F.coalesce(F.col("f")[c], F.lit(z)).alias(c) for c, z in (("doc", 0), ("null_id", False), ("th", 0), ("line_no", 0), ("line", ""))])
 
     e = _entries(seen, rarity, F.lit(ANCHORS))
     run = Window.partitionBy("tok").orderBy("doc", "h").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -95,8 +98,9 @@ def kept_lines(docs: DataFrame) -> DataFrame:
     e = e.where((F.col("a.h") != F.col("h")) & (F.least("n", "a.n") * 5 >= F.greatest("n", "a.n") * 4) & ~_apart(F.col("parity"), F.col("a.parity"), F.col("n"), F.col("a.n")))
     early = _similar(e.select(F.col("h").alias("x"), F.col("a.h").alias("y")).distinct(), seen)
 
+    # the hash of a word's key is what entries meet by; hashes that coincide make candidates, never links
     known = seen.join(early.select("h", F.lit(1).alias("gone")), "h", "left").withColumn("gone", F.coalesce("gone", F.lit(0)))
-    e = _entries(known, rarity, _prefix(F.col("n")), "gone").select("tok", "h", "doc", "n", "pos", "parity", "gone")
+    e = _entries(known, rarity, _prefix(F.col("n")), "gone")
     y = e.select("tok", *[F.col(c).alias(f"y_{c}") for c in e.columns if c != "tok"])
     x, c = e, F.col
     # lines that are gone stay as partners; the test for it names both sides, so that one shuffle serves both
@@ -104,7 +108,7 @@ def kept_lines(docs: DataFrame) -> DataFrame:
     meets &= _near(c("n"), c("y_n"), c("pos"), c("y_pos")) & ~_apart(c("parity"), c("y_parity"), c("n"), c("y_n"))
     late = _similar(x.join(y, meets).select(c("h").alias("x"), c("y_h").alias("y")).distinct(), seen)
 
-    return known.where("gone = 0").join(late, "h", "left_anti").select("doc_id", "th", "line_no")
+    return known.where("gone = 0").join(late, "h", "left_anti").select(F.when(~F.col("null_id"), F.col("doc")).alias("doc_id"), "th", "line_no")
 
 
 def line_report(docs: DataFrame) -> DataFrame:
