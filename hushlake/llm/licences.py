@@ -63,14 +63,37 @@ KNOWN = [
 ]
 
 
-def canonical(text: Column) -> Column:
-    """A text without case, copyright lines, punctuation and extra white space, in one spelling."""
-    plain = F.regexp_replace(F.lower(text), COPYRIGHT, " ")
+#: Known words up to which lines are looked through for them first.
+GATE = 200
+#: Parts of the patterns above: a text without any of them is as it was.
+SPELLING_SIGNS = ["licen", "non-commercial", "copyright-holder", "merchantibility", "whilst", "wilful", "fulfil ", "organisation", "authorisation", "favour", "labour", "judgement", "acknowledgement", "https://"]
+COPYRIGHT_SIGNS = ["copyright", "(c)", "©", "all rights reserved"]
+
+
+def _any(text: Column, signs: list[str]) -> Column:
+    out = F.lit(False)
+    for s in signs:
+        out = out | F.contains(text, F.lit(s))
+    return out
+
+
+def _spelt(text: Column) -> Column:
+    """A text in lower case and one spelling, without copyright lines. Plain searches spare most texts the patterns."""
+    low = F.lower(text)
+    plain = F.when(_any(low, COPYRIGHT_SIGNS), F.regexp_replace(low, COPYRIGHT, " ")).otherwise(low)
     spelt = plain
     for pattern, by in SPELLINGS:
         spelt = F.regexp_replace(spelt, pattern, by)
-    odd = plain.rlike("|".join(pattern for pattern, _ in SPELLINGS))  # one pass spares most texts the others
-    return F.trim(F.regexp_replace(F.when(odd, spelt).otherwise(plain), "[^a-z0-9]+", " "))
+    return F.when(_any(plain, SPELLING_SIGNS), spelt).otherwise(plain)
+
+
+def _words(spelt: Column) -> Column:
+    return F.trim(F.regexp_replace(spelt, "[^a-z0-9]+", " "))
+
+
+def canonical(text: Column) -> Column:
+    """A text without case, copyright lines, punctuation and extra white space, in one spelling."""
+    return _words(_spelt(text))
 
 
 def digest(text: Column) -> Column:
@@ -80,22 +103,28 @@ def digest(text: Column) -> Column:
 
 
 def known(spark: SparkSession, texts: list[tuple[str, str]] | None = None) -> DataFrame:
-    """(digest, licence) of the known texts; of texts with one canonical form the first licence by name."""
-    rows = spark.createDataFrame(texts or KNOWN, "licence string, text string")
-    return rows.select(digest(F.col("text")).alias("digest"), "licence").groupBy("digest").agg(F.min("licence").alias("licence")).where("digest is not null")
+    """(digest, licence, word) of the known texts; of texts with one canonical form the first licence by name. word is the longest of a text."""
+    rows = spark.createDataFrame(texts or KNOWN, "licence string, text string").withColumn("c", canonical(F.col("text"))).where("c <> ''")
+    word = F.array_max(F.transform(F.split("c", " "), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    return rows.groupBy(F.sha2(F.col("c").cast("binary"), 256).alias("digest")).agg(F.min("licence").alias("licence"), F.min(word).alias("word"))
 
 
 def scan(docs: DataFrame, licences: DataFrame) -> DataFrame:
     """(doc_id, digest, licence, line_licences): for each document the licence that its whole text is, null if none, and those of its lines, sorted.
 
-    ``licences`` has one row per digest. The table is small (its texts are given to the program), but
-    nothing here depends on that. Null and empty texts match nothing. Documents of one digest stay
-    apart, so copies of a licence are one row each.
+    ``licences`` has one row per digest, as ``known`` gives it. A line equal to a known text holds that
+    text's longest word; other lines need no digest. Null and empty texts match nothing. Documents of
+    one digest stay apart, so copies of a licence are one row each.
     """
-    whole = docs.select("doc_id", F.xxhash64("text").alias("own"), digest(F.col("text")).alias("digest"))
-    whole = whole.join(licences, "digest", "left")
-    lines = docs.select("doc_id", F.xxhash64("text").alias("own"), F.explode(F.split("text", "\n")).alias("line"))
-    found = lines.select("doc_id", "own", digest(F.col("line")).alias("digest")).join(licences, "digest").groupBy("doc_id", "own").agg(F.sort_array(F.collect_set("licence")).alias("line_licences"))
+    table = licences.select("digest", "licence")
+    whole = docs.select("doc_id", F.xxhash64("text").alias("own"), digest(F.col("text")).alias("digest")).join(table, "digest", "left")
+    signs = [r["word"] for r in licences.select("word").distinct().limit(GATE + 1).collect()]
+    if len(signs) <= GATE:
+        lines = docs.where(_any(_spelt(F.col("text")), signs)).select("doc_id", F.xxhash64("text").alias("own"), F.explode(F.split("text", "\n")).alias("line"))
+        lines = lines.where(_any(_spelt(F.col("line")), signs))
+    else:
+        lines = docs.select("doc_id", F.xxhash64("text").alias("own"), F.explode(F.split("text", "\n")).alias("line"))
+    found = lines.select("doc_id", "own", digest(F.col("line")).alias("digest")).join(table, "digest").groupBy("doc_id", "own").agg(F.sort_array(F.collect_set("licence")).alias("line_licences"))
     found = found.withColumnsRenamed({"doc_id": "id", "own": "o"})
     out = whole.join(found, whole["doc_id"].eqNullSafe(found["id"]) & (whole["own"] == found["o"]), "left")
     return out.select("doc_id", "digest", "licence", F.coalesce("line_licences", F.array().cast("array<string>")).alias("line_licences"))
