@@ -77,54 +77,48 @@ def _any(text: Column, signs: list[str]) -> Column:
     return out
 
 
-def _spelt(text: Column) -> Column:
-    """A text in lower case and one spelling, without copyright lines. Plain searches spare most texts the patterns."""
-    low = F.lower(text)
-    plain = F.when(_any(low, COPYRIGHT_SIGNS), F.regexp_replace(low, COPYRIGHT, " ")).otherwise(low)
-    spelt = plain
+def canonical(rows: DataFrame, text: str) -> DataFrame:
+    """``rows`` with canonical_: a text without case, copyright lines, punctuation and extra white space, in one spelling.
+
+    Plain searches spare most texts the patterns. Each step is a column of its own, so none is worked out twice.
+    """
+    rows = rows.withColumn("low_", F.lower(text))
+    rows = rows.withColumn("plain_", F.when(_any(F.col("low_"), COPYRIGHT_SIGNS), F.regexp_replace("low_", COPYRIGHT, " ")).otherwise(F.col("low_")))
+    spelt = F.col("plain_")
     for pattern, by in SPELLINGS:
         spelt = F.regexp_replace(spelt, pattern, by)
-    return F.when(_any(plain, SPELLING_SIGNS), spelt).otherwise(plain)
-
-
-def _words(spelt: Column) -> Column:
-    return F.trim(F.regexp_replace(spelt, "[^a-z0-9]+", " "))
-
-
-def canonical(text: Column) -> Column:
-    """A text without case, copyright lines, punctuation and extra white space, in one spelling."""
-    return _words(_spelt(text))
+    rows = rows.withColumn("spelt_", F.when(_any(F.col("plain_"), SPELLING_SIGNS), spelt).otherwise(F.col("plain_")))
+    return rows.withColumn("canonical_", F.trim(F.regexp_replace("spelt_", "[^a-z0-9]+", " "))).drop("low_", "plain_", "spelt_")
 
 
-def digest(text: Column) -> Column:
-    """SHA-256 of the canonical form; null if that is empty or the text null."""
-    c = canonical(text)
-    return F.when(c != "", F.sha2(c.cast("binary"), 256))
+def digest(rows: DataFrame, text: str) -> DataFrame:
+    """``rows`` with digest: SHA-256 of the canonical form; null if that is empty or the text null."""
+    c = F.col("canonical_")
+    return canonical(rows, text).withColumn("digest", F.when(c != "", F.sha2(c.cast("binary"), 256)))
 
 
 def known(spark: SparkSession, texts: list[tuple[str, str]] | None = None) -> DataFrame:
     """(digest, licence, word) of the known texts; of texts with one canonical form the first licence by name. word is the longest of a text."""
-    rows = spark.createDataFrame(texts or KNOWN, "licence string, text string").withColumn("c", canonical(F.col("text"))).where("c <> ''")
+    rows = digest(spark.createDataFrame(texts or KNOWN, "licence string, text string"), "text").where("digest is not null").withColumn("c", F.col("canonical_"))
     word = F.array_max(F.transform(F.split("c", " "), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    return rows.groupBy(F.sha2(F.col("c").cast("binary"), 256).alias("digest")).agg(F.min("licence").alias("licence"), F.min(word).alias("word"))
+    return rows.groupBy("digest").agg(F.min("licence").alias("licence"), F.min(word).alias("word"))
 
 
 def scan(docs: DataFrame, licences: DataFrame) -> DataFrame:
     """(doc_id, digest, licence, line_licences): for each document the licence that its whole text is, null if none, and those of its lines, sorted.
 
     ``licences`` has one row per digest, as ``known`` gives it. A line equal to a known text holds that
-    text's longest word; other lines need no digest. Null and empty texts match nothing. Documents of
+    text's longest word, or something that is spelt anew; other lines need no digest. Null and empty texts match nothing. Documents of
     one digest stay apart, so copies of a licence are one row each.
     """
     table = licences.select("digest", "licence")
-    whole = docs.select("doc_id", F.xxhash64("text").alias("own"), digest(F.col("text")).alias("digest")).join(table, "digest", "left")
+    own = docs.select("doc_id", F.xxhash64("text").alias("own"), "text")
+    whole = digest(own, "text").select("doc_id", "own", "digest").join(table, "digest", "left")
     signs = [r["word"] for r in licences.select("word").distinct().limit(GATE + 1).collect()]
+    lines = own.select("doc_id", "own", F.explode(F.split("text", "\n")).alias("line"))
     if len(signs) <= GATE:
-        lines = docs.where(_any(_spelt(F.col("text")), signs)).select("doc_id", F.xxhash64("text").alias("own"), F.explode(F.split("text", "\n")).alias("line"))
-        lines = lines.where(_any(_spelt(F.col("line")), signs))
-    else:
-        lines = docs.select("doc_id", F.xxhash64("text").alias("own"), F.explode(F.split("text", "\n")).alias("line"))
-    found = lines.select("doc_id", "own", digest(F.col("line")).alias("digest")).join(table, "digest").groupBy("doc_id", "own").agg(F.sort_array(F.collect_set("licence")).alias("line_licences"))
+        lines = lines.where(_any(F.lower("line"), signs + SPELLING_SIGNS))
+    found = digest(lines, "line").join(table, "digest").groupBy("doc_id", "own").agg(F.sort_array(F.collect_set("licence")).alias("line_licences"))
     found = found.withColumnsRenamed({"doc_id": "id", "own": "o"})
     out = whole.join(found, whole["doc_id"].eqNullSafe(found["id"]) & (whole["own"] == found["o"]), "left")
     return out.select("doc_id", "digest", "licence", F.coalesce("line_licences", F.array().cast("array<string>")).alias("line_licences"))
