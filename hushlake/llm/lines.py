@@ -101,12 +101,12 @@ def kept_lines(docs: DataFrame) -> DataFrame:
     # the hash of a word's key is what entries meet by; hashes that coincide make candidates, never links
     known = seen.join(early.select("h", F.lit(1).alias("gone")), "h", "left").withColumn("gone", F.coalesce("gone", F.lit(0)))
     e = _entries(known, rarity, _prefix(F.col("n")), "gone")
-    y = e.select("tok", *[F.col(c).alias(f"y_{c}") for c in e.columns if c != "tok"])
-    x, c = e, F.col
-    # lines that are gone stay as partners; the test for it names both sides, so that one shuffle serves both
-    meets = (x["tok"] == y["tok"]) & (c("h") != c("y_h")) & (c("y_doc") <= c("doc")) & (c("gone") * 2 <= c("y_gone"))
-    meets &= _near(c("n"), c("y_n"), c("pos"), c("y_pos")) & ~_apart(c("parity"), c("y_parity"), c("n"), c("y_n"))
-    late = _similar(x.join(y, meets).select(c("h").alias("x"), c("y_h").alias("y")).distinct(), seen)
+    x, y = (e.select(*[F.col(c).alias(f"{side}_{c}") for c in e.columns]) for side in "xy")
+    c = F.col
+    # lines that are gone stay as partners; the test for it names both sides, and both have the same form, so that one shuffle serves both
+    meets = (c("x_tok") == c("y_tok")) & (c("x_h") != c("y_h")) & (c("y_doc") <= c("x_doc")) & (c("x_gone") * 2 <= c("y_gone"))
+    meets &= _near(c("x_n"), c("y_n"), c("x_pos"), c("y_pos")) & ~_apart(c("x_parity"), c("y_parity"), c("x_n"), c("y_n"))
+    late = _similar(x.join(y, meets).select(c("x_h").alias("x"), c("y_h").alias("y")).distinct(), seen)
 
     return known.where("gone = 0").join(late, "h", "left_anti").select(F.when(~F.col("null_id"), F.col("doc")).alias("doc_id"), "th", "line_no")
 
