@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 #: Counters of word frequency. A word counts with all words of its hash, which changes the order only, not the result.
 COUNTERS = 1 << 16
 #: Rarest words by which a line is first compared with one earlier line each.
-ANCHORS = 3
+ANCHORS = 2
 SPACE = "[ \t\x0b\x0c\r]+"
 _LAST = (1 << 63) - 1
 
@@ -65,8 +65,8 @@ def _entries(lines: DataFrame, rarity: Column, first: Column, *more: str) -> Dat
     """(tok, h, doc, n, ..., parity, pos): a row for each of the ``first`` rarest words of each line."""
     parity = F.aggregate("k", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
     e = lines.select("h", "doc", *more, _tokens(F.col("line"), rarity).alias("k")).withColumn("n", F.coalesce(F.size("k"), F.lit(0)))
-    e = e.select("h", "doc", "n", *more, F.coalesce(parity, F.lit(0)).alias("parity"), F.posexplode(F.slice("k", 1, first)).alias("pos", "k"))
-    return e.select(F.coalesce(F.hash("k"), F.lit(0)).alias("tok"), "h", "doc", "n", *more, "parity", "pos")
+    e = e.select("h", "doc", "n", *more, F.coalesce(parity, F.lit(0)).alias("parity"), F.posexplode_outer(F.slice("k", 1, first)).alias("pos", "k"))  # outer: else a test for emptiness below would make the tokens again
+    return e.select(F.coalesce(F.hash("k"), F.lit(0)).alias("tok"), "h", "doc", "n", *more, "parity", F.coalesce("pos", F.lit(0)).alias("pos"))
 
 
 def _similar(pairs: DataFrame, lines: DataFrame) -> DataFrame:
