@@ -13,16 +13,14 @@ SPACE = "[ \t\x0b\x0c\r]+"
 _LAST = (1 << 63) - 1
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """(doc, null_id, th, line_no, line, h) of the lines that aren't blank, in lower case: doc is doc_id with null last, th tells rows of one doc_id apart."""
+def _lines(docs: DataFrame, rarity: Column) -> DataFrame:
+    """(h, f) of the lines that aren't blank, case left out: f is doc (doc_id, null last), null_id, th (tells rows of one doc_id apart), line_no, parity and k, the words (see ``_tokens``)."""
     each = docs.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split(F.lower("text"), "\n")).alias("line_no", "line"))
+    each = each.where(F.col("line").rlike("[^ \t\x0b\x0c\r]"))
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))
-    return each.where(F.col("line").rlike("[^ \t\x0b\x0c\r]")).select(doc.alias("doc"), F.col("doc_id").isNull().alias("null_id"), "th", "line_no", "line", F.xxhash64("line").alias("h"))
-
-
-def _words(line: Column) -> Column:
-    """The distinct words of a line."""
-    return F.array_remove(F.array_distinct(F.split(line, SPACE)), "")
+    each = each.select(F.xxhash64("line").alias("h"), doc.alias("doc"), F.col("doc_id").isNull().alias("null_id"), "th", "line_no", _tokens(F.col("line"), rarity).alias("k"))
+    parity = F.aggregate("k", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)))))
+    return each.select("h", F.struct("doc", "null_id", "th", "line_no", parity.alias("parity"), "k").alias("f"))
 
 
 def _rarity(docs: DataFrame) -> Column:
@@ -40,10 +38,15 @@ def _rarity(docs: DataFrame) -> Column:
 
 
 def _tokens(line: Column, rarity: Column) -> Column:
-    """The distinct words of a line as longs, rare ones first: the level of the word's counter, then 56 bits of its hash."""
+    """The distinct words of a line as 32-bit hashes, rare ones first: by the level of the word's counter, then by its hash.
+
+    Two lines near the threshold have two words mixed up once in a hundred million pairs.
+    """
     h = F.array_remove(F.array_distinct(F.transform(F.split(line, SPACE), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
     level = lambda x: F.ascii(F.substr(rarity, x.bitwiseAND(F.lit(COUNTERS - 1)).cast("int") + 1, F.lit(1)).cast("string"))
-    return F.sort_array(F.transform(h, lambda x: F.shiftleft(level(x).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(x, 8))))
+    ordered = F.sort_array(F.transform(h, lambda x: F.shiftleft(level(x).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(x, 8))))
+    low = lambda x: (x.bitwiseAND(F.lit(0xFFFFFFFF)) - F.lit(1 << 31)).cast("int")
+    return F.transform(ordered, low)
 
 
 def _prefix(n: Column) -> Column:
@@ -61,20 +64,19 @@ def _apart(px: Column, py: Column, nx: Column, ny: Column) -> Column:
     return F.bit_count(px.bitwiseXOR(py)) * 9 > nx + ny
 
 
-def _entries(lines: DataFrame, rarity: Column, first: Column, *more: str) -> DataFrame:
+def _entries(lines: DataFrame, first: Column, *more: str) -> DataFrame:
     """(tok, h, doc, n, ..., parity, pos): a row for each of the ``first`` rarest words of each line."""
-    parity = F.aggregate("k", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
-    e = lines.select("h", "doc", *more, _tokens(F.col("line"), rarity).alias("k")).withColumn("n", F.coalesce(F.size("k"), F.lit(0)))
-    e = e.select("h", "doc", "n", *more, F.coalesce(parity, F.lit(0)).alias("parity"), F.posexplode_outer(F.slice("k", 1, first)).alias("pos", "k"))  # outer: else a test for emptiness below would make the tokens again
-    return e.select(F.coalesce(F.hash("k"), F.lit(0)).alias("tok"), "h", "doc", "n", *more, "parity", F.coalesce("pos", F.lit(0)).alias("pos"))
+    e = lines.select("h", "doc", F.size("k").alias("n"), *more, "parity", F.posexplode_outer(F.slice("k", 1, first)).alias("pos", "tok"))
+    # nothing may be null, or each side of a join tests for it in its own way and they can't share a shuffle
+    return e.select(F.coalesce("tok", F.lit(0)).alias("tok"), "h", "doc", F.coalesce("n", F.lit(0)).alias("n"), *more, "parity", F.coalesce("pos", F.lit(0)).alias("pos"))
 
 
 def _similar(pairs: DataFrame, lines: DataFrame) -> DataFrame:
-    """The x of the candidate pairs (x, y) that are later than y and have a Jaccard similarity of 4/5 or more, on the words themselves."""
-    side = lambda c: lines.select(F.col("h").alias(c), F.struct("doc", "null_id", "th", "line_no").alias(f"at_{c}"), F.col("line").alias(f"line_{c}"))
+    """The x of the candidate pairs (x, y) that are later than y and have a Jaccard similarity of 4/5 or more."""
+    side = lambda c: lines.select(F.col("h").alias(c), F.struct("doc", "null_id", "th", "line_no").alias(f"at_{c}"), F.col("k").alias(f"k_{c}"))
     both = pairs.join(side("x"), "x").join(side("y"), "y").where("at_x > at_y")
-    a, b = _words(F.col("line_x")), _words(F.col("line_y"))
-    return both.where(F.size(F.array_intersect(a, b)) * 9 >= (F.size(a) + F.size(b)) * 4).select(F.col("x").alias("h")).distinct()
+    alike = F.size(F.array_intersect("k_x", "k_y")) * 9 >= (F.size("k_x") + F.size("k_y")) * 4
+    return both.where(alike).select(F.col("x").alias("h")).distinct()
 
 
 def kept_lines(docs: DataFrame) -> DataFrame:
@@ -87,20 +89,18 @@ def kept_lines(docs: DataFrame) -> DataFrame:
     finds most lines of large groups of near copies, whose pairs are never all made. Every other line
     meets all earlier lines by the prefix, length and positional filters.
     """
-    rarity = _rarity(docs)
-    seen = _lines(docs).groupBy("h").agg(F.min(F.struct("doc", "null_id", "th", "line_no", "line")).alias("f"))
-    # columns that may be null would be tested for it below the tokens, which would then be made once for each test
-    seen = seen.select("h", *[F.coalesce(F.col("f")[c], F.lit(z)).alias(c) for c, z in (("doc", 0), ("null_id", False), ("th", 0), ("line_no", 0), ("line", ""))])
+    seen = _lines(docs, _rarity(docs)).groupBy("h").agg(F.min("f").alias("f"))
+    none = {"doc": F.lit(0), "null_id": F.lit(False), "th": F.lit(0), "line_no": F.lit(0), "parity": F.lit(0), "k": F.array().cast("array<int>")}
+    seen = seen.select("h", *[F.coalesce(F.col("f")[c], z).alias(c) for c, z in none.items()])
 
-    e = _entries(seen, rarity, F.lit(ANCHORS))
+    e = _entries(seen, F.lit(ANCHORS))
     run = Window.partitionBy("tok").orderBy("doc", "h").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     e = e.withColumn("a", F.first_value(F.struct("h", "n", "parity")).over(run))
     e = e.where((F.col("a.h") != F.col("h")) & (F.least("n", "a.n") * 5 >= F.greatest("n", "a.n") * 4) & ~_apart(F.col("parity"), F.col("a.parity"), F.col("n"), F.col("a.n")))
     early = _similar(e.select(F.col("h").alias("x"), F.col("a.h").alias("y")).distinct(), seen)
 
-    # the hash of a word's key is what entries meet by; hashes that coincide make candidates, never links
     known = seen.join(early.select("h", F.lit(1).alias("gone")), "h", "left").withColumn("gone", F.coalesce("gone", F.lit(0)))
-    e = _entries(known, rarity, _prefix(F.col("n")), "gone")
+    e = _entries(known, _prefix(F.size("k")), "gone")
     x, y = (e.select(*[F.col(c).alias(f"{side}_{c}") for c in e.columns]) for side in "xy")
     c = F.col
     # lines that are gone stay as partners; the test for it names both sides, and both have the same form, so that one shuffle serves both
