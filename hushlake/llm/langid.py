@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import uuid
 import zlib
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,7 +18,7 @@ SAMPLE = 150
 #: Words in a chain. A whole text is a row of chains.
 CHAIN = 64
 #: Words labelled at once, and words whose scores a worker remembers.
-BATCH, REMEMBERED = 400_000, 500_000
+BATCH, REMEMBERED = 150_000, 120_000
 BUCKETS = 1 << 16
 ROUNDS = 30
 
@@ -29,7 +30,7 @@ class Buckets(dict):
     """The bucket of a feature; those of affixes and n-grams come again and again."""
 
     def __missing__(self, feature: str) -> int:
-        if len(self) > 200_000:
+        if len(self) > 50_000:
             self.clear()
         b = self[feature] = zlib.crc32(feature.encode("utf-8", "surrogatepass")) % BUCKETS
         return b
@@ -186,7 +187,7 @@ class Labeller:
         m, _ = forward_backward(e.reshape(-1, CHAIN, k), self.field.step, self.field.start)
         return m.reshape(-1, k)[place], lettered
 
-    def __call__(self, texts: list[str | None]) -> list[tuple[str, float]]:
+    def __call__(self, texts: Iterable[str | None]) -> list[tuple[str, float]]:
         out: list[tuple[str, float]] = []
         words: list[str] = []
         lengths: list[int] = []
@@ -249,7 +250,7 @@ def identify(docs: DataFrame, field: Field, text: str = "text") -> DataFrame:
             _labellers.update(key=key, own=Labeller(field))
         label = _labellers["own"]
         for b in batches:
-            got = label(b["_text"].to_pylist())
+            got = label(x.as_py() for x in b["_text"])
             yield pa.RecordBatch.from_arrays(
                 [*(b[f"_{i}"] for i in range(len(names))), pa.array([x for x, _ in got], pa.string()), pa.array([x for _, x in got], pa.float64())],
                 [*(f"_{i}" for i in range(len(names))), "lang_pred", "score"],

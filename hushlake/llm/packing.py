@@ -20,7 +20,7 @@ from .common import cut
 #: Pieces that are packed together: enough that what the last bins leave empty is no matter, few enough for one task.
 SHARD = 20_000
 #: Words whose ids a worker remembers; then it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 120_000
 
 _tokenizers: dict = {}
 
@@ -98,8 +98,8 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int =
         own = tokenizer(path)
         for batch in batches:
             at, out = [], []
-            for i, t in enumerate(batch["text"].to_pylist()):
-                ids = own.ids(t or "") + end
+            for i, t in enumerate(batch["text"]):
+                ids = own.ids(t.as_py() or "") + end
                 n = len(ids) // 4
                 first = n - capacity * ((n - 1) // capacity)
                 edges = [0, *range(first, n + 1, capacity)]

@@ -40,7 +40,7 @@ def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            fp = np.array([fingerprint(t, words, seed) for t in b["text"].to_pylist()], dtype=np.int64)
+            fp = np.array([fingerprint(t.as_py(), words, seed) for t in b["text"]], dtype=np.int64)
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(fp)], ["doc_id", "fp"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
