@@ -695,3 +695,141 @@ def usage_tap(spark, d):
     end = F.concat(F.lit('\ndata: {"type":"message_delta","usage":{"output_tokens":'), n, F.lit("}}\n\n"))
     rows = e.select(F.col("event_id").alias("response_id"), F.lit("anthropic").alias("style"), F.posexplode(F.array(start, end)).alias("seq", "chunk"))
     return stream_restore.usage_tap(rows)
+
+
+def _place(spark, name: str) -> str:
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="hushlake-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _blob(b: bytes) -> str:
+    return "'" + "".join(f"\\x{x:02X}" for x in b) + "'::BLOB"
+
+
+def _hmac(key: bytes, message: str) -> str:
+    key = key.ljust(64, b"\0")
+    return f"sha256({_blob(bytes(k ^ 0x5C for k in key))} || unhex(sha256({_blob(bytes(k ^ 0x36 for k in key))} || {message})))"
+
+
+_MAILS = f"with {INJECTED}, m as (select distinct 'EMAIL' as prefix, unnest(regexp_extract_all(text, {_q(P.EMAIL)})) as value from texts)"
+_BLIND = _hmac(vault().index, f"encode(prefix) || {_blob(bytes(1))} || encode(value)")
+ORACLES["vault_blind_index"] = f"{_MAILS} select prefix, value, {_BLIND} as value_hmac from m"
+ORACLES["webhook_signature"] = f"""with p as (select event_id, '{{"event_id":' || event_id || ',"event_type":"' || event_type || '"}}' as payload from events) select event_id, payload, 'sha256=' || {_hmac(b'secret', 'encode(payload)')} as signature from p"""
+_SUFFIX = _hmac(vault().index, f"{_blob(vault().salt + b'tok')} || encode(prefix) || {_blob(bytes(1))} || encode(value)")
+ORACLES["vault_assign"] = f"""{_MAILS}, h as (select prefix, value, {_BLIND} as value_hmac, {_SUFFIX} as s from m),
+t as (select *, cast(cast('0x' || left(s, 1) as utinyint) as ubigint) as top, cast('0x0' || substr(s, 2, 15) as ubigint) as low from h)
+select prefix as kind, value_hmac, 'EMAIL_' || cast(cast((top % 8 + 8) as uhugeint) * 1152921504606846976 + low as varchar) as placeholder from t"""
+
+ORACLES["budget_window"] = f"""with recursive {SQL}, o as (select key_id, request_id, ts_unix_ms, coalesce(cost_usd, 0) as cost, row_number() over (partition by key_id order by ts_unix_ms, request_id) as n from costed),
+f as (
+  select key_id, request_id, ts_unix_ms, n, 0.0::double as spent, cast(null as bigint) as opened, cost as after, case when cost > 0 then ts_unix_ms end as start from o where n = 1
+  union all
+  select key_id, request_id, ts_unix_ms, n, spent, opened, spent + case when spent < 0.05 then cost else 0 end, case when opened is null and spent < 0.05 and cost > 0 then ts_unix_ms else opened end
+  from (select o.*, case when coalesce(o.ts_unix_ms - f.start >= 86400000, false) then 0.0::double else f.after end as spent, case when coalesce(o.ts_unix_ms - f.start >= 86400000, false) then null else f.start end as opened
+        from f join o on o.key_id = f.key_id and o.n = f.n + 1) s)
+select key_id, request_id, ts_unix_ms, spent < 0.05 as allowed, spent, case when spent >= 0.05 then cast(ceil((86400000 - (ts_unix_ms - opened)) / 1000.0) as bigint) end as retry_after from f"""
+
+
+@query("trace_source", "select 'req-' || event_id as request_id, case when event_type = 'error' then 500 else 200 end as status, 'chat' as kind, case when event_type = 'error' then 'boom' end as error from events")
+def trace_source(spark, d):
+    """Writes traces of all events and reads them back."""
+    e = events(spark, d)
+    rows = e.select(
+        F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("ts"),
+        F.concat(F.lit("req-"), "event_id").alias("request_id"),
+        F.when(F.col("event_type") == "error", 500).otherwise(200).alias("status"),
+        F.when(F.col("event_type") == "error", "boom").alias("error"),
+        F.lit("chat").alias("kind"),
+    )
+    path = _place(spark, "traces")
+    stores.write_traces(rows, path)
+    return stores.read_traces(spark, path).select("request_id", "status", "kind", "error")
+
+
+@query("training_source", "select text, cast(0 as integer) as n, cast(null as varchar) as error from documents where trim(text) <> ''")
+def training_source(spark, d):
+    """Writes all documents as samples without entities and reads them back."""
+    path = _place(spark, "samples")
+    rows = spark.read.parquet(f"{d}/documents.parquet").where("trim(text) <> ''")
+    training.write(rows.select("text", F.array().cast("array<struct<start:int,end:int,label:string>>").alias("entities")), path)
+    return training.read(spark, path).select("text", F.size("entities").alias("n"), "error")
+
+
+_AUDIT = "select event_id as id, epoch_us(ts) // 1000 as ts_unix_ms, 'user-' || user_id as actor, event_type as action from events"
+
+
+@query("recent_audit", f"{_AUDIT} order by ts_unix_ms desc, id limit 100")
+def recent_audit(spark, d):
+    e = events(spark, d)
+    rows = e.select(F.col("event_id").alias("id"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_unix_ms"), F.concat(F.lit("user-"), "user_id").alias("actor"), F.col("event_type").alias("action"))
+    path = _place(spark, "audit")
+    stores.append(rows, path)
+    return A.recent(spark.read.parquet(path), 100, "id")
+
+
+@query("recent_deliveries", "select event_id as id, epoch_us(ts) // 1000 as ts_unix_ms, case when event_type = 'error' then 500 else 200 end as status_code, event_type <> 'error' as ok from events order by ts_unix_ms desc, id limit 50")
+def recent_deliveries(spark, d):
+    e = events(spark, d)
+    failed = F.col("event_type") == "error"
+    rows = e.select(F.col("event_id").alias("id"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_unix_ms"), F.when(failed, 500).otherwise(200).alias("status_code"), (~failed).alias("ok"))
+    return A.recent(rows, 50, "id")
+
+
+@query("json_escape", "select doc_id, replace(replace(replace(text, chr(92), chr(92) || chr(92)), '\"', chr(92) || '\"'), chr(10), chr(92) || 'n') as escaped from documents")
+def json_escape(spark, d):
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", text.json_escape(F.col("text")).alias("escaped"))
+
+
+@query("response_restore", "select conv_id as request_id, turn, text || ' a' || conv_id || '@example.com' as content from conversations")
+def response_restore(spark, d):
+    c = conversations(spark, d).select(F.col("conv_id").alias("request_id"), "turn", F.concat("text", F.lit(" EMAIL_1")).alias("content"))
+    choice = F.struct(F.struct("content").alias("message"))
+    c = c.select("request_id", "turn", F.lit("openai").alias("style"), F.to_json(F.struct(F.array(choice).alias("choices"))).alias("body"))
+    maps = c.select("request_id").distinct().withColumn("map", F.create_map(F.lit("EMAIL_1"), F.concat(F.lit("a"), "request_id", F.lit("@example.com"))))
+    return bodies.restore_responses(c, maps).select("request_id", "turn", F.get_json_object("restored", "$.choices[0].message.content").alias("content"))
+
+
+@query("converse_response", "select event_id, event_type as content, case event_type when 'view' then 'length' else 'stop' end as finish_reason, cast(json_extract_string(props, '$.k') as bigint) as prompt_tokens, event_id as completion_tokens from events")
+def converse_response(spark, d):
+    part = F.struct(F.col("event_type").alias("text"))
+    stop = F.when(F.col("event_type") == "view", "max_tokens").otherwise("end_turn")
+    used = F.struct(F.get_json_object("props", "$.k").cast("long").alias("inputTokens"), F.col("event_id").alias("outputTokens"))
+    body = F.to_json(F.struct(F.struct(F.struct(F.array(part).alias("content")).alias("message")).alias("output"), stop.alias("stopReason"), used.alias("usage")))
+    return events(spark, d).select("event_id", metering.converse_response(body).alias("r")).select("event_id", "r.*")
+
+
+@query("converse_request", "select conv_id, count(*) filter (where role <> 'system') as messages, count(*) filter (where role = 'system') as system from conversations group by 1")
+def converse_request(spark, d):
+    b = bodies.chat_bodies(conversations(spark, d)).select("conv_id", metering.converse_request(F.col("body")).alias("r"))
+    n = lambda path, t: F.coalesce(F.size(F.from_json(F.get_json_object("r", path), t)).cast("long"), F.lit(0))
+    return b.select("conv_id", n("$.messages", "array<struct<role:string>>").alias("messages"), F.greatest(n("$.system", "array<struct<text:string>>"), F.lit(0)).alias("system"))
+
+
+@query("tool_catalog", "select 'a-' || event_type as name, 'a' as server, count(*) as n from events group by 1, 2 union all select 'b-' || event_type, 'b', count(*) from events group by 1, 2")
+def tool_catalog(spark, d):
+    tools = events(spark, d).select(F.col("event_type").alias("name"), F.lit("tool").alias("description"))
+    return metering.tool_catalog({"a": tools, "down": None, "b": tools}).groupBy("name", "server").agg(F.count("*").alias("n"))
+
+
+@query("scan_ipv6", "select doc_id, '2001:db8::' || (doc_id % 9999 + 1) as value from documents")
+def scan_ipv6(spark, d):
+    t = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.concat("text", F.lit(" host 2001:db8::"), F.col("doc_id") % 9999 + 1, F.lit(" up")).alias("text"))
+    return detect.values(detect.scan(t, detect.Engine(kinds=("ip",)))).where("value like '2001:%'").select("doc_id", "value")
+
+
+@query("span_merge", "select event_id, case when event_id % 3 = 0 then 1 else 2 end::integer as n, (10 + event_id % 3 * 5)::integer as last from events")
+def span_merge(spark, d):
+    span = lambda a, b: F.struct(a.cast("int").alias("start"), b.cast("int").alias("end"))
+    k = F.col("event_id") % 3
+    three = F.array(span(k * 5, k * 5 + 10), span(F.lit(0), F.lit(5)), span(F.lit(0), F.lit(5)))
+    e = events(spark, d).select("event_id", spans.merge(three).alias("m"))
+    return e.select("event_id", F.size("m").alias("n"), F.element_at("m", -1)["end"].alias("last"))
+
+
+@query("scan_distinct", "select role, count(*) as n from conversations where text <> '' group by 1")
+def scan_distinct(spark, d):
+    engine = detect.Engine(ner=_first_word, disabled=tuple(P.RECOGNIZERS))
+    s = detect.scan_distinct(conversations(spark, d), engine)
+    return s.where(F.size("spans") > 0).groupBy("role").agg(F.count("*").alias("n"))

@@ -137,3 +137,10 @@ def load_stats(usage: DataFrame) -> DataFrame:
     span = (F.max("ts_unix_ms") - F.min("ts_unix_ms")) / 1000.0
     rate = F.when(span > 0, F.round(F.count("*") / span, 9)).otherwise(0.0)
     return usage.groupBy("endpoint").agg(F.count("*").alias("requests"), F.count_if(F.col("status") >= 400).alias("errors"), rate.alias("rps"), F.round(F.median("latency_ms"), 6).alias("median_ms"))
+
+
+def named_range(name: str, now: int) -> tuple[int, int, str]:
+    """(since, until, bucket) of a range: "24h" by hour, "7d" by day, anything else 30 days by day."""
+    day = 86_400_000
+    length, unit = {"24h": (day, "hour"), "7d": (7 * day, "day")}.get(name, (30 * day, "day"))
+    return now - length, now, unit

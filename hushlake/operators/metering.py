@@ -174,3 +174,36 @@ def budget_snapshot(decisions: DataFrame) -> DataFrame:
     """The last decision of each key."""
     last = F.max_by(F.struct("request_id", "allowed", "spent"), F.struct("ts_unix_ms", "request_id")).alias("s")
     return decisions.groupBy("key_id").agg(last).select("key_id", "s.request_id", "s.allowed", F.round("s.spent", 6).alias("spent"))
+
+
+def tool_catalog(servers: dict[str, DataFrame | None]) -> DataFrame | None:
+    """One list of the tools (name, description) of all servers, names with the server's in front; servers that failed (None) are left out."""
+    out = None
+    for name, tools in servers.items():
+        if tools is not None:
+            own = tools.select(F.concat(F.lit(f"{name}-"), "name").alias("name"), "description", F.lit(name).alias("server"))
+            out = own if out is None else out.unionByName(own)
+    return out
+
+
+def converse_response(body: Column) -> Column:
+    """A response of the typed wire format as (content, finish_reason, prompt_tokens, completion_tokens)."""
+    schema = "output struct<message:struct<content:array<struct<text:string>>>>, stopReason string, usage struct<inputTokens:bigint,outputTokens:bigint>"
+    p = F.from_json(body, schema)
+    texts = F.filter(F.transform(p["output"]["message"]["content"], lambda c: c["text"]), lambda t: t.isNotNull())
+    return F.struct(
+        F.array_join(texts, "").alias("content"),
+        finish_reason(p["stopReason"]).alias("finish_reason"),
+        p["usage"]["inputTokens"].alias("prompt_tokens"),
+        p["usage"]["outputTokens"].alias("completion_tokens"),
+    )
+
+
+def converse_request(body: Column) -> Column:
+    """A chat request of plain messages in the typed wire format: system texts apart, each content a list of texts."""
+    p = F.from_json(body, "messages array<struct<role:string,content:string>>, max_tokens int, temperature double")
+    block = lambda m: F.array(F.struct(m["content"].alias("text")))
+    system = F.transform(F.filter(p["messages"], lambda m: m["role"] == "system"), lambda m: F.struct(m["content"].alias("text")))
+    rest = F.transform(F.filter(p["messages"], lambda m: m["role"] != "system"), lambda m: F.struct(m["role"].alias("role"), block(m).alias("content")))
+    limits = F.struct(p["max_tokens"].alias("maxTokens"), p["temperature"].alias("temperature"))
+    return F.to_json(F.struct(F.when(F.size(system) > 0, system).alias("system"), rest.alias("messages"), limits.alias("inferenceConfig")))
