@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 #: Counters of word frequency. A word counts with all words of its hash, which changes the order only, not the result.
 COUNTERS = 1 << 16
-#: Rarest words by which a line is first compared with one earlier line each.
-ANCHORS = 2
+#: Pairs of words by which a line is first compared with one earlier line each, and the rare words that they are chosen among.
+ANCHORS, AMONG = 2, 24
 SPACE = "[ \t\x0b\x0c\r]+"
 _LAST = (1 << 63) - 1
 
@@ -71,6 +71,17 @@ def _entries(lines: DataFrame, first: Column, *more: str) -> DataFrame:
     return e.select(F.coalesce("tok", F.lit(0)).alias("tok"), "h", "doc", F.coalesce("n", F.lit(0)).alias("n"), *more, "parity", F.coalesce("pos", F.lit(0)).alias("pos"))
 
 
+def _anchors(lines: DataFrame) -> DataFrame:
+    """(tok, h, doc, n, parity): the ANCHORS least hashes of neighbours among a line's rare words.
+
+    Changed words are mostly rare, so single rare words tell copies apart; a near copy has most pairs of neighbours in common, and the least hash picks the same one.
+    """
+    n = F.least(F.size("k"), F.lit(AMONG))
+    pairs = F.zip_with(F.slice("k", 1, F.greatest(n - 1, F.lit(1))), F.slice("k", 2, F.greatest(n - 1, F.lit(1))), lambda a, b: F.hash(a, b))
+    e = lines.select("h", "doc", F.size("k").alias("n"), "parity", F.explode_outer(F.slice(F.sort_array(pairs), 1, ANCHORS)).alias("tok"))
+    return e.select(F.coalesce("tok", F.lit(0)).alias("tok"), "h", "doc", F.coalesce("n", F.lit(0)).alias("n"), "parity")
+
+
 def _similar(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     """The x of the candidate pairs (x, y) that are later than y and have a Jaccard similarity of 4/5 or more."""
     side = lambda c: lines.select(F.col("h").alias(c), F.struct("doc", "null_id", "th", "line_no").alias(f"at_{c}"), F.col("k").alias(f"k_{c}"))
@@ -85,7 +96,7 @@ def kept_lines(docs: DataFrame) -> DataFrame:
     A line goes if an earlier one, by doc_id (null last), hash of the text and number, has the same
     words up to a Jaccard similarity of 4/5; case doesn't count. Lines are told apart by a 64-bit hash.
     First, equal lines become one: the first, pre-aggregated before the shuffle, so that a line of very
-    many copies is one row. Then each line meets one earlier line for each of its rarest words; that
+    many copies is one row. Then each line meets one earlier line for each of a few pairs of words; that
     finds most lines of large groups of near copies, whose pairs are never all made. Every other line
     meets all earlier lines by the prefix, length and positional filters.
     """
@@ -93,7 +104,7 @@ def kept_lines(docs: DataFrame) -> DataFrame:
     none = {"doc": F.lit(0), "null_id": F.lit(False), "th": F.lit(0), "line_no": F.lit(0), "parity": F.lit(0), "k": F.array().cast("array<int>")}
     seen = seen.select("h", *[F.coalesce(F.col("f")[c], z).alias(c) for c, z in none.items()])
 
-    e = _entries(seen, F.lit(ANCHORS))
+    e = _anchors(seen)
     run = Window.partitionBy("tok").orderBy("doc", "h").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     e = e.withColumn("a", F.first_value(F.struct("h", "n", "parity")).over(run))
     e = e.where((F.col("a.h") != F.col("h")) & (F.least("n", "a.n") * 5 >= F.greatest("n", "a.n") * 4) & ~_apart(F.col("parity"), F.col("a.parity"), F.col("n"), F.col("a.n")))
