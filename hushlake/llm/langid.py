@@ -18,7 +18,7 @@ SAMPLE = 150
 #: Words in a chain. A whole text is a row of chains.
 CHAIN = 64
 #: Words labelled at once, and words whose scores a worker remembers.
-BATCH, REMEMBERED = 150_000, 120_000
+BATCH, REMEMBERED = 150_000, 250_000
 BUCKETS = 1 << 16
 ROUNDS = 30
 
