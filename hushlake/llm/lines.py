@@ -49,14 +49,19 @@ def _tokens(line: Column, rarity: Column) -> Column:
     return F.transform(ordered, low)
 
 
+def _shared(n: Column) -> Column:
+    """How many words the beginnings of similar lines must share: more for longer lines, whose beginnings are longer."""
+    return F.when(n < 10, 1).when(n < 60, 2).otherwise(3)
+
+
 def _prefix(n: Column) -> Column:
-    """How many of n words, rare ones first, one must share with a similar line: all but those that it may lack, and one."""
-    return n - F.ceil(n * 4 / 5).cast("int") + 1
+    """How many of n words, rare ones first, hold that many words of any similar line: all but those that it may lack, and as many."""
+    return n - F.ceil(n * 4 / 5).cast("int") + _shared(n)
 
 
 def _near(nx: Column, ny: Column, i: Column, j: Column) -> Column:
-    """Whether lines of nx and ny words may be similar whose first common word stands at i and j: by length, and by the words from there on."""
-    return (F.least(nx, ny) * 5 >= F.greatest(nx, ny) * 4) & (F.least(nx - i, ny - j) * 9 >= (nx + ny) * 4)
+    """Whether lines of nx and ny words may be similar that share a word at i and j and fewer before than they must: by length, and by the words from there on."""
+    return (F.least(nx, ny) * 5 >= F.greatest(nx, ny) * 4) & ((F.least(nx - i, ny - j) + F.least(_shared(nx), _shared(ny)) - 1) * 9 >= (nx + ny) * 4)
 
 
 def _apart(px: Column, py: Column, nx: Column, ny: Column) -> Column:
@@ -98,7 +103,7 @@ def kept_lines(docs: DataFrame) -> DataFrame:
     First, equal lines become one: the first, pre-aggregated before the shuffle, so that a line of very
     many copies is one row. Then each line meets one earlier line for each of a few pairs of words; that
     finds most lines of large groups of near copies, whose pairs are never all made. Every other line
-    meets all earlier lines by the prefix, length and positional filters.
+    meets all earlier lines by the prefix, length and positional filters; longer beginnings must share more words.
     """
     seen = _lines(docs, _rarity(docs)).groupBy("h").agg(F.min("f").alias("f"))
     none = {"doc": F.lit(0), "null_id": F.lit(False), "th": F.lit(0), "line_no": F.lit(0), "parity": F.lit(0), "k": F.array().cast("array<int>")}
@@ -117,7 +122,10 @@ def kept_lines(docs: DataFrame) -> DataFrame:
     # lines that are gone stay as partners; the test for it names both sides, and both have the same form, so that one shuffle serves both
     meets = (c("x_tok") == c("y_tok")) & (c("x_h") != c("y_h")) & (c("y_doc") <= c("x_doc")) & (c("x_gone") * 2 <= c("y_gone"))
     meets &= _near(c("x_n"), c("y_n"), c("x_pos"), c("y_pos")) & ~_apart(c("x_parity"), c("y_parity"), c("x_n"), c("y_n"))
-    late = _similar(x.join(y, meets).select(c("x_h").alias("x"), c("y_h").alias("y")).distinct(), seen)
+    needed = F.least(_shared(c("x_n")), _shared(c("y_n"))).alias("needed")
+    pairs = x.join(y, meets).select(c("x_h").alias("x"), c("y_h").alias("y"), needed)
+    pairs = pairs.groupBy("x", "y").agg(F.count("*").alias("n"), F.max("needed").alias("needed")).where("n >= needed").select("x", "y")
+    late = _similar(pairs, seen)
 
     return known.where("gone = 0").join(late, "h", "left_anti").select(F.when(~F.col("null_id"), F.col("doc")).alias("doc_id"), "th", "line_no")
 
