@@ -91,5 +91,19 @@ def components(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
     return out
 
 
+def keep_first(docs: DataFrame, named: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each component in ``named``, (h, component) by the hash of each text.
+
+    It is the row with the smallest doc_id, nulls last, then of the smallest hash of its text; of equal rows one.
+    """
+    names = docs.columns
+    key = {"o_": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "n_": F.col("doc_id").isNull(), "h_": F.xxhash64("text")}
+    ids = docs.select("doc_id", *[c.alias(k) for k, c in key.items()])
+    first = F.min(F.struct("n_", "doc_id", "h_", "o_")).alias("first")
+    first = ids.join(named, ids["h_"] == named["h"]).groupBy("component").agg(first).select("first.o_", "first.n_", "first.h_")
+    rows = docs.withColumns(key)
+    return rows.join(first, ["o_", "n_", "h_"], "left_semi").dropDuplicates(["o_", "n_", "h_"]).select(names)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
