@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut
+from .common import components, cut, keep_first
 
 #: Shingles whose bits are counted at once: bounds memory on very long texts.
 CHUNK = 1 << 16
@@ -86,7 +86,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents without near-duplicates: of each component the row with the smallest doc_id stays, of equal rows one."""
-    first = near_duplicates(docs).where("doc_id <=> component_id").select("doc_id").distinct()
-    kept = docs.join(first, docs["doc_id"].eqNullSafe(first["doc_id"]), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    """The documents without near-duplicates: of each component one row stays, see ``keep_first``."""
+    d = near_duplicates(docs.select(F.xxhash64("text").alias("doc_id"), "text"))
+    return keep_first(docs, d.select(F.col("doc_id").alias("h"), F.col("component_id").alias("component")).distinct())
