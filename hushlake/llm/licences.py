@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,7 +27,12 @@ SPELLINGS = [
     ("acknowledgement", "acknowledgment"),
     ("https://", "http://"),
 ]
-COPYRIGHT = r"(?m)^[ \t*#/;.|-]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*$"
+#: Words after "copyright" at the beginning of a line that is part of a clause, not a notice.
+_CLAUSE = "notices?|holders?|owners?|laws?|licensed?|licen[sc]es?|licensing|interests?|rights?|protections?|statements?|and|or|in|of|to|is|as|for|on|that|acts?|doctrines?|treaty|treaties|status|disclaimers?|permissions?|information|infringements?|registrations?|ownership|applicable|materials?|works?|terms?|from|under|with|without|shall|may|are|was|has|have|will|be|which|if|exists|subsists|attributions?|legends?|including|any|all|such|other|header|over|covering|claims?|grants?|by law"
+#: A notice: "copyright" with (c), a year or a holder, (c) with a year, or "all rights reserved" alone on a line.
+COPYRIGHT = rf"(?m)^[ \t*#/;.|-]*(?:copyright[ \t:,]*(?:\(c\)|©|(?:19|20)[0-9][0-9]|[\[<{{])[^\n]*|copyright[ \t:,]+(?!(?:{_CLAUSE})\b)[\p{{L}}][^\n]*|(?:\(c\)|©)[ \t]*(?:copyright[ \t]*)?(?:19|20)[0-9][0-9][^\n]*|all rights reserved[.]?[ \t]*)$"
+#: The SQL's, which doesn't know notices from clauses.
+SQL_COPYRIGHT = r"(?m)^[ \t*#/;.|-]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*$"
 
 #: Public licence texts and the usual notices, by SPDX name.
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
@@ -62,6 +70,10 @@ KNOWN = [
     ("CC0-1.0", "This work is dedicated to the public domain under CC0 1.0."),
 ]
 
+#: (licence, digest, word) of the full texts that are too long to stand here, with and without what follows their terms.
+#: The word is a part of any line that is the text; "license" is looked for in any case.
+DIGESTS = Path(__file__).with_name("licence_digests.json")
+
 
 #: Known words up to which lines are looked through for them first.
 GATE = 200
@@ -98,10 +110,13 @@ def digest(rows: DataFrame, text: str) -> DataFrame:
 
 
 def known(spark: SparkSession, texts: list[tuple[str, str]] | None = None) -> DataFrame:
-    """(digest, licence, word) of the known texts; of texts with one canonical form the first licence by name. word is the longest of a text."""
+    """(digest, licence, word) of the known texts, those of ``DIGESTS`` included if none are given; of texts with one canonical form the first licence by name. word is the longest of a text."""
     rows = digest(spark.createDataFrame(texts or KNOWN, "licence string, text string"), "text").where("digest is not null").withColumn("c", F.col("canonical_"))
     word = F.array_max(F.transform(F.split("c", " "), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    return rows.groupBy("digest").agg(F.min("licence").alias("licence"), F.min(word).alias("word"))
+    rows = rows.select("licence", "digest", word.alias("word"))
+    if texts is None:
+        rows = rows.union(spark.createDataFrame([tuple(x) for x in json.loads(DIGESTS.read_text())], "licence string, digest string, word string"))
+    return rows.groupBy("digest").agg(F.min("licence").alias("licence"), F.min("word").alias("word"))
 
 
 def scan(docs: DataFrame, licences: DataFrame) -> DataFrame:
@@ -128,7 +143,7 @@ def sql() -> str:
     quote = lambda s: "'" + s.replace("'", "''") + "'"
 
     def canon(t: str) -> str:
-        t = f"regexp_replace(lower({t}), {quote(COPYRIGHT)}, ' ', 'g')"
+        t = f"regexp_replace(lower({t}), {quote(SQL_COPYRIGHT)}, ' ', 'g')"
         for pattern, by in SPELLINGS:
             t = f"regexp_replace({t}, {quote(pattern)}, {quote(by)}, 'g')"
         return f"trim(regexp_replace({t}, '[^a-z0-9]+', ' ', 'g'))"
