@@ -91,7 +91,7 @@ class Field:
 def fit(texts: list[str], langs: list[str], rounds: int = ROUNDS, seed: int = 0) -> Field:
     """Fits the field on whole labelled texts by gradient steps on the likelihood.
 
-    Each text is cut into chains. Every third chain goes on in another language from some place on,
+    Each text is cut into chains, the last one padded, so short texts are one. Every third chain goes on in another language from some place on,
     so that transitions are learned from switches too.
     """
     labels = sorted(set(langs))
@@ -101,16 +101,11 @@ def fit(texts: list[str], langs: list[str], rounds: int = ROUNDS, seed: int = 0)
     chains, marks = [], []
     for text, lang in zip(texts, langs):
         w = [ids.setdefault(x, len(ids)) for x in text.split() if LETTER.search(x)]
-        for i in range(0, len(w) - CHAIN // 2, CHAIN):
+        for i in range(0, len(w), CHAIN):
             c = w[i : i + CHAIN]
             chains.append(c + [-1] * (CHAIN - len(c)))
             marks.append(labels.index(lang))
     field = Field(labels, np.zeros((BUCKETS, k), np.float32), np.zeros((k, k), np.float32), np.zeros(k, np.float32))
-    for text, lang in [] if chains else zip(texts, langs):  # only short texts
-        w = [ids.setdefault(x, len(ids)) for x in text.split() if LETTER.search(x)][:CHAIN]
-        if w:
-            chains.append(w + [-1] * (CHAIN - len(w)))
-            marks.append(labels.index(lang))
     if not chains:
         return field
     x, y = np.array(chains), np.repeat(np.array(marks)[:, None], CHAIN, axis=1)
