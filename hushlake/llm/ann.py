@@ -113,7 +113,7 @@ def search(vectors: DataFrame, queries: Column, k: int = 10) -> DataFrame:
 
     All vectors are indexed in lists about k-means centres of a bounded sample. How many lists a query
     probes is measured: as many as hold the neighbours that a bounded sample of queries has in all
-    vectors. Null, zero and broken vectors and null ids take no part; vectors meet those of their length.
+    vectors, and for each query further ones until it has k candidates or all. Null, zero and broken vectors and null ids take no part; vectors meet those of their length.
     Rows of one id are one candidate each, but never their own query's.
     """
     good = sound(vectors).where("vec_id is not null").select(F.col("vec_id").cast("long").alias("vec_id"), "v", F.coalesce(queries, F.lit(False)).alias("asks"))
@@ -172,15 +172,29 @@ def _search(good: DataFrame, width: int, n: int, k: int) -> DataFrame:
     sizes = indexed.groupBy("list").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
     held = indexed.join(sizes, "list").select("list", F.pmod(F.xxhash64("vec_id"), F.col("chunks")).cast("int").alias("chunk"), "vec_id", "v")
 
+    rows_in = np.zeros(len(centre), np.int64)
+    for r in indexed.groupBy("list").count().collect():  # LISTS at most
+        rows_in[r["list"]] = r["count"]
+
     def ask(batches):
+        """A query's lists: as many as are probed, and further ones until they hold k rows besides its own id's."""
         for b in batches:
             if b.num_rows:
-                order = nearest(matrix(b["v"], width) @ turn, centre, min(probes, len(centre)))
-                m = order.shape[1]
-                at = pa.array(np.repeat(np.arange(len(order)), m))
-                yield pa.RecordBatch.from_arrays([b["vec_id"].take(at), b["v"].take(at), pa.array(order.ravel()), pa.array(np.tile(np.arange(m, dtype=np.int32), len(order)))], ["query_id", "q", "list", "place"])
-
-    asks = good.where("asks").select("vec_id", "v").mapInArrow(ask, "query_id long, q array<double>, list int, place int")
+                x = matrix(b["v"], width) @ turn
+                lists = list(nearest(x, centre, min(probes, len(centre))))
+                need = k + b["own"].to_numpy()
+                few = np.flatnonzero([rows_in[y].sum() < n for y, n in zip(lists, need)])
+                for i, y in zip(few.tolist(), nearest(x[few], centre, len(centre)) if len(few) else []):
+                    lists[i] = y[: max(len(lists[i]), int(np.searchsorted(np.cumsum(rows_in[y]), need[i])) + 1)]
+                m = [len(y) for y in lists]
+                at = pa.array(np.repeat(np.arange(len(m)), m))
+                place = np.concatenate([np.arange(n, dtype=np.int32) for n in m])
+                yield pa.RecordBatch.from_arrays([b["vec_id"].take(at), b["v"].take(at), pa.array(np.concatenate(lists)), pa.array(place)], ["query_id", "q", "list", "place"])
+
+    often = indexed.groupBy("vec_id").agg(F.count("*").alias("own")).where("own > 1").withColumnRenamed("vec_id", "id")
+    asks = good.where("asks").select("vec_id", "v")
+    asks = asks.join(often, asks["vec_id"] == often["id"], "left").select("vec_id", "v", F.coalesce("own", F.lit(1)).alias("own"))
+    asks = asks.mapInArrow(ask, "query_id long, q array<double>, list int, place int")
     asks = cut(asks)
 
     def meet(candidates: DataFrame, wanted: DataFrame) -> DataFrame:
