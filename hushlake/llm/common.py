@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
 import numpy as np
 import pandas as pd
@@ -16,17 +18,49 @@ WORD = r"[^\x20\x09-\x0D]+"
 LOCAL_EDGES = 400_000
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Writes ``df`` to the shared checkpoint folder and goes on from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: the session's ``spark.checkpoint.dir``.
 
-    The folder is the session's ``spark.checkpoint.dir``; one of our own is set only where it is unset.
+    One of our own is set only where it is unset, and only if driver and executors are one process.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="hushlake-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir is not set: executors need a folder that all of them share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="hushlake-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Writes ``df`` to the shared folder and goes on from there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def shared_table(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` written as a table in the shared folder, smaller than a checkpoint, and its path, for ``drop_table``."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def drop_table(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Has the driver find which shuffles no plan refers to any more, as their files stay until it does."""
+    spark._jvm.System.gc()
+
+
+def renamed(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with columns c0, c1, ..., and which was which, so that no name of its own can clash with ours."""
+    names = {f"c{i}": c for i, c in enumerate(df.columns)}
+    return df.select([F.col(f"`{c}`").alias(k) for k, c in names.items()]), names
+
+
 def union_find(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Nodes of the links a-b and the smallest node of each one's component."""
     nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)

@@ -2,132 +2,172 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import json
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut, drop_table, release, renamed, shared_table
+
 #: Counters of word frequency. A word counts with all words of its hash, which changes the order only, not the result.
-COUNTERS = 1 << 16
-#: Pairs of words by which a line is first compared with one earlier line each, and the rare words that they are chosen among.
-ANCHORS, AMONG = 2, 24
-SPACE = "[ \t\x0b\x0c\r]+"
+COUNTERS = 1 << 14
+#: Lines of candidate pairs up to which their names are broadcast (about 12 MB); beyond, they are joined by a shuffle.
+BROADCAST = 1 << 19
 _LAST = (1 << 63) - 1
+_LOW = 0xFFFFFFFF
+POSITION = ["doc", "null_id", "th", "line_no"]
 
 
-def _lines(docs: DataFrame, rarity: Column) -> DataFrame:
-    """(h, f) of the lines that aren't blank, case left out: f is doc (doc_id, null last), null_id, th (tells rows of one doc_id apart), line_no, parity and k, the words (see ``_tokens``)."""
-    each = docs.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split(F.lower("text"), "\n")).alias("line_no", "line"))
-    each = each.where(F.col("line").rlike("[^ \t\x0b\x0c\r]"))
-    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))
-    each = each.select(F.xxhash64("line").alias("h"), doc.alias("doc"), F.col("doc_id").isNull().alias("null_id"), "th", "line_no", _tokens(F.col("line"), rarity).alias("k"))
-    parity = F.aggregate("k", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)))))
-    return each.select("h", F.struct("doc", "null_id", "th", "line_no", parity.alias("parity"), "k").alias("f"))
+def _plain(text: str) -> Column:
+    """The text in lower case, with blanks for all other white space inside lines."""
+    c = F.lower(F.col(text).cast("string"))
+    for x in "\t\x0b\x0c\r":
+        c = F.replace(c, F.lit(x), F.lit(" "))
+    return c
+
+
+def _lines(docs: DataFrame) -> DataFrame:
+    """(doc, null_id, th, line_no, line): the lines that aren't blank; doc is doc_id, null last, th tells rows of one doc_id apart."""
+    d = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), F.col("doc_id").isNull().alias("null_id"), F.xxhash64("text").alias("th"), _plain("text").alias("text"))
+    return d.select("doc", "null_id", "th", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(F.trim("line") != "")
 
 
 def _rarity(docs: DataFrame) -> Column:
-    """A literal of COUNTERS bytes, levels from 1 to 127: how often words of a hash occur in all documents, in quarters of a binary logarithm.
+    """A literal of COUNTERS levels, 1 to 127: how often words of a hash occur in all documents, in quarters of a binary logarithm.
 
     Its size is fixed, whatever the documents.
     """
-    each = docs.select(F.explode(F.split(F.lower("text"), "[ \n\t\x0b\x0c\r]+")).alias("w"))
+    each = docs.select(F.explode(F.split(F.replace(F.lower(F.col("text").cast("string")), F.lit("\n"), F.lit(" ")), " ")).alias("w"))
     n = each.groupBy(F.xxhash64("w").bitwiseAND(F.lit(COUNTERS - 1)).cast("int").alias("i")).count()
     level = F.least(F.floor(F.log2(F.col("count").cast("double")) * 4) + 1, F.lit(127)).cast("int")
-    got = bytearray(b"\x01" * COUNTERS)
+    got = [1] * COUNTERS
     for r in n.select("i", level.alias("level")).collect():  # at most COUNTERS rows
         got[r["i"]] = r["level"]
-    return F.lit(got)
-
+    return F.from_json(F.lit(json.dumps(got, separators=(",", ":"))), "array<int>")
 
-def _tokens(line: Column, rarity: Column) -> Column:
-    """The distinct words of a line as 32-bit hashes, rare ones first: by the level of the word's counter, then by its hash.
 
-    Two lines near the threshold have two words mixed up once in a hundred million pairs.
-    """
-    h = F.array_remove(F.array_distinct(F.transform(F.split(line, SPACE), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
-    level = lambda x: F.ascii(F.substr(rarity, x.bitwiseAND(F.lit(COUNTERS - 1)).cast("int") + 1, F.lit(1)).cast("string"))
-    ordered = F.sort_array(F.transform(h, lambda x: F.shiftleft(level(x).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(x, 8))))
-    low = lambda x: (x.bitwiseAND(F.lit(0xFFFFFFFF)) - F.lit(1 << 31)).cast("int")
-    return F.transform(ordered, low)
+def _words(line: str) -> Column:
+    """The distinct words of a line, as 64-bit hashes."""
+    return F.array_remove(F.array_distinct(F.transform(F.split(line, " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
 
 
-def _shared(n: Column) -> Column:
-    """How many words the beginnings of similar lines must share: more for longer lines, whose beginnings are longer."""
-    return F.when(n < 10, 1).when(n < 60, 2).otherwise(3)
+def _ordered(line: str, rarity: Column) -> Column:
+    """The distinct words of a line, rare ones first: the level of the word's counter, and behind it 56 bits of its hash."""
+    level = lambda x: F.get(rarity, x.bitwiseAND(F.lit(COUNTERS - 1)).cast("int")).cast("long")
+    return F.sort_array(F.transform(_words(line), lambda x: F.shiftleft(level(x), 56).bitwiseOR(F.shiftrightunsigned(x, 8))))
 
 
 def _prefix(n: Column) -> Column:
-    """How many of n words, rare ones first, hold that many words of any similar line: all but those that it may lack, and as many."""
-    return n - F.ceil(n * 4 / 5).cast("int") + _shared(n)
+    """How many pairs of neighbours, rare words first, hold two that any similar line has as neighbours too.
 
+    A line of n words and a similar one of m differ in at most (n + m) / 9 words, of which a <= n - 4 (n + m) / 9
+    are in this one only. Each word that only one has comes between two neighbours that both have, and no other, so
+    that of d + 2 common words in a row two are neighbours in both lines. That many words, and the a in between, are
+    the first n - (n + m) / 3 + 1 at most; one more has a second such pair, and m is 4/5 of n at least.
+    """
+    return F.least(n - 1, F.floor(n * 2 / 5).cast("int") + 2)
 
-def _near(nx: Column, ny: Column, i: Column, j: Column) -> Column:
-    """Whether lines of nx and ny words may be similar that share a word at i and j and fewer before than they must: by length, and by the words from there on."""
-    return (F.least(nx, ny) * 5 >= F.greatest(nx, ny) * 4) & ((F.least(nx - i, ny - j) + F.least(_shared(nx), _shared(ny)) - 1) * 9 >= (nx + ny) * 4)
 
+def _entries(seen: DataFrame, rarity: Column) -> DataFrame:
+    """(key, doc, v, pos): a row for each pair of neighbours in the beginning of each line; v is half of the line's hash and n, its number of words.
 
-def _apart(px: Column, py: Column, nx: Column, ny: Column) -> Column:
-    """Whether parities of word hashes differ in more bits than similar lines have words that aren't common."""
-    return F.bit_count(px.bitwiseXOR(py)) * 9 > nx + ny
+    Lines of up to three words have equals only, so they have one key, made of all words.
+    """
+    k = seen.select(F.col("at.doc").alias("doc"), F.xxhash64("line").alias("h"), _ordered("line", rarity).alias("k"))
+    n = F.size("k")
+    m = F.greatest(_prefix(n), F.lit(0))
+    pairs = F.zip_with(F.slice("k", 1, m), F.slice("k", 2, m), lambda a, b: F.shiftrightunsigned(F.xxhash64(a, b), 16))
+    keys = F.when(n > 3, pairs).otherwise(F.array(F.xxhash64("k", F.lit(0))))
+    v = F.shiftleft("h", 32).bitwiseOR(n.cast("long"))
+    e = k.select("doc", v.alias("v"), F.posexplode(keys).alias("pos", "key"))
+    return e.select("key", "doc", "v", "pos")
 
 
-def _entries(lines: DataFrame, first: Column, *more: str) -> DataFrame:
-    """(tok, h, doc, n, ..., parity, pos): a row for each of the ``first`` rarest words of each line."""
-    e = lines.select("h", "doc", F.size("k").alias("n"), *more, "parity", F.posexplode_outer(F.slice("k", 1, first)).alias("pos", "tok"))
-    # nothing may be null, or each side of a join tests for it in its own way and they can't share a shuffle
-    return e.select(F.coalesce("tok", F.lit(0)).alias("tok"), "h", "doc", F.coalesce("n", F.lit(0)).alias("n"), *more, "parity", F.coalesce("pos", F.lit(0)).alias("pos"))
+def _n(v: str) -> Column:
+    return F.col(v).bitwiseAND(F.lit(_LOW))
 
 
-def _anchors(lines: DataFrame) -> DataFrame:
-    """(tok, h, doc, n, parity): the ANCHORS least hashes of neighbours among a line's rare words.
+def _fit(vx: str, vy: str, i: str, j: str) -> Column:
+    """Whether lines that share neighbours at i and j may be similar, by their numbers of words and by the words before and behind."""
+    nx, ny = _n(vx), _n(vy)
+    common = F.least(nx - F.col(i), ny - F.col(j)) + F.least(F.col(i), F.col(j))
+    return (F.least(nx, ny) * 5 >= F.greatest(nx, ny) * 4) & (common * 9 >= (nx + ny) * 4)
 
-    Changed words are mostly rare, so single rare words tell copies apart; a near copy has most pairs of neighbours in common, and the least hash picks the same one.
-    """
-    n = F.least(F.size("k"), F.lit(AMONG))
-    pairs = F.zip_with(F.slice("k", 1, F.greatest(n - 1, F.lit(1))), F.slice("k", 2, F.greatest(n - 1, F.lit(1))), lambda a, b: F.hash(a, b))
-    e = lines.select("h", "doc", F.size("k").alias("n"), "parity", F.explode_outer(F.slice(F.sort_array(pairs), 1, ANCHORS)).alias("tok"))
-    return e.select(F.coalesce("tok", F.lit(0)).alias("tok"), "h", "doc", F.coalesce("n", F.lit(0)).alias("n"), "parity")
 
+def _candidates(docs: DataFrame):
+    """The table of (key, doc, v, pos), entries whose key another line has too, and with a null key of (doc, v, null_id, th, line_no), a row for each line.
 
-def _similar(pairs: DataFrame, lines: DataFrame) -> DataFrame:
-    """The x of the candidate pairs (x, y) that are later than y and have a Jaccard similarity of 4/5 or more."""
-    side = lambda c: lines.select(F.col("h").alias(c), F.struct("doc", "null_id", "th", "line_no").alias(f"at_{c}"), F.col("k").alias(f"k_{c}"))
-    both = pairs.join(side("x"), "x").join(side("y"), "y").where("at_x > at_y")
-    alike = F.size(F.array_intersect("k_x", "k_y")) * 9 >= (F.size("k_x") + F.size("k_y")) * 4
-    return both.where(alike).select(F.col("x").alias("h")).distinct()
+    Equal lines are one, the first, pre-aggregated before the shuffle, so that a line of very many copies is one row.
+    """
+    seen = _lines(docs).groupBy("line").agg(F.min(F.struct(*POSITION)).alias("at"))
+    e = _entries(seen, _rarity(docs)).repartition("key")
+    shared = e.groupBy("key").count().where("count > 1").select("key")
+    e = e.join(shared.hint("shuffle_hash"), "key", "left_semi").select("key", "doc", "v", "pos", F.lit(None).cast("boolean").alias("null_id"), F.lit(None).cast("long").alias("th"), F.lit(None).cast("int").alias("line_no"))
+    none = lambda t: F.lit(None).cast(t)
+    lines = seen.select(none("long").alias("key"), "at.doc", F.shiftleft(F.xxhash64("line"), 32).alias("v"), none("int").alias("pos"), "at.null_id", "at.th", "at.line_no")
+    return shared_table(e.unionByName(lines))
+
+
+def _similar(docs: DataFrame, pairs: DataFrame) -> DataFrame | None:
+    """The positions of the later lines of those pairs (x, y), structs of doc and v, whose Jaccard similarity is 4/5 or more; None if there are no pairs."""
+    name = lambda side: F.struct(F.col(f"{side}.doc").alias("doc"), F.shiftright(F.col(f"{side}.v"), 32).alias("h"))
+    pairs = cut(pairs.select(name("x").alias("x"), name("y").alias("y")))
+    ids = cut(pairs.select("x.*").union(pairs.select("y.*")).distinct())
+    n = ids.count()
+    if not n:
+        return None
+    small = F.broadcast if n <= BROADCAST else lambda df: df
+    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))
+    some = docs.select("doc_id", "text").withColumn("doc", doc).join(small(ids.select("doc").distinct()), "doc", "left_semi")
+    lines = _lines(some).withColumn("h", F.shiftright(F.shiftleft(F.xxhash64("line"), 32), 32)).join(small(ids), ["doc", "h"], "left_semi")
+    lines = lines.groupBy("doc", "h", "line").agg(F.min(F.struct("null_id", "th", "line_no")).alias("at"))
+    lines = cut(lines.select("doc", "h", F.struct("doc", "at.null_id", "at.th", "at.line_no").alias("at"), _words("line").alias("w")))
+    side = lambda c: lines.select(F.struct("doc", "h").alias(c), F.col("at").alias(f"at_{c}"), F.col("w").alias(f"w_{c}"))
+    both = pairs.join(side("x"), "x").join(side("y"), "y")
+    alike = F.size(F.array_intersect("w_x", "w_y")) * 9 >= (F.size("w_x") + F.size("w_y")) * 4
+    later = F.when(F.col("at_x") > F.col("at_y"), F.col("at_x")).otherwise(F.col("at_y"))
+    return cut(both.where((F.col("at_x") != F.col("at_y")) & alike).select(later.alias("at")).distinct().select("at.*"))
 
 
 def kept_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, th, line_no) of the lines that stay, but for blank ones, which always stay.
 
     A line goes if an earlier one, by doc_id (null last), hash of the text and number, has the same
-    words up to a Jaccard similarity of 4/5; case doesn't count. Lines are told apart by a 64-bit hash.
-    First, equal lines become one: the first, pre-aggregated before the shuffle, so that a line of very
-    many copies is one row. Then each line meets one earlier line for each of a few pairs of words; that
-    finds most lines of large groups of near copies, whose pairs are never all made. Every other line
-    meets all earlier lines by the prefix, length and positional filters; longer beginnings must share more words.
+    words up to a Jaccard similarity of 4/5; case doesn't count. Words are compared by 64-bit hashes.
+    First, equal lines become one. The keys of the join are pairs of neighbours in the beginnings of
+    lines, rare words first, which hardly any lines share that aren't similar; two must be shared, and
+    lengths and places must fit. Before all lines of a key meet, each line meets the first line of most of its
+    keys; that settles most lines of large groups of near copies, whose pairs are never all made.
     """
-    seen = _lines(docs, _rarity(docs)).groupBy("h").agg(F.min("f").alias("f"))
-    none = {"doc": F.lit(0), "null_id": F.lit(False), "th": F.lit(0), "line_no": F.lit(0), "parity": F.lit(0), "k": F.array().cast("array<int>")}
-    seen = seen.select("h", *[F.coalesce(F.col("f")[c], z).alias(c) for c, z in none.items()])
-
-    e = _anchors(seen)
-    run = Window.partitionBy("tok").orderBy("doc", "h").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    e = e.withColumn("a", F.first_value(F.struct("h", "n", "parity")).over(run))
-    e = e.where((F.col("a.h") != F.col("h")) & (F.least("n", "a.n") * 5 >= F.greatest("n", "a.n") * 4) & ~_apart(F.col("parity"), F.col("a.parity"), F.col("n"), F.col("a.n")))
-    early = _similar(e.select(F.col("h").alias("x"), F.col("a.h").alias("y")).distinct(), seen)
-
-    known = seen.join(early.select("h", F.lit(1).alias("gone")), "h", "left").withColumn("gone", F.coalesce("gone", F.lit(0)))
-    e = _entries(known, _prefix(F.size("k")), "gone")
-    x, y = (e.select(*[F.col(c).alias(f"{side}_{c}") for c in e.columns]) for side in "xy")
+    docs = docs.select("doc_id", "text")
+    spark = docs.sparkSession
+    table, path = _candidates(docs)
+    release(spark)
+    e = table.where("key is not null").select("key", "doc", "v", "pos")
+
+    first = F.min(F.struct("doc", "v", "pos")).alias("y")
+    star = e.join(e.groupBy("key").agg(first), "key").where((F.col("doc") != F.col("y.doc")) | (F.col("v") != F.col("y.v")))
+    star = star.where(_fit("v", "y.v", "pos", "y.pos")).groupBy(F.struct("doc", "v").alias("x"), F.struct("y.doc", "y.v").alias("y")).count()
+    star = star.groupBy("x").agg(F.max_by("y", F.struct("count", "y")).alias("y"))
+    early = _similar(docs, star)
+
+    x, y = (e.select(*[F.col(c).alias(f"{c}_{side}") for c in e.columns]) for side in "xy")
+    lines = table.where("key is null").select("doc", "v", "null_id", "th", "line_no")
+    if early is not None:
+        gone = lines.join(early, POSITION).select("doc", F.shiftright("v", 32).alias("h"))
+        x = x.join(gone, (x["doc_x"] == gone["doc"]) & (F.shiftright(x["v_x"], 32) == gone["h"]), "left_anti")
     c = F.col
-    # lines that are gone stay as partners; the test for it names both sides, and both have the same form, so that one shuffle serves both
-    meets = (c("x_tok") == c("y_tok")) & (c("x_h") != c("y_h")) & (c("y_doc") <= c("x_doc")) & (c("x_gone") * 2 <= c("y_gone"))
-    meets &= _near(c("x_n"), c("y_n"), c("x_pos"), c("y_pos")) & ~_apart(c("x_parity"), c("y_parity"), c("x_n"), c("y_n"))
-    needed = F.least(_shared(c("x_n")), _shared(c("y_n"))).alias("needed")
-    pairs = x.join(y, meets).select(c("x_h").alias("x"), c("y_h").alias("y"), needed)
-    pairs = pairs.groupBy("x", "y").agg(F.count("*").alias("n"), F.max("needed").alias("needed")).where("n >= needed").select("x", "y")
-    late = _similar(pairs, seen)
+    meets = (c("key_x") == c("key_y")) & (c("doc_y") <= c("doc_x")) & ((c("doc_y") != c("doc_x")) | (c("v_y") != c("v_x"))) & _fit("v_x", "v_y", "pos_x", "pos_y")
+    pairs = x.join(y, meets).groupBy(F.struct(c("doc_x").alias("doc"), c("v_x").alias("v")).alias("x"), F.struct(c("doc_y").alias("doc"), c("v_y").alias("v")).alias("y")).count()
+    late = _similar(docs, pairs.where((c("count") > 1) | (_n("x.v") <= 3)).select("x", "y"))
 
-    return known.where("gone = 0").join(late, "h", "left_anti").select(F.when(~F.col("null_id"), F.col("doc")).alias("doc_id"), "th", "line_no")
+    for found in (early, late):
+        if found is not None:
+            lines = lines.join(found, POSITION, "left_anti")
+    kept = cut(lines.select(F.when(~F.col("null_id"), F.col("doc")).alias("doc_id"), "th", "line_no"))
+    drop_table(spark, path)
+    release(spark)
+    return kept
 
 
 def line_report(docs: DataFrame) -> DataFrame:
@@ -147,12 +187,13 @@ def line_report(docs: DataFrame) -> DataFrame:
 
 def drop_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with the lines that stay as text and n_chars to match; a document all of whose lines went goes, one that had none stays."""
-    kept = kept_lines(docs).groupBy("doc_id", "th").agg(F.collect_list("line_no").alias("kept_"))
-    kept = kept.withColumnsRenamed({"doc_id": "id_", "th": "th_"})
-    names = docs.columns
-    out = docs.join(kept, docs["doc_id"].eqNullSafe(F.col("id_")) & (F.xxhash64(docs["text"]) == F.col("th_")), "left")
+    kept = kept_lines(docs).groupBy("doc_id", "th").agg(F.collect_list("line_no").alias("kept"))
+    rows, names = renamed(docs)
+    doc_id, text = (rows[f"c{docs.columns.index(c)}"] for c in ("doc_id", "text"))
+    out = rows.join(kept, doc_id.eqNullSafe(kept["doc_id"]) & (F.xxhash64(text) == kept["th"]), "left")
     blank = lambda l: ~l.rlike("[^ \t\x0b\x0c\r]")
-    stays = F.filter(F.split("text", "\n"), lambda l, i: blank(l) | F.array_contains(F.coalesce("kept_", F.array().cast("array<int>")), i))
-    had = F.coalesce(F.col("text").rlike("[^ \t\x0b\x0c\r\n]"), F.lit(False))
-    out = out.where(~had | F.col("kept_").isNotNull()).withColumn("text", F.array_join(stays, "\n")).withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*names)
+    stays = F.filter(F.split(text, "\n"), lambda l, i: blank(l) | F.array_contains(F.coalesce("kept", F.array().cast("array<int>")), i))
+    had = F.coalesce(text.rlike("[^ \t\x0b\x0c\r\n]"), F.lit(False))
+    out = out.where(~had | F.col("kept").isNotNull()).withColumn("left", F.array_join(stays, "\n"))
+    changed = {"text": F.col("left"), "n_chars": F.length("left").cast("long")}
+    return out.select(*[changed.get(c, F.col(k)).alias(c) for k, c in names.items()])
