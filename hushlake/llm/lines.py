@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import json
 
 from pyspark.sql import Column, DataFrame
@@ -68,19 +69,25 @@ def _prefix(n: Column) -> Column:
     return F.least(n - 1, F.floor(n * 2 / 5).cast("int") + 2)
 
 
-def _entries(seen: DataFrame, rarity: Column) -> DataFrame:
-    """(key, doc, v, pos): a row for each pair of neighbours in the beginning of each line; v is half of the line's hash and n, its number of words.
+def _entries(seen: DataFrame, rarity: Column, unique: bool) -> DataFrame:
+    """(key, name, null_id, v, pos): a row for each pair of neighbours in the beginning of each line; v is line_no and n, its number of words.
 
     Lines of up to three words have equals only, so they have one key, made of all words.
     """
-    k = seen.select(F.col("at.doc").alias("doc"), F.xxhash64("line").alias("h"), _ordered("line", rarity).alias("k"))
+    k = seen.select(_name(unique, "at.").alias("name"), "at.null_id", "at.line_no", _ordered("line", rarity).alias("k"))
     n = F.size("k")
     m = F.greatest(_prefix(n), F.lit(0))
     pairs = F.zip_with(F.slice("k", 1, m), F.slice("k", 2, m), lambda a, b: F.shiftrightunsigned(F.xxhash64(a, b), 16))
     keys = F.when(n > 3, pairs).otherwise(F.array(F.xxhash64("k", F.lit(0))))
-    v = F.shiftleft("h", 32).bitwiseOR(n.cast("long"))
-    e = k.select("doc", v.alias("v"), F.posexplode(keys).alias("pos", "key"))
-    return e.select("key", "doc", "v", "pos")
+    v = F.shiftleft(F.col("line_no").cast("long"), 32).bitwiseOR(n.cast("long"))
+    e = k.select("name", "null_id", v.alias("v"), F.posexplode(keys).alias("pos", "key"))
+    return e.select("key", "name", "null_id", "v", "pos")
+
+
+def _name(unique: bool, at: str = "") -> Column:
+    """Names a document: its id, or the hash of its text if that is null or ids repeat."""
+    null_id, th, doc = (F.col(f"{at}{c}") for c in ("null_id", "th", "doc"))
+    return F.when(null_id, th).otherwise(doc) if unique else th
 
 
 def _n(v: str) -> Column:
@@ -94,35 +101,36 @@ def _fit(vx: str, vy: str, i: str, j: str) -> Column:
     return (F.least(nx, ny) * 5 >= F.greatest(nx, ny) * 4) & (common * 9 >= (nx + ny) * 4)
 
 
-def _candidates(docs: DataFrame):
-    """The table of (key, doc, v, pos), entries whose key another line has too, and with a null key of (doc, v, null_id, th, line_no), a row for each line.
+def _candidates(docs: DataFrame, unique: bool) -> tuple[DataFrame, str]:
+    """The table of (key, name, null_id, v, pos), entries whose key another has too, and with a null key of (doc, null_id, th, line_no), a row for each line.
 
     Equal lines are one, the first, pre-aggregated before the shuffle, so that a line of very many copies is one row.
     """
     seen = _lines(docs).groupBy("line").agg(F.min(F.struct(*POSITION)).alias("at"))
-    e = _entries(seen, _rarity(docs)).repartition("key")
-    shared = e.groupBy("key").count().where("count > 1").select("key")
-    e = e.join(shared.hint("shuffle_hash"), "key", "left_semi").select("key", "doc", "v", "pos", F.lit(None).cast("boolean").alias("null_id"), F.lit(None).cast("long").alias("th"), F.lit(None).cast("int").alias("line_no"))
+    e = _entries(seen, _rarity(docs), unique).repartition("key")
+    # whether a key has several rows is asked of all columns, so that this side reads the shuffle that the other reads
+    several = [F.min(c) < F.max(c) for c in ("name", "v", "pos")] + [F.min(F.col("null_id").cast("int")) < F.max(F.col("null_id").cast("int"))]
+    shared = e.groupBy("key").agg(functools.reduce(Column.__or__, several).alias("several")).where("several").select("key")
     none = lambda t: F.lit(None).cast(t)
-    lines = seen.select(none("long").alias("key"), "at.doc", F.shiftleft(F.xxhash64("line"), 32).alias("v"), none("int").alias("pos"), "at.null_id", "at.th", "at.line_no")
+    e = e.join(shared.hint("shuffle_hash"), "key", "left_semi").select("key", "name", "null_id", "v", "pos", none("long").alias("th"), none("int").alias("line_no"))
+    lines = seen.select(none("long").alias("key"), F.col("at.doc").alias("name"), "at.null_id", none("long").alias("v"), none("int").alias("pos"), "at.th", "at.line_no")
     return shared_table(e.unionByName(lines))
 
 
-def _similar(docs: DataFrame, pairs: DataFrame) -> DataFrame | None:
-    """The positions of the later lines of those pairs (x, y), structs of doc and v, whose Jaccard similarity is 4/5 or more; None if there are no pairs."""
-    name = lambda side: F.struct(F.col(f"{side}.doc").alias("doc"), F.shiftright(F.col(f"{side}.v"), 32).alias("h"))
-    pairs = cut(pairs.select(name("x").alias("x"), name("y").alias("y")))
+def _similar(docs: DataFrame, pairs: DataFrame, unique: bool) -> DataFrame | None:
+    """The positions of the later lines of those pairs (x, y), structs of name and v, whose Jaccard similarity is 4/5 or more; None if there are no pairs."""
+    line = lambda side: F.struct(F.col(f"{side}.name").alias("name"), F.shiftright(F.col(f"{side}.v"), 32).cast("int").alias("line_no"))
+    pairs = cut(pairs.select(line("x").alias("x"), line("y").alias("y")))
     ids = cut(pairs.select("x.*").union(pairs.select("y.*")).distinct())
     n = ids.count()
     if not n:
         return None
     small = F.broadcast if n <= BROADCAST else lambda df: df
-    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))
-    some = docs.select("doc_id", "text").withColumn("doc", doc).join(small(ids.select("doc").distinct()), "doc", "left_semi")
-    lines = _lines(some).withColumn("h", F.shiftright(F.shiftleft(F.xxhash64("line"), 32), 32)).join(small(ids), ["doc", "h"], "left_semi")
-    lines = lines.groupBy("doc", "h", "line").agg(F.min(F.struct("null_id", "th", "line_no")).alias("at"))
-    lines = cut(lines.select("doc", "h", F.struct("doc", "at.null_id", "at.th", "at.line_no").alias("at"), _words("line").alias("w")))
-    side = lambda c: lines.select(F.struct("doc", "h").alias(c), F.col("at").alias(f"at_{c}"), F.col("w").alias(f"w_{c}"))
+    name = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")) if unique else F.xxhash64("text")
+    some = docs.select("doc_id", "text", name.alias("name")).join(small(ids.select("name").distinct()), "name", "left_semi")
+    lines = _lines(some).withColumn("name", _name(unique)).join(small(ids), ["name", "line_no"], "left_semi")
+    lines = cut(lines.select("name", "line_no", F.struct(*POSITION).alias("at"), _words("line").alias("w")).distinct())
+    side = lambda c: lines.select(F.struct("name", "line_no").alias(c), F.col("at").alias(f"at_{c}"), F.col("w").alias(f"w_{c}"))
     both = pairs.join(side("x"), "x").join(side("y"), "y")
     alike = F.size(F.array_intersect("w_x", "w_y")) * 9 >= (F.size("w_x") + F.size("w_y")) * 4
     later = F.when(F.col("at_x") > F.col("at_y"), F.col("at_x")).otherwise(F.col("at_y"))
@@ -141,25 +149,31 @@ def kept_lines(docs: DataFrame) -> DataFrame:
     """
     docs = docs.select("doc_id", "text")
     spark = docs.sparkSession
-    table, path = _candidates(docs)
+    unique = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
+    table, path = _candidates(docs, unique)
     release(spark)
-    e = table.where("key is not null").select("key", "doc", "v", "pos")
+    e = table.where("key is not null").select("key", "name", "null_id", "v", "pos")
 
-    first = F.min(F.struct("doc", "v", "pos")).alias("y")
-    star = e.join(e.groupBy("key").agg(first), "key").where((F.col("doc") != F.col("y.doc")) | (F.col("v") != F.col("y.v")))
-    star = star.where(_fit("v", "y.v", "pos", "y.pos")).groupBy(F.struct("doc", "v").alias("x"), F.struct("y.doc", "y.v").alias("y")).count()
+    first = F.min(F.struct("null_id", "name", "v", "pos")).alias("y")
+    star = e.join(e.groupBy("key").agg(first), "key").where((F.col("name") != F.col("y.name")) | (F.col("v") != F.col("y.v")))
+    star = star.where(_fit("v", "y.v", "pos", "y.pos")).groupBy(F.struct("name", "v").alias("x"), F.struct("y.name", "y.v").alias("y")).count()
     star = star.groupBy("x").agg(F.max_by("y", F.struct("count", "y")).alias("y"))
-    early = _similar(docs, star)
+    early = _similar(docs, star, unique)
 
     x, y = (e.select(*[F.col(c).alias(f"{c}_{side}") for c in e.columns]) for side in "xy")
-    lines = table.where("key is null").select("doc", "v", "null_id", "th", "line_no")
+    lines = table.where("key is null").select(F.col("name").alias("doc"), "null_id", "th", "line_no")
     if early is not None:
-        gone = lines.join(early, POSITION).select("doc", F.shiftright("v", 32).alias("h"))
-        x = x.join(gone, (x["doc_x"] == gone["doc"]) & (F.shiftright(x["v_x"], 32) == gone["h"]), "left_anti")
+        gone = early.select(_name(unique).alias("name"), "line_no")
+        x = x.join(gone, (x["name_x"] == gone["name"]) & (F.shiftright(x["v_x"], 32) == gone["line_no"]), "left_anti")
     c = F.col
-    meets = (c("key_x") == c("key_y")) & (c("doc_y") <= c("doc_x")) & ((c("doc_y") != c("doc_x")) | (c("v_y") != c("v_x"))) & _fit("v_x", "v_y", "pos_x", "pos_y")
-    pairs = x.join(y, meets).groupBy(F.struct(c("doc_x").alias("doc"), c("v_x").alias("v")).alias("x"), F.struct(c("doc_y").alias("doc"), c("v_y").alias("v")).alias("y")).count()
-    late = _similar(docs, pairs.where((c("count") > 1) | (_n("x.v") <= 3)).select("x", "y"))
+    other = (c("name_y") != c("name_x")) | (c("v_y") != c("v_x"))
+    before = F.lit(True)  # narrows the search only; ``_similar`` tells which one is later
+    if unique:
+        before = (c("null_id_y") < c("null_id_x")) | ((c("null_id_y") == c("null_id_x")) & (c("null_id_x") | (c("name_y") <= c("name_x"))))
+    meets = (c("key_x") == c("key_y")) & other & before & _fit("v_x", "v_y", "pos_x", "pos_y")
+    pair = [F.struct(c(f"name_{side}").alias("name"), c(f"v_{side}").alias("v")).alias(side) for side in "xy"]
+    pairs = x.join(y, meets).groupBy(*pair).count()
+    late = _similar(docs, pairs.where((c("count") > 1) | (_n("x.v") <= 3)).select("x", "y"), unique)
 
     for found in (early, late):
         if found is not None:

@@ -61,6 +61,24 @@ def test_lines_against_brute_force(spark):
     assert n > 3000
 
 
+def test_ids_that_repeat(spark):
+    rare = [f"w{i}" for i in range(400)]
+    rows = [(i % 40 if i % 3 else 7, t) for i, t in corpus(9, 150, rare, 20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"], r["n_lines"], r["removed"]) for r in lines.line_report(df).collect())
+    seen, want = [], []
+    th = {r["text"]: r["th"] for r in df.selectExpr("text", "xxhash64(text) th").collect()}
+    for d, t in sorted(set(rows), key=lambda r: (r[0], th[r[1]])):
+        gone = []
+        for i, x in enumerate(t.split("\n")):
+            if w := words(x):
+                if any(len(w & v) * 9 >= 4 * (len(w) + len(v)) for v in seen):
+                    gone.append(i)
+                seen.append(w)
+        want += [(d, len(t.split("\n")), gone)] * rows.count((d, t))
+    assert got == sorted(want)
+
+
 def test_group_of_near_copies(spark):
     rng = random.Random(5)
     base = [f"b{i}" for i in range(40)]
