@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import json
 
 from pyspark.sql import Column, DataFrame
@@ -12,10 +11,10 @@ from .common import cut, drop_table, release, renamed, shared_table
 
 #: Counters of word frequency. A word counts with all words of its hash, which changes the order only, not the result.
 COUNTERS = 1 << 14
-#: Lines of candidate pairs up to which their names are broadcast (about 12 MB); beyond, they are joined by a shuffle.
+#: Lines that are broadcast by name at most (about 12 MB); more are joined by a shuffle.
 BROADCAST = 1 << 19
 _LAST = (1 << 63) - 1
-_LOW = 0xFFFFFFFF
+_MOST = (1 << 16) - 1
 POSITION = ["doc", "null_id", "th", "line_no"]
 
 
@@ -69,19 +68,24 @@ def _prefix(n: Column) -> Column:
     return F.least(n - 1, F.floor(n * 2 / 5).cast("int") + 2)
 
 
-def _entries(seen: DataFrame, rarity: Column, unique: bool) -> DataFrame:
-    """(key, name, null_id, v, pos): a row for each pair of neighbours in the beginning of each line; v is line_no and n, its number of words.
+def _entries(lines: DataFrame, rarity: Column, unique: bool) -> DataFrame:
+    """(v, key, name): a row for each pair of neighbours in the beginning of each line; see ``_packed`` for v.
 
     Lines of up to three words have equals only, so they have one key, made of all words.
     """
-    k = seen.select(_name(unique, "at.").alias("name"), "at.null_id", "at.line_no", _ordered("line", rarity).alias("k"))
+    k = lines.select(_name(unique).alias("name"), "null_id", "line_no", _ordered("line", rarity).alias("k"))
     n = F.size("k")
     m = F.greatest(_prefix(n), F.lit(0))
     pairs = F.zip_with(F.slice("k", 1, m), F.slice("k", 2, m), lambda a, b: F.shiftrightunsigned(F.xxhash64(a, b), 16))
     keys = F.when(n > 3, pairs).otherwise(F.array(F.xxhash64("k", F.lit(0))))
-    v = F.shiftleft(F.col("line_no").cast("long"), 32).bitwiseOR(n.cast("long"))
-    e = k.select("name", "null_id", v.alias("v"), F.posexplode(keys).alias("pos", "key"))
-    return e.select("key", "name", "null_id", "v", "pos")
+    e = k.select("name", _packed(n).alias("v"), F.posexplode(keys).alias("pos", "key"))
+    return e.select(F.col("v").bitwiseOR(F.least("pos", F.lit(_MOST)).cast("long")).alias("v"), F.coalesce("key", F.lit(0)).alias("key"), "name")
+
+
+def _packed(n: Column) -> Column:
+    """In one long: null_id as the sign, line_no in 31 bits, n, the number of words, in 16, and 16 bits free for the place. The last two stop at ``_MOST``."""
+    null_id = F.when(F.col("null_id"), F.lit(-1 << 63)).otherwise(F.lit(0))
+    return null_id.bitwiseOR(F.shiftleft(F.col("line_no").cast("long"), 32)).bitwiseOR(F.shiftleft(F.least(n, F.lit(_MOST)).cast("long"), 16))
 
 
 def _name(unique: bool, at: str = "") -> Column:
@@ -90,36 +94,56 @@ def _name(unique: bool, at: str = "") -> Column:
     return F.when(null_id, th).otherwise(doc) if unique else th
 
 
+def _line(v: str) -> Column:
+    return F.shiftright(v, 32)
+
+
 def _n(v: str) -> Column:
-    return F.col(v).bitwiseAND(F.lit(_LOW))
+    return F.shiftright(v, 16).bitwiseAND(F.lit(_MOST))
 
 
-def _fit(vx: str, vy: str, i: str, j: str) -> Column:
-    """Whether lines that share neighbours at i and j may be similar, by their numbers of words and by the words before and behind."""
+def _fit(vx: str, vy: str) -> Column:
+    """Whether lines that share neighbours may be similar, by their numbers of words and by the words before and behind; those too long to tell may be."""
     nx, ny = _n(vx), _n(vy)
-    common = F.least(nx - F.col(i), ny - F.col(j)) + F.least(F.col(i), F.col(j))
-    return (F.least(nx, ny) * 5 >= F.greatest(nx, ny) * 4) & (common * 9 >= (nx + ny) * 4)
+    i, j = (F.col(v).bitwiseAND(F.lit(_MOST)) for v in (vx, vy))
+    common = F.least(nx - i, ny - j) + F.least(i, j)
+    return (F.greatest(nx, ny) == _MOST) | ((F.least(nx, ny) * 5 >= F.greatest(nx, ny) * 4) & (common * 9 >= (nx + ny) * 4))
+
+
+def _firsts(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The table of (h, g, n, doc, null_id, th, line_no): of equal lines, told apart by 96 bits of hashes, their number and the first."""
+    h = {"h": F.xxhash64("line"), "g": F.hash("line")}
+    return shared_table(_lines(docs).withColumns(h).groupBy("h", "g").agg(F.count("*").alias("n"), F.min(F.struct(*POSITION)).alias("at")).select("h", "g", "n", "at.*"))
 
 
-def _candidates(docs: DataFrame, unique: bool) -> tuple[DataFrame, str]:
-    """The table of (key, name, null_id, v, pos), entries whose key another has too, and with a null key of (doc, null_id, th, line_no), a row for each line.
+def _without_copies(docs: DataFrame, firsts: DataFrame) -> DataFrame:
+    """The lines of docs without copies of those that have most; at most BROADCAST lines are broadcast for that.
 
-    Equal lines are one, the first, pre-aggregated before the shuffle, so that a line of very many copies is one row.
+    Copies of lines with fewer than that stay; they are similar lines like any other.
     """
-    seen = _lines(docs).groupBy("line").agg(F.min(F.struct(*POSITION)).alias("at"))
-    e = _entries(seen, _rarity(docs), unique).repartition("key")
+    sizes = firsts.where("n > 1").groupBy(F.floor(F.log2(F.col("n").cast("double"))).cast("int").alias("size")).count().collect()  # at most 63 rows
+    least, total = 63, 0
+    for r in sorted(sizes, reverse=True):
+        if (total := total + r["count"]) > BROADCAST:
+            break
+        least = r["size"]
+    most = firsts.where((F.col("n") > 1) & (F.col("n") >= 1 << min(least, 62))).select("h", "g", F.struct(*POSITION).alias("first"))
+    lines = _lines(docs).withColumns({"h": F.xxhash64("line"), "g": F.hash("line")}).join(F.broadcast(most), ["h", "g"], "left")
+    return lines.where(F.col("first").isNull() | (F.struct(*POSITION) == F.col("first"))).select(*POSITION, "line")
+
+
+def _candidates(docs: DataFrame, firsts: DataFrame, unique: bool) -> tuple[DataFrame, str]:
+    """The table of entries whose key another has too."""
+    e = _entries(_without_copies(docs, firsts), _rarity(docs), unique).repartition("key")
     # whether a key has several rows is asked of all columns, so that this side reads the shuffle that the other reads
-    several = [F.min(c) < F.max(c) for c in ("name", "v", "pos")] + [F.min(F.col("null_id").cast("int")) < F.max(F.col("null_id").cast("int"))]
-    shared = e.groupBy("key").agg(functools.reduce(Column.__or__, several).alias("several")).where("several").select("key")
-    none = lambda t: F.lit(None).cast(t)
-    e = e.join(shared.hint("shuffle_hash"), "key", "left_semi").select("key", "name", "null_id", "v", "pos", none("long").alias("th"), none("int").alias("line_no"))
-    lines = seen.select(none("long").alias("key"), F.col("at.doc").alias("name"), "at.null_id", none("long").alias("v"), none("int").alias("pos"), "at.th", "at.line_no")
-    return shared_table(e.unionByName(lines))
+    several = (F.min("name") < F.max("name")) | (F.min("v") < F.max("v"))
+    shared = e.groupBy("key").agg(several.alias("several")).where("several").select("key")
+    return shared_table(e.join(shared.hint("shuffle_hash"), "key", "left_semi").select("v", "key", "name"))
 
 
 def _similar(docs: DataFrame, pairs: DataFrame, unique: bool) -> DataFrame | None:
-    """The positions of the later lines of those pairs (x, y), structs of name and v, whose Jaccard similarity is 4/5 or more; None if there are no pairs."""
-    line = lambda side: F.struct(F.col(f"{side}.name").alias("name"), F.shiftright(F.col(f"{side}.v"), 32).cast("int").alias("line_no"))
+    """The positions of the later lines of those pairs (x, y), structs of name and v without the place, whose Jaccard similarity is 4/5 or more; None if there are no pairs."""
+    line = lambda side: F.struct(F.col(f"{side}.name").alias("name"), F.shiftright(f"{side}.v", 16).bitwiseAND(F.lit((1 << 31) - 1)).cast("int").alias("line_no"))
     pairs = cut(pairs.select(line("x").alias("x"), line("y").alias("y")))
     ids = cut(pairs.select("x.*").union(pairs.select("y.*")).distinct())
     n = ids.count()
@@ -150,36 +174,37 @@ def kept_lines(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     spark = docs.sparkSession
     unique = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
-    table, path = _candidates(docs, unique)
+    firsts, of_firsts = _firsts(docs)
+    e, of_e = _candidates(docs, firsts, unique)
     release(spark)
-    e = table.where("key is not null").select("key", "name", "null_id", "v", "pos")
 
-    first = F.min(F.struct("null_id", "name", "v", "pos")).alias("y")
-    star = e.join(e.groupBy("key").agg(first), "key").where((F.col("name") != F.col("y.name")) | (F.col("v") != F.col("y.v")))
-    star = star.where(_fit("v", "y.v", "pos", "y.pos")).groupBy(F.struct("name", "v").alias("x"), F.struct("y.name", "y.v").alias("y")).count()
+    first = F.min(F.struct((F.col("v") < 0).alias("null_id"), "name", "v")).alias("y")
+    star = e.join(e.groupBy("key").agg(first), "key").where((F.col("name") != F.col("y.name")) | (_line("v") != _line("y.v")))
+    star = star.where(_fit("v", "y.v")).groupBy(F.struct("name", F.shiftright("v", 16).alias("v")).alias("x"), F.struct("y.name", F.shiftright("y.v", 16).alias("v")).alias("y")).count()
     star = star.groupBy("x").agg(F.max_by("y", F.struct("count", "y")).alias("y"))
     early = _similar(docs, star, unique)
 
     x, y = (e.select(*[F.col(c).alias(f"{c}_{side}") for c in e.columns]) for side in "xy")
-    lines = table.where("key is null").select(F.col("name").alias("doc"), "null_id", "th", "line_no")
     if early is not None:
         gone = early.select(_name(unique).alias("name"), "line_no")
-        x = x.join(gone, (x["name_x"] == gone["name"]) & (F.shiftright(x["v_x"], 32) == gone["line_no"]), "left_anti")
+        x = x.join(gone, (x["name_x"] == gone["name"]) & (_line("v_x").bitwiseAND(F.lit((1 << 31) - 1)) == gone["line_no"]), "left_anti")
     c = F.col
-    other = (c("name_y") != c("name_x")) | (c("v_y") != c("v_x"))
+    other = (c("name_y") != c("name_x")) | (_line("v_y") != _line("v_x"))
     before = F.lit(True)  # narrows the search only; ``_similar`` tells which one is later
     if unique:
-        before = (c("null_id_y") < c("null_id_x")) | ((c("null_id_y") == c("null_id_x")) & (c("null_id_x") | (c("name_y") <= c("name_x"))))
-    meets = (c("key_x") == c("key_y")) & other & before & _fit("v_x", "v_y", "pos_x", "pos_y")
-    pair = [F.struct(c(f"name_{side}").alias("name"), c(f"v_{side}").alias("v")).alias(side) for side in "xy"]
+        before = ((c("v_y") >= 0) & (c("v_x") < 0)) | (((c("v_y") < 0) == (c("v_x") < 0)) & ((c("v_x") < 0) | (c("name_y") <= c("name_x"))))
+    meets = (c("key_x") == c("key_y")) & other & before & _fit("v_x", "v_y")
+    pair = [F.struct(c(f"name_{side}").alias("name"), F.shiftright(f"v_{side}", 16).alias("v")).alias(side) for side in "xy"]
     pairs = x.join(y, meets).groupBy(*pair).count()
-    late = _similar(docs, pairs.where((c("count") > 1) | (_n("x.v") <= 3)).select("x", "y"), unique)
+    late = _similar(docs, pairs.where((c("count") > 1) | (c("x.v").bitwiseAND(F.lit(_MOST)) <= 3)).select("x", "y"), unique)
 
+    lines = firsts.select(*POSITION)
     for found in (early, late):
         if found is not None:
             lines = lines.join(found, POSITION, "left_anti")
     kept = cut(lines.select(F.when(~F.col("null_id"), F.col("doc")).alias("doc_id"), "th", "line_no"))
-    drop_table(spark, path)
+    drop_table(spark, of_firsts)
+    drop_table(spark, of_e)
     release(spark)
     return kept
 
