@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, drop_table, release, renamed, shared_table
@@ -134,11 +134,9 @@ def _without_copies(docs: DataFrame, firsts: DataFrame) -> DataFrame:
 
 def _candidates(docs: DataFrame, firsts: DataFrame, unique: bool) -> tuple[DataFrame, str]:
     """The table of entries whose key another has too."""
-    e = _entries(_without_copies(docs, firsts), _rarity(docs), unique).repartition("key")
-    # whether a key has several rows is asked of all columns, so that this side reads the shuffle that the other reads
-    several = (F.min("name") < F.max("name")) | (F.min("v") < F.max("v"))
-    shared = e.groupBy("key").agg(several.alias("several")).where("several").select("key")
-    return shared_table(e.join(shared.hint("shuffle_hash"), "key", "left_semi").select("v", "key", "name"))
+    e = _entries(_without_copies(docs, firsts), _rarity(docs), unique)
+    rows = F.count("*").over(Window.partitionBy("key"))  # spills where a key has many
+    return shared_table(e.withColumn("rows", rows).where("rows > 1").drop("rows"))
 
 
 def _similar(docs: DataFrame, pairs: DataFrame, unique: bool) -> DataFrame | None:
