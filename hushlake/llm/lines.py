@@ -18,18 +18,22 @@ _MOST = (1 << 16) - 1
 POSITION = ["doc", "null_id", "th", "line_no"]
 
 
+def _full(line: Column) -> Column:
+    return F.trim(line, F.lit(" \t\x0b\x0c\r")) != ""
+
+
 def _plain(text: str) -> Column:
     """The text in lower case, with blanks for all other white space inside lines."""
-    c = F.lower(F.col(text).cast("string"))
+    lower = blanks = F.lower(F.col(text).cast("string"))
     for x in "\t\x0b\x0c\r":
-        c = F.replace(c, F.lit(x), F.lit(" "))
-    return c
+        blanks = F.replace(blanks, F.lit(x), F.lit(" "))
+    return F.when(F.col(text).cast("string").rlike("[\t\x0b\x0c\r]"), blanks).otherwise(lower)
 
 
 def _lines(docs: DataFrame) -> DataFrame:
     """(doc, null_id, th, line_no, line): the lines that aren't blank; doc is doc_id, null last, th tells rows of one doc_id apart."""
     d = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), F.col("doc_id").isNull().alias("null_id"), F.xxhash64("text").alias("th"), _plain("text").alias("text"))
-    return d.select("doc", "null_id", "th", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(F.trim("line") != "")
+    return d.select("doc", "null_id", "th", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(_full(F.col("line")))
 
 
 def _rarity(docs: DataFrame) -> Column:
@@ -43,7 +47,7 @@ def _rarity(docs: DataFrame) -> Column:
     got = [1] * COUNTERS
     for r in n.select("i", level.alias("level")).collect():  # at most COUNTERS rows
         got[r["i"]] = r["level"]
-    return F.from_json(F.lit(json.dumps(got, separators=(",", ":"))), "array<int>")
+    return F.from_json(F.lit(json.dumps(got, separators=(",", ":"))), "array<bigint>")
 
 
 def _words(line: str) -> Column:
@@ -53,7 +57,7 @@ def _words(line: str) -> Column:
 
 def _ordered(line: str, rarity: Column) -> Column:
     """The distinct words of a line, rare ones first: the level of the word's counter, and behind it 56 bits of its hash."""
-    level = lambda x: F.get(rarity, x.bitwiseAND(F.lit(COUNTERS - 1)).cast("int")).cast("long")
+    level = lambda x: F.get(rarity, x.bitwiseAND(F.lit(COUNTERS - 1)).cast("int"))
     return F.sort_array(F.transform(_words(line), lambda x: F.shiftleft(level(x), 56).bitwiseOR(F.shiftrightunsigned(x, 8))))
 
 
@@ -103,11 +107,11 @@ def _n(v: str) -> Column:
 
 
 def _fit(vx: str, vy: str) -> Column:
-    """Whether lines that share neighbours may be similar, by their numbers of words and by the words before and behind; those too long to tell may be."""
+    """Whether lines that share neighbours may be similar, by their numbers of words and by the words before and behind, unless one is too long to tell."""
     nx, ny = _n(vx), _n(vy)
     i, j = (F.col(v).bitwiseAND(F.lit(_MOST)) for v in (vx, vy))
     common = F.least(nx - i, ny - j) + F.least(i, j)
-    return (F.greatest(nx, ny) == _MOST) | ((F.least(nx, ny) * 5 >= F.greatest(nx, ny) * 4) & (common * 9 >= (nx + ny) * 4))
+    return (F.least(nx, ny) * 5 >= F.greatest(nx, ny) * 4) & ((F.greatest(nx, ny) == _MOST) | (common * 9 >= (nx + ny) * 4))
 
 
 def _firsts(docs: DataFrame) -> tuple[DataFrame, str]:
@@ -133,10 +137,14 @@ def _without_copies(docs: DataFrame, firsts: DataFrame) -> DataFrame:
 
 
 def _candidates(docs: DataFrame, firsts: DataFrame, unique: bool) -> tuple[DataFrame, str]:
-    """The table of entries whose key another has too."""
+    """The table of entries (v, key, name) that share the key with one of a similar number of words, each with the first of them, (first_name, first_v)."""
     e = _entries(_without_copies(docs, firsts), _rarity(docs), unique)
-    rows = F.count("*").over(Window.partitionBy("key"))  # spills where a key has many
-    return shared_table(e.withColumn("rows", rows).where("rows > 1").drop("rows"))
+    key = Window.partitionBy("key")  # spills where a key has many rows
+    e = e.withColumn("rows", F.count("*").over(key)).where("rows > 1").drop("rows").withColumn("n", _n("v"))
+    least = e.withColumns({"less": F.lag("n").over(key.orderBy("n")), "more": F.lead("n").over(key.orderBy("n"))})
+    e = least.where("5 * less >= 4 * n or 5 * n >= 4 * more").select("v", "key", "name")
+    first = F.first(F.struct("name", "v")).over(key.orderBy(F.col("v") < 0, "name", "v"))
+    return shared_table(e.withColumn("first", first).select("v", "key", "name", F.col("first.name").alias("first_name"), F.col("first.v").alias("first_v")))
 
 
 def _similar(docs: DataFrame, pairs: DataFrame, unique: bool) -> DataFrame | None:
@@ -176,15 +184,16 @@ def kept_lines(docs: DataFrame) -> DataFrame:
     e, of_e = _candidates(docs, firsts, unique)
     release(spark)
 
-    first = F.min(F.struct((F.col("v") < 0).alias("null_id"), "name", "v")).alias("y")
-    star = e.join(e.groupBy("key").agg(first), "key").where((F.col("name") != F.col("y.name")) | (_line("v") != _line("y.v")))
-    star = star.where(_fit("v", "y.v")).groupBy(F.struct("name", F.shiftright("v", 16).alias("v")).alias("x"), F.struct("y.name", F.shiftright("y.v", 16).alias("v")).alias("y")).count()
-    star = star.groupBy("x").agg(F.max_by("y", F.struct("count", "y")).alias("y"))
-    early = _similar(docs, star, unique)
+    star = e.where((F.col("name") != F.col("first_name")) | (_line("v") != _line("first_v"))).where(_fit("v", "first_v"))
+    line = lambda side: F.struct(F.col(f"{side}name").alias("name"), F.shiftright(f"{side}v", 16).alias("v"))
+    star = star.groupBy(line("").alias("x"), line("first_").alias("y")).count().where((F.col("count") > 1) | (F.col("x.v").bitwiseAND(F.lit(_MOST)) <= 3))
+    early = _similar(docs, star.groupBy("x").agg(F.max_by("y", F.struct("count", "y")).alias("y")), unique)
+    release(spark)
 
-    x, y = (e.select(*[F.col(c).alias(f"{c}_{side}") for c in e.columns]) for side in "xy")
+    x, y = (e.select(*[F.col(c).alias(f"{c}_{side}") for c in ("v", "key", "name")]) for side in "xy")
     if early is not None:
         gone = early.select(_name(unique).alias("name"), "line_no")
+        gone = F.broadcast(gone) if gone.count() <= BROADCAST else gone
         x = x.join(gone, (x["name_x"] == gone["name"]) & (_line("v_x").bitwiseAND(F.lit((1 << 31) - 1)) == gone["line_no"]), "left_anti")
     c = F.col
     other = (c("name_y") != c("name_x")) | (_line("v_y") != _line("v_x"))
@@ -214,7 +223,7 @@ def line_report(docs: DataFrame) -> DataFrame:
     """
     kept = kept_lines(docs).groupBy("doc_id", "th").agg(F.collect_list("line_no").alias("kept"))
     lines = F.split(F.col("text"), "\n")
-    full = F.filter(F.transform(lines, lambda l, i: F.when(l.rlike("[^ \t\x0b\x0c\r]"), i)), lambda i: i.isNotNull())
+    full = F.filter(F.transform(lines, lambda l, i: F.when(_full(l), i)), lambda i: i.isNotNull())
     own = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("own"), F.coalesce(F.size(lines), F.lit(0)).alias("n"), full.alias("full"))
     own = own.withColumn("n_lines", F.greatest("n", F.lit(0)))
     out = own.join(kept, own["id"].eqNullSafe(kept["doc_id"]) & (own["own"] == kept["th"]), "left")
@@ -228,8 +237,7 @@ def drop_lines(docs: DataFrame) -> DataFrame:
     rows, names = renamed(docs)
     doc_id, text = (rows[f"c{docs.columns.index(c)}"] for c in ("doc_id", "text"))
     out = rows.join(kept, doc_id.eqNullSafe(kept["doc_id"]) & (F.xxhash64(text) == kept["th"]), "left")
-    blank = lambda l: ~l.rlike("[^ \t\x0b\x0c\r]")
-    stays = F.filter(F.split(text, "\n"), lambda l, i: blank(l) | F.array_contains(F.coalesce("kept", F.array().cast("array<int>")), i))
+    stays = F.filter(F.split(text, "\n"), lambda l, i: ~_full(l) | F.array_contains(F.coalesce("kept", F.array().cast("array<int>")), i))
     had = F.coalesce(text.rlike("[^ \t\x0b\x0c\r\n]"), F.lit(False))
     out = out.where(~had | F.col("kept").isNotNull()).withColumn("left", F.array_join(stays, "\n"))
     changed = {"text": F.col("left"), "n_chars": F.length("left").cast("long")}
