@@ -137,20 +137,24 @@ def _without_copies(docs: DataFrame, firsts: DataFrame) -> DataFrame:
 
 
 def _candidates(docs: DataFrame, firsts: DataFrame, unique: bool) -> tuple[DataFrame, str]:
-    """The table of entries (v, key, name) that share the key with one of a similar number of words, each with the first of them, (first_name, first_v)."""
+    """The table of entries (v, key, name) that share the key with one of a similar number of words, each with the first of them and the one before."""
     e = _entries(_without_copies(docs, firsts), _rarity(docs), unique)
     key = Window.partitionBy("key")  # spills where a key has many rows
     e = e.withColumn("rows", F.count("*").over(key)).where("rows > 1").drop("rows").withColumn("n", _n("v"))
     least = e.withColumns({"less": F.lag("n").over(key.orderBy("n")), "more": F.lead("n").over(key.orderBy("n"))})
     e = least.where("5 * less >= 4 * n or 5 * n >= 4 * more").select("v", "key", "name")
-    first = F.first(F.struct("name", "v")).over(key.orderBy(F.col("v") < 0, "name", "v"))
-    return shared_table(e.withColumn("first", first).select("v", "key", "name", F.col("first.name").alias("first_name"), F.col("first.v").alias("first_v")))
+    own, order = F.struct("name", "v"), key.orderBy(F.col("v") < 0, "name", "v")
+    return shared_table(e.withColumns({"first": F.first(own).over(order), "last": F.lag(own).over(order)}))
 
 
 def _similar(docs: DataFrame, pairs: DataFrame, unique: bool) -> DataFrame | None:
-    """The positions of the later lines of those pairs (x, y), structs of name and v without the place, whose Jaccard similarity is 4/5 or more; None if there are no pairs."""
+    """The positions of the later lines of those pairs (x, y, count) whose Jaccard similarity is 4/5 or more; None if there are no pairs.
+
+    x and y are structs of name and v without the place. The most promising pair of each x is tried first, the rest only for
+    those x that aren't gone by then.
+    """
     line = lambda side: F.struct(F.col(f"{side}.name").alias("name"), F.shiftright(f"{side}.v", 16).bitwiseAND(F.lit((1 << 31) - 1)).cast("int").alias("line_no"))
-    pairs = cut(pairs.select(line("x").alias("x"), line("y").alias("y")))
+    pairs = cut(pairs.select(line("x").alias("x"), line("y").alias("y"), "count"))
     ids = cut(pairs.select("x.*").union(pairs.select("y.*")).distinct())
     n = ids.count()
     if not n:
@@ -161,10 +165,17 @@ def _similar(docs: DataFrame, pairs: DataFrame, unique: bool) -> DataFrame | Non
     lines = _lines(some).withColumn("name", _name(unique)).join(small(ids), ["name", "line_no"], "left_semi")
     lines = cut(lines.select("name", "line_no", F.struct(*POSITION).alias("at"), _words("line").alias("w")).distinct())
     side = lambda c: lines.select(F.struct("name", "line_no").alias(c), F.col("at").alias(f"at_{c}"), F.col("w").alias(f"w_{c}"))
-    both = pairs.join(side("x"), "x").join(side("y"), "y")
     alike = F.size(F.array_intersect("w_x", "w_y")) * 9 >= (F.size("w_x") + F.size("w_y")) * 4
     later = F.when(F.col("at_x") > F.col("at_y"), F.col("at_x")).otherwise(F.col("at_y"))
-    return cut(both.where((F.col("at_x") != F.col("at_y")) & alike).select(later.alias("at")).distinct().select("at.*"))
+
+    def found(some: DataFrame) -> DataFrame:
+        both = some.join(side("x"), "x").join(side("y"), "y").where((F.col("at_x") != F.col("at_y")) & alike)
+        return cut(both.select(later.alias("at")).distinct().select("at.*"))
+
+    early = found(pairs.groupBy("x").agg(F.max_by("y", F.struct("count", "y")).alias("y")))
+    gone = early.select(F.struct(_name(unique).alias("name"), "line_no").alias("x"))
+    late = found(pairs.join(F.broadcast(gone) if n <= BROADCAST else gone, "x", "left_anti"))
+    return early.union(late).distinct()
 
 
 def kept_lines(docs: DataFrame) -> DataFrame:
@@ -174,8 +185,8 @@ def kept_lines(docs: DataFrame) -> DataFrame:
     words up to a Jaccard similarity of 4/5; case doesn't count. Words are compared by 64-bit hashes.
     First, equal lines become one. The keys of the join are pairs of neighbours in the beginnings of
     lines, rare words first, which hardly any lines share that aren't similar; two must be shared, and
-    lengths and places must fit. Before all lines of a key meet, each line meets the first line of most of its
-    keys; that settles most lines of large groups of near copies, whose pairs are never all made.
+    lengths and places must fit. Before all lines of a key meet, each line meets the first and the last one before
+    it, of those two that share most of its keys; that settles most lines of large groups of near copies, whose pairs are never all made.
     """
     docs = docs.select("doc_id", "text")
     spark = docs.sparkSession
@@ -184,10 +195,12 @@ def kept_lines(docs: DataFrame) -> DataFrame:
     e, of_e = _candidates(docs, firsts, unique)
     release(spark)
 
-    star = e.where((F.col("name") != F.col("first_name")) | (_line("v") != _line("first_v"))).where(_fit("v", "first_v"))
-    line = lambda side: F.struct(F.col(f"{side}name").alias("name"), F.shiftright(f"{side}v", 16).alias("v"))
-    star = star.groupBy(line("").alias("x"), line("first_").alias("y")).count().where((F.col("count") > 1) | (F.col("x.v").bitwiseAND(F.lit(_MOST)) <= 3))
-    early = _similar(docs, star.groupBy("x").agg(F.max_by("y", F.struct("count", "y")).alias("y")), unique)
+    line = lambda at: F.struct(F.col(f"{at}name").alias("name"), F.shiftright(f"{at}v", 16).alias("v"))
+    other = F.array_compact(F.array("first", F.when(F.col("first") != F.col("last"), F.col("last"))))
+    star = e.select("name", "v", F.explode(other).alias("y")).where(_fit("v", "y.v")).select(line("").alias("x"), line("y.").alias("y")).where("x <> y").groupBy("x", "y").count().where((F.col("count") > 1) | (F.col("x.v").bitwiseAND(F.lit(_MOST)) <= 3))
+    best = F.slice(F.sort_array(F.collect_list(F.struct("count", "y")), False), 1, 2)  # a line has a few pairs for each of its keys
+    star = star.groupBy("x").agg(best.alias("best")).select("x", F.explode("best").alias("b")).select("x", "b.y", "b.count")
+    early = _similar(docs, star, unique)
     release(spark)
 
     x, y = (e.select(*[F.col(c).alias(f"{c}_{side}") for c in ("v", "key", "name")]) for side in "xy")
@@ -203,7 +216,7 @@ def kept_lines(docs: DataFrame) -> DataFrame:
     meets = (c("key_x") == c("key_y")) & other & before & _fit("v_x", "v_y")
     pair = [F.struct(c(f"name_{side}").alias("name"), F.shiftright(f"v_{side}", 16).alias("v")).alias(side) for side in "xy"]
     pairs = x.join(y, meets).groupBy(*pair).count()
-    late = _similar(docs, pairs.where((c("count") > 1) | (c("x.v").bitwiseAND(F.lit(_MOST)) <= 3)).select("x", "y"), unique)
+    late = _similar(docs, pairs.where((c("count") > 1) | (c("x.v").bitwiseAND(F.lit(_MOST)) <= 3)), unique)
 
     lines = firsts.select(*POSITION)
     for found in (early, late):
