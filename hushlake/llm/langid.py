@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 import uuid
-import zlib
 from collections.abc import Iterable
 from dataclasses import dataclass
 
@@ -15,67 +14,137 @@ from pyspark.sql import functions as F
 
 #: Labelled documents the field is fitted on, for each language: those of the least hash.
 SAMPLE = 150
-#: Words in a chain. A whole text is a row of chains.
+#: Words in a chain that the field is fitted on. Texts are labelled as one chain each, however long.
 CHAIN = 64
-#: Words labelled at once, and words whose scores a worker remembers.
-BATCH, REMEMBERED = 150_000, 250_000
+#: Words labelled at once (and the rest of the last text), and words whose scores a worker remembers.
+BATCH, REMEMBERED = 400_000, 250_000
 BUCKETS = 1 << 16
 ROUNDS = 30
 
 LETTER = re.compile(r"[^\W\d_]")
-EDGES = re.compile(r"^[\W\d_]+|[\W\d_]+$")
+_MIX, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+_FIRST, _END = 1, 2  # marks around a word
 
 
-class Buckets(dict):
-    """The bucket of a feature; those of affixes and n-grams come again and again."""
+def _bucket(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(29))) * _STEP
+    return ((h ^ (h >> np.uint64(32))) & np.uint64(BUCKETS - 1)).astype(np.int64)
 
-    def __missing__(self, feature: str) -> int:
-        if len(self) > 50_000:
-            self.clear()
-        b = self[feature] = zlib.crc32(feature.encode("utf-8", "surrogatepass")) % BUCKETS
-        return b
 
+def _on(h: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """A hash and one more character."""
+    return (h ^ (h >> np.uint64(31))) * _MIX + c
 
-_buckets = Buckets()
 
+def _salted(n: int, salt: int) -> np.ndarray:
+    return np.full(n, salt, np.uint64) * _STEP
 
-def features(word: str) -> list[int]:
-    """Hashed affixes, letter n-grams and the word itself as a lexicon entry; none for a word without letters."""
-    w = EDGES.sub("", word).lower()
-    if not w:
-        return []
-    marked = f"^{w}$"
-    found = ["<" + w[:1], "<" + w[:2], "<" + w[:3], ">" + w[-1:], ">" + w[-2:], ">" + w[-3:], ">" + w[-4:]]
-    found += map("".join, zip(marked, marked[1:]))
-    found += map("".join, zip(marked, marked[1:], marked[2:]))
-    return [zlib.crc32(f"={w}".encode("utf-8", "surrogatepass")) % BUCKETS, *map(_buckets.__getitem__, found)]
 
+class Letters(dict):
+    """Whether characters are letters."""
 
-def forward_backward(e: np.ndarray, step: np.ndarray, start: np.ndarray, pairs: bool = False):
-    """Marginals of the labels in chains e (chain, place, label), log scores; with ``pairs`` also the expected transitions.
+    def __missing__(self, c: int) -> bool:
+        got = self[c] = LETTER.match(chr(c)) is not None
+        return got
 
-    All chains advance together, so a step is one product of arrays.
+
+_letters = Letters()
+
+
+def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, word): hashed affixes, letter n-grams and the word itself as a lexicon entry, in lower case and without what is no letter at its ends.
+
+    Words without a letter have none. All words are worked on at once, character by character.
+    """
+    none = np.zeros(0, np.int64)
+    low = [w.lower() for w in words]
+    c = np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), np.uint32)
+    if not len(c):
+        return none, none
+    kinds, at = np.unique(c, return_inverse=True)
+    letter = np.fromiter(map(_letters.__getitem__, kinds.tolist()), bool, len(kinds))[at]
+    owner = np.repeat(np.arange(len(low)), np.fromiter(map(len, low), np.int64, len(low)))
+    place = np.flatnonzero(letter)
+    if not len(place):
+        return none, none
+    word, begin = np.unique(owner[place], return_index=True)  # of the words with a letter
+    first, last = place[begin], place[np.concatenate([begin[1:], [len(place)]]) - 1]
+    n = last - first + 1
+    m = len(word)
+    size = n + 2
+    start = np.cumsum(size) - size
+    within = np.arange(size.sum()) - np.repeat(start, size)
+    marked = np.empty(len(within), np.uint64)
+    inner = (within > 0) & (within <= np.repeat(n, size))
+    marked[inner] = c[(np.repeat(first - 1, size) + within)[inner]]
+    marked[start], marked[start + n + 1] = _FIRST, _END
+    own = np.repeat(np.arange(m), size)
+    found, of = [], []
+
+    def add(h: np.ndarray, w: np.ndarray) -> None:
+        found.append(_bucket(h))
+        of.append(word[w])
+
+    pair = _on(_on(_salted(len(marked) - 1, 1), marked[:-1]), marked[1:])
+    whole = own[:-1] == own[1:]
+    add(pair[whole], own[:-1][whole])
+    triple = _on(pair[:-1] + _STEP, marked[2:])
+    whole = own[:-2] == own[2:]
+    add(triple[whole], own[:-2][whole])
+    every = np.arange(m)
+    for salt, most, forward in ((2, 3, True), (3, 4, False)):  # affixes; of shorter words the whole
+        h = _salted(m, salt)
+        for i in range(most):
+            has = n > i
+            h = np.where(has, _on(h, marked[np.where(has, start + 1 + i if forward else start + n - i, 0)]), h)
+            add(_on(h, np.uint64(i)), every)
+    power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(int(n.max()) + 1, _MIX)]))
+    add(_on(np.add.reduceat(_on(marked, power[within]) * power[within], start), n.astype(np.uint64)), every)
+    return np.concatenate(found), np.concatenate(of)
+
+
+def forward_backward(e: np.ndarray, lengths: np.ndarray, step: np.ndarray, start: np.ndarray, pairs: bool = False):
+    """Marginals of the labels in chains of the given lengths, whose log scores follow each other in e (place, label); with ``pairs`` also the sum of the expected transitions.
+
+    ``start`` is one row of log scores for all chains or one for each. All chains advance together, the longest first, so a step is one product of arrays;
+    no chain is cut.
     """
-    a = np.exp(step)
-    x = np.exp(e - e.max(axis=2, keepdims=True))
-    n, t, k = x.shape
+    a = np.exp(step).astype(np.float32)
+    x = np.exp(e - e.max(axis=1, keepdims=True)).astype(np.float32)
+    n, k = x.shape
     fwd, bwd = np.empty_like(x), np.empty_like(x)
-    f = x[:, 0] * np.exp(start)
-    fwd[:, 0] = f / f.sum(axis=1, keepdims=True)
-    for i in range(1, t):
-        f = (fwd[:, i - 1] @ a) * x[:, i]
-        fwd[:, i] = f / f.sum(axis=1, keepdims=True)
-    bwd[:, -1] = 1.0 / k
-    for i in range(t - 2, -1, -1):
-        b = (bwd[:, i + 1] * x[:, i + 1]) @ a.T
-        bwd[:, i] = b / b.sum(axis=1, keepdims=True)
+    order = np.argsort(-lengths, kind="stable")
+    begin = (np.cumsum(lengths) - lengths)[order]
+    size = lengths[order]
+    longest = int(size[0]) if len(size) else 0
+    going = np.searchsorted(-size, -np.arange(longest), side="left")  # chains of more than i places
+    first = np.exp(np.broadcast_to(start, (len(lengths), k))[order]).astype(np.float32)
+    f = first[: going[0]] * x[begin[: going[0]]] if longest else None
+    for i in range(longest):
+        m = going[i]
+        at = begin[:m] + i
+        if i:
+            f = (f[:m] @ a) * x[at]
+        f /= f.sum(axis=1, keepdims=True)
+        fwd[at] = f
+    b = np.empty((0, k), np.float32)
+    for i in range(longest - 1, -1, -1):
+        m = going[i]
+        at = begin[:m] + i
+        new = np.full((m, k), 1.0 / k, np.float32)  # chains that end here
+        if len(b):
+            new[: len(b)] = (b * x[at[: len(b)] + 1]) @ a.T
+            new /= new.sum(axis=1, keepdims=True)
+        bwd[at] = b = new
     m = fwd * bwd
-    m /= m.sum(axis=2, keepdims=True)
+    m /= m.sum(axis=1, keepdims=True)
     if not pairs:
         return m, None
-    p = fwd[:, :-1, :, None] * a * (x[:, 1:] * bwd[:, 1:])[:, :, None, :]
-    p /= p.sum(axis=(2, 3), keepdims=True)
-    return m, p
+    later = np.ones(n, bool)
+    later[(np.cumsum(lengths) - lengths)[lengths > 0]] = False
+    at = np.flatnonzero(later)
+    p = fwd[at - 1][:, :, None] * a * (x[at] * bwd[at])[:, None, :]
+    return m, (p / p.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
 
 
 @dataclass
@@ -91,51 +160,50 @@ class Field:
 def fit(texts: list[str], langs: list[str], rounds: int = ROUNDS, seed: int = 0) -> Field:
     """Fits the field on whole labelled texts by gradient steps on the likelihood.
 
-    Each text is cut into chains, the last one padded, so short texts are one. Every third chain goes on in another language from some place on,
-    so that transitions are learned from switches too.
+    Each text is cut into chains of all its words; start scores are learned from the first chain of each. Every third chain goes on in
+    another language from some place on, so that transitions are learned from switches too.
     """
     labels = sorted(set(langs))
     k = len(labels)
     rng = np.random.default_rng(seed)
     ids: dict[str, int] = {}
-    chains, marks = [], []
+    chains, marks, firsts = [], [], []
     for text, lang in zip(texts, langs):
         w = [ids.setdefault(x, len(ids)) for x in text.split() if LETTER.search(x)]
         for i in range(0, len(w), CHAIN):
-            c = w[i : i + CHAIN]
-            chains.append(c + [-1] * (CHAIN - len(c)))
-            marks.append(labels.index(lang))
+            chains.append(w[i : i + CHAIN])
+            marks.append([labels.index(lang)] * len(chains[-1]))
+            firsts.append(i == 0)
     field = Field(labels, np.zeros((BUCKETS, k), np.float32), np.zeros((k, k), np.float32), np.zeros(k, np.float32))
     if not chains:
         return field
-    x, y = np.array(chains), np.repeat(np.array(marks)[:, None], CHAIN, axis=1)
-    other = rng.permutation(len(x))
-    for i in range(0, len(x), 3):
+    other = rng.permutation(len(chains))
+    known, said = list(chains), list(marks)
+    for i in range(0, len(chains), 3):
         at = int(rng.integers(1, CHAIN))
-        x[i, at:], y[i, at:] = np.array(chains[other[i]])[at:], marks[other[i]]
-    real = x >= 0
-    per = [features(w) for w in ids]
-    flat = np.concatenate([np.array(f, np.int64) for f in per])
-    owner = np.repeat(np.arange(len(per)), [len(f) for f in per])
-    words = x[real]
+        chains[i], marks[i] = known[i][:at] + known[other[i]][at:], said[i][:at] + said[other[i]][at:]
+    lengths = np.array([len(c) for c in chains])
+    words, y = np.array(sum(chains, []), np.int64), np.array(sum(marks, []), np.int64)
+    begin = np.cumsum(lengths) - lengths
+    flat, owner = features(list(ids))
     gold = np.eye(k, dtype=np.float32)[y]
-    both = real[:, :-1] & real[:, 1:]
+    later = np.ones(len(y), bool)
+    later[begin] = False
+    at = np.flatnonzero(later)
     seen = np.zeros((k, k))
-    np.add.at(seen, (y[:, :-1][both], y[:, 1:][both]), 1)
-    squares = [np.full_like(field.weights, 1e-6), np.full((k, k), 1e-6)]
-    total = float(real.sum())
+    np.add.at(seen, (y[at - 1], y[at]), 1)
+    opening = np.array(firsts)
+    squares = [np.full_like(field.weights, 1e-6), np.full((k, k), 1e-6), np.full(k, 1e-6)]
+    total = float(len(words))
     for _ in range(rounds):
-        own = np.stack([np.bincount(owner, field.weights[flat, j], len(per)) for j in range(k)], axis=1).astype(np.float32)
-        e = np.where(real[:, :, None], own[x], 0)
-        m, p = forward_backward(e, field.step, field.start, pairs=True)
-        off = (gold - m)[real]
-        by_word = np.stack([np.bincount(words, off[:, j], len(per)) for j in range(k)], axis=1)
+        own = np.stack([np.bincount(owner, field.weights[flat, j], len(ids)) for j in range(k)], axis=1).astype(np.float32)
+        m, p = forward_backward(own[words], lengths, field.step, field.start * opening[:, None], pairs=True)
+        off = gold - m
+        by_word = np.stack([np.bincount(words, off[:, j], len(ids)) for j in range(k)], axis=1)
         g = np.stack([np.bincount(flat, by_word[owner, j], BUCKETS) for j in range(k)], axis=1) / total - 1e-7 * field.weights
-        squares[0] += g * g
-        field.weights += (0.3 * g / np.sqrt(squares[0])).astype(np.float32)
-        g = (seen - p[both].sum(axis=0)) / total
-        squares[1] += g * g
-        field.step += (0.3 * g / np.sqrt(squares[1])).astype(np.float32)
+        for i, (w, g) in enumerate(((field.weights, g), (field.step, (seen - p) / total), (field.start, off[begin[opening]].sum(axis=0) / total))):
+            squares[i] += g * g
+            w += (0.3 * g / np.sqrt(squares[i])).astype(np.float32)
     return field
 
 
@@ -151,36 +219,35 @@ class Labeller:
         if len(self.index) > REMEMBERED:
             self.index.clear()
         index = self.index
-        new = [w for w in dict.fromkeys(words) if w not in index]
-        per = [features(w) for w in new]
-        at = [i for i, f in enumerate(per) if f]
-        n = len(index) + 1
-        for w in new:
-            index[w] = 0
-        for j, i in enumerate(at):
-            index[new[i]] = n + j
-        while n + len(at) > len(self.scores):
-            self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
-        if at:
-            ends = np.cumsum([len(per[i]) for i in at])
-            flat = np.concatenate([per[i] for i in at])
-            self.scores[n : n + len(at)] = np.add.reduceat(self.field.weights[flat], np.concatenate([[0], ends[:-1]]))
-        return np.fromiter(map(index.__getitem__, words), np.int64, len(words))
+        coded = pa.array(words, pa.string()).dictionary_encode()
+        known = coded.dictionary.to_pylist()  # each word once
+        new = [w for w in known if w not in index]
+        if new:
+            flat, owner = features(new)
+            some, at = np.unique(owner, return_inverse=True)
+            n = len(index) + 1
+            while n + len(new) > len(self.scores):
+                self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
+            for j in range(len(self.field.labels)):
+                self.scores[n : n + len(some), j] = np.bincount(at, self.field.weights[flat, j], len(some))
+            row = np.zeros(len(new), np.int64)
+            row[some] = n + np.arange(len(some))
+            index.update(zip(new, row.tolist()))
+        return np.fromiter(map(index.__getitem__, known), np.int64, len(known))[coded.indices.to_numpy()]
 
     def marginals(self, words: list[str], lengths: list[int]) -> tuple[np.ndarray, np.ndarray]:
         """(word, label) marginals of the words of texts of the given lengths, and which words have a letter."""
-        k = len(self.field.labels)
         rows = self.rows(words)
-        lettered = rows > 0
-        n = np.array(lengths)
-        chains = -(-n // CHAIN)
-        first = np.cumsum(chains) - chains
-        within = np.arange(len(words)) - np.repeat(np.cumsum(n) - n, n)
-        place = np.repeat(first, n) * CHAIN + within
-        e = np.zeros((int(chains.sum()) * CHAIN, k), np.float32)
-        e[place] = self.scores[rows]
-        m, _ = forward_backward(e.reshape(-1, CHAIN, k), self.field.step, self.field.start)
-        return m.reshape(-1, k)[place], lettered
+        m, _ = forward_backward(self.scores[rows], np.array(lengths, np.int64), self.field.step, self.field.start)
+        return m, rows > 0
+
+    def words(self, text: str) -> list[tuple[str, str | None]]:
+        """The words of a text with the language of each, None for those without a letter."""
+        w = text.split()
+        if not w or not self.field.labels:
+            return [(x, None) for x in w]
+        m, lettered = self.marginals(w, [len(w)])
+        return [(x, self.field.labels[j] if own else None) for x, j, own in zip(w, m.argmax(axis=1), lettered)]
 
     def __call__(self, texts: Iterable[str | None]) -> list[tuple[str, float]]:
         out: list[tuple[str, float]] = []

@@ -244,21 +244,27 @@ def test_language(spark):
 
 
 def test_forward_backward():
-    rng = np.random.default_rng(0)
-    e, step, start = rng.standard_normal((2, 4, 3)), rng.standard_normal((3, 3)), rng.standard_normal(3)
-    m, p = langid.forward_backward(e, step, start, pairs=True)
     from itertools import product
 
-    for c in range(2):
-        z, one, two = 0.0, np.zeros((4, 3)), np.zeros((3, 3, 3))
-        for y in product(range(3), repeat=4):
-            w = np.exp(start[y[0]] + sum(e[c, i, y[i]] for i in range(4)) + sum(step[y[i], y[i + 1]] for i in range(3)))
+    rng = np.random.default_rng(0)
+    lengths = np.array([4, 0, 1, 5, 4])
+    e, step, start = rng.standard_normal((14, 3)), rng.standard_normal((3, 3)), rng.standard_normal((5, 3))
+    m, p = langid.forward_backward(e, lengths, step, start, pairs=True)
+    two, at = np.zeros((3, 3)), 0
+    for c, n in enumerate(lengths):
+        z, one, steps = 0.0, np.zeros((n, 3)), np.zeros((3, 3))
+        for y in product(range(3), repeat=int(n)) if n else []:
+            w = np.exp(start[c, y[0]] + sum(e[at + i, y[i]] for i in range(n)) + sum(step[y[i], y[i + 1]] for i in range(n - 1)))
             z += w
-            for i in range(4):
+            for i in range(n):
                 one[i, y[i]] += w
-            for i in range(3):
-                two[i, y[i], y[i + 1]] += w
-        assert np.allclose(m[c], one / z) and np.allclose(p[c], two / z)
+            for i in range(n - 1):
+                steps[y[i], y[i + 1]] += w
+        if n:
+            assert np.allclose(m[at : at + n], one / z, atol=1e-5)
+            two += steps / z
+        at += n
+    assert np.allclose(p, two, atol=1e-4)
 
 
 PAGE = "<html><head><title>no</title></head><body><header>Top</header><nav><ul><li>Menu</ul></nav><div id=main><div class='tagline'>We are best</div><h1>{0}</h1><p>{1} &amp; {2}<p>end &#8212; {0}</div><div class='comments'><p>bad</div><form>x</form><footer>foot</footer><script>var x='<p>no</p>';</script></body></html>"
