@@ -17,7 +17,9 @@ SAMPLE = 150
 #: Words in a chain that the field is fitted on. Texts are labelled as one chain each, however long.
 CHAIN = 64
 #: Words labelled at once (and the rest of the last text), and words whose scores a worker remembers.
-BATCH, REMEMBERED = 400_000, 250_000
+BATCH, REMEMBERED = 150_000, 200_000
+#: Words whose features are made at once.
+NEW = 20_000
 BUCKETS = 1 << 16
 ROUNDS = 30
 
@@ -222,17 +224,18 @@ class Labeller:
         coded = pa.array(words, pa.string()).dictionary_encode()
         known = coded.dictionary.to_pylist()  # each word once
         new = [w for w in known if w not in index]
-        if new:
-            flat, owner = features(new)
+        for i in range(0, len(new), NEW):
+            some_new = new[i : i + NEW]
+            flat, owner = features(some_new)
             some, at = np.unique(owner, return_inverse=True)
             n = len(index) + 1
-            while n + len(new) > len(self.scores):
+            while n + len(some_new) > len(self.scores):
                 self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
             for j in range(len(self.field.labels)):
                 self.scores[n : n + len(some), j] = np.bincount(at, self.field.weights[flat, j], len(some))
-            row = np.zeros(len(new), np.int64)
+            row = np.zeros(len(some_new), np.int64)
             row[some] = n + np.arange(len(some))
-            index.update(zip(new, row.tolist()))
+            index.update(zip(some_new, row.tolist()))
         return np.fromiter(map(index.__getitem__, known), np.int64, len(known))[coded.indices.to_numpy()]
 
     def marginals(self, words: list[str], lengths: list[int]) -> tuple[np.ndarray, np.ndarray]:
