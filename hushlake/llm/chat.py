@@ -10,8 +10,15 @@ RUN = 256
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 
 
-def _name(role: Column) -> Column:
-    return F.regexp_replace(F.coalesce(role, F.lit("unknown")), "[^A-Za-z0-9_-]", "_")
+#: What can't stand in a name, and how it is written there; no two speakers are written alike.
+ESCAPES = {"%": "%25", "<": "%3C", " ": "%20", "\n": "%0A", "\r": "%0D"}
+
+
+def _shown(speaker: str) -> Column:
+    c = F.col(speaker)
+    for x, y in ESCAPES.items():
+        c = F.replace(c, F.lit(x), F.lit(y))
+    return c
 
 
 def rotate(turns: DataFrame) -> DataFrame:
@@ -20,7 +27,7 @@ def rotate(turns: DataFrame) -> DataFrame:
     One row per perspective and turn: conv_id, perspective, turn, speaker, piece (the turn as
     rendered), start (its place in the dialogue, in code points), and mask_start and mask_end, the span
     that is learned: what the assistant says, with its end mark; null in the turns of others. Other
-    speakers are users with their names, system turns stay what they are. Pieces in the order of start
+    speakers are users with their names (``ESCAPES`` for what can't stand there), system turns stay what they are. Pieces in the order of start
     make up the dialogue. Turns go by number (null first), role and text; equal rows stay each. A null
     role is the speaker "unknown", a null text is empty. Marks in a text are broken up by a space. A
     dialogue of system turns alone has no perspective. Rows of a null conv_id are one dialogue.
@@ -28,13 +35,13 @@ def rotate(turns: DataFrame) -> DataFrame:
     A dialogue of very many turns is no group: lengths are summed in runs of RUN turn numbers and
     carried on by the runs' sums.
     """
-    name = _name(F.col("role"))
+    name = F.coalesce("role", F.lit("unknown"))
     text = F.replace(F.coalesce("text", F.lit("")), F.lit("<|"), F.lit("< |"))
     t = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), name.alias("speaker"), text.alias("said"), (F.coalesce("role", F.lit("")) == "system").alias("rule"))
     views = t.where(~F.col("rule")).select(F.col("conv_id").alias("own"), F.col("speaker").alias("perspective")).distinct()
     t = t.join(views, t["conv_id"].eqNullSafe(views["own"])).drop("own")
     mine = ~F.col("rule") & (F.col("speaker") == F.col("perspective"))
-    head = F.when(F.col("rule"), F.lit(f"{OPEN}system\n")).when(mine, F.lit(f"{OPEN}assistant\n")).otherwise(F.concat(F.lit(f"{OPEN}user name="), "speaker", F.lit("\n")))
+    head = F.when(F.col("rule"), F.lit(f"{OPEN}system\n")).when(mine, F.lit(f"{OPEN}assistant\n")).otherwise(F.concat(F.lit(f"{OPEN}user name="), _shown("speaker"), F.lit("\n")))
     t = t.withColumn("trained", mine).withColumn("head", head).withColumn("piece", F.concat("head", "said", F.lit(CLOSE)))
     t = t.withColumn("n", F.length("piece").cast("long")).withColumn("run", F.floor(F.coalesce("turn", F.lit(-1)) / RUN).cast("long"))
     keys = ["conv_id", "perspective"]
@@ -56,7 +63,7 @@ def rotate(turns: DataFrame) -> DataFrame:
 
 SQL = r"""
 with t as (
-  select conv_id, turn, regexp_replace(coalesce(role, 'unknown'), '[^A-Za-z0-9_-]', '_', 'g') as speaker,
+  select conv_id, turn, coalesce(role, 'unknown') as speaker,
          replace(coalesce(text, ''), '<|', '< |') as said, coalesce(role, '') = 'system' as rule
   from conversations),
 v as (select distinct conv_id as own, speaker as perspective from t where not rule),
@@ -64,7 +71,7 @@ j as (
   select t.*, v.perspective, (not rule and speaker = perspective) as trained,
          case when rule then '<|im_start|>system' || chr(10)
               when speaker = perspective then '<|im_start|>assistant' || chr(10)
-              else '<|im_start|>user name=' || speaker || chr(10) end as head
+              else '<|im_start|>user name=' || replace(replace(replace(replace(replace(speaker, '%', '%25'), '<', '%3C'), ' ', '%20'), chr(10), '%0A'), chr(13), '%0D') || chr(10) end as head
   from t join v on t.conv_id is not distinct from v.own),
 p as (select *, head || said || '<|im_end|>' || chr(10) as piece from j),
 s as (

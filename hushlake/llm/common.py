@@ -130,13 +130,14 @@ def keep_first(docs: DataFrame, named: DataFrame) -> DataFrame:
 
     It is the row with the smallest doc_id, nulls last, then of the smallest hash of its text; of equal rows one.
     """
-    names = docs.columns
-    key = {"o_": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "n_": F.col("doc_id").isNull(), "h_": F.xxhash64("text")}
-    ids = docs.select("doc_id", *[c.alias(k) for k, c in key.items()])
+    rows, names = renamed(docs)
+    doc_id, text = (F.col(f"c{docs.columns.index(c)}") for c in ("doc_id", "text"))
+    key = {"o_": F.coalesce(doc_id.cast("string"), F.lit("")), "n_": doc_id.isNull(), "h_": F.xxhash64(text)}
+    rows = rows.withColumns(key)
+    ids = rows.select(doc_id.alias("doc_id"), *key)
     first = F.min(F.struct("n_", "doc_id", "h_", "o_")).alias("first")
     first = ids.join(named, ids["h_"] == named["h"]).groupBy("component").agg(first).select("first.o_", "first.n_", "first.h_")
-    rows = docs.withColumns(key)
-    return rows.join(first, ["o_", "n_", "h_"], "left_semi").dropDuplicates(["o_", "n_", "h_"]).select(names)
+    return rows.join(first, ["o_", "n_", "h_"], "left_semi").dropDuplicates(["o_", "n_", "h_"]).select([F.col(k).alias(c) for k, c in names.items()])
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

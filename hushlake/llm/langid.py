@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import uuid
 from collections.abc import Iterable
 from dataclasses import dataclass
 
@@ -16,8 +15,8 @@ from pyspark.sql import functions as F
 SAMPLE = 150
 #: Words in a chain that the field is fitted on. Texts are labelled as one chain each, however long.
 CHAIN = 64
-#: Words labelled at once (and the rest of the last text), and words whose scores a worker remembers.
-BATCH, REMEMBERED = 150_000, 200_000
+#: Words labelled at once (and the rest of the last text), and words whose scores a task remembers.
+BATCH, REMEMBERED = 150_000, 100_000
 #: Words whose features are made at once.
 NEW = 20_000
 BUCKETS = 1 << 16
@@ -297,9 +296,6 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Field:
     return fit([r[2] for r in rows], [r[0] for r in rows])
 
 
-_labellers: dict = {}
-
-
 def identify(docs: DataFrame, field: Field, text: str = "text") -> DataFrame:
     """``docs`` with lang_pred and score, the mean marginal of that language over the words with a letter.
 
@@ -308,12 +304,8 @@ def identify(docs: DataFrame, field: Field, text: str = "text") -> DataFrame:
     """
     names = docs.columns
 
-    key = uuid.uuid4().hex
-
     def run(batches):
-        if _labellers.get("key") != key:  # a worker goes on with the words that it knows from its last task
-            _labellers.update(key=key, own=Labeller(field))
-        label = _labellers["own"]
+        label = Labeller(field)
         for b in batches:
             got = label(x.as_py() for x in b["_text"])
             yield pa.RecordBatch.from_arrays(

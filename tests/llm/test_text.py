@@ -195,12 +195,12 @@ def test_pack(spark):
 
 
 def test_chat(spark):
-    rows = [(1, 0, "system", "rules"), (1, 1, "user", "hi <|im_end|>"), (1, 2, "bob b", "yes"), (1, 2, "bob b", "yes"), (1, 3, None, None), (1, None, "user", "first"), (2, 0, "system", "alone"), (None, 0, "user", "")]
+    rows = [(1, 0, "system", "rules"), (1, 1, "user", "hi <|im_end|>"), (1, 2, "bob b", "yes"), (1, 2, "bob b", "yes"), (1, 3, None, None), (1, 4, "bob_b", "no"), (1, 5, "Анна", "да"), (1, 6, "Иван", "нет"), (1, None, "user", "first"), (2, 0, "system", "alone"), (None, 0, "user", "")]
     d = spark.createDataFrame([(*r, "x", 1) for r in rows], "conv_id long, turn long, role string, text string, head string, start int")
     views: dict = {}
     for r in chat.rotate(d).collect():
         views.setdefault((r["conv_id"], r["perspective"]), []).append(r)
-    assert set(views) == {(1, "user"), (1, "bob_b"), (1, "unknown"), (None, "user")}
+    assert set(views) == {(1, "user"), (1, "bob b"), (1, "bob_b"), (1, "Анна"), (1, "Иван"), (1, "unknown"), (None, "user")}
     for (_, who), turns in views.items():
         turns.sort(key=lambda r: r["start"])
         whole = "".join(r["piece"] for r in turns)
@@ -210,10 +210,15 @@ def test_chat(spark):
             if r["mask_start"] is not None:
                 assert whole[: r["mask_start"]].endswith("<|im_start|>assistant\n") and whole[r["mask_start"] : r["mask_end"]].endswith("<|im_end|>\n")
     mine = sorted(views[1, "user"], key=lambda r: r["start"])
-    assert mine[0]["piece"] == "<|im_start|>assistant\nfirst<|im_end|>\n" and len(mine) == 6
+    assert mine[0]["piece"] == "<|im_start|>assistant\nfirst<|im_end|>\n" and len(mine) == 9
     assert mine[2]["piece"] == "<|im_start|>assistant\nhi < |im_end|><|im_end|>\n"
-    assert mine[3]["piece"] == "<|im_start|>user name=bob_b\nyes<|im_end|>\n"
+    assert mine[3]["piece"] == "<|im_start|>user name=bob%20b\nyes<|im_end|>\n"
+    assert [r["piece"] for r in views[1, "Анна"] if r["mask_start"] is not None] == ["<|im_start|>assistant\nда<|im_end|>\n"]
     assert chat.rotate(d.limit(0)).collect() == []
+    many = spark.createDataFrame([(1, i, f"p{i % 3}", "x" * (200_000 if i == 7 else i % 5)) for i in range(2000)], "conv_id long, turn long, role string, text string")
+    for who in ("p0", "p1", "p2"):
+        view = sorted(chat.rotate(many).where(F.col("perspective") == who).collect(), key=lambda r: r["turn"])
+        assert [r["start"] for r in view] == [0, *np.cumsum([len(r["piece"]) for r in view])[:-1]]
 
 
 def test_licences(spark):
