@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,6 +58,16 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def tidy() -> None:
+    """Hands a Python worker's free memory back, as workers stay for later stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not this C library's
+        pass
+
+
 def renamed(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     """``df`` with columns c0, c1, ..., and which was which, so that no name of its own can clash with ours."""
     names = {f"c{i}": c for i, c in enumerate(df.columns)}

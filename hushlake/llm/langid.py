@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 #: Labelled documents the field is fitted on, for each language: those of the least hash.
 SAMPLE = 150
 #: Words in a chain that the field is fitted on. Texts are labelled as one chain each, however long.
@@ -305,13 +307,15 @@ def identify(docs: DataFrame, field: Field, text: str = "text") -> DataFrame:
     names = docs.columns
 
     def run(batches):
-        label = Labeller(field)
+        label, got = Labeller(field), None
         for b in batches:
             got = label(x.as_py() for x in b["_text"])
             yield pa.RecordBatch.from_arrays(
                 [*(b[f"_{i}"] for i in range(len(names))), pa.array([x for x, _ in got], pa.string()), pa.array([x for _, x in got], pa.float64())],
                 [*(f"_{i}" for i in range(len(names))), "lang_pred", "score"],
             )
+        del label, got
+        tidy()
 
     safe = docs.select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(names)], F.col(f"`{text}`").cast("string").alias("_text"))
     schema = ", ".join([*(f"_{i} {t}" for i, (_, t) in enumerate(docs.dtypes)), "lang_pred string", "score double"])

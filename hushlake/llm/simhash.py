@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, keep_first
+from .common import components, cut, keep_first, tidy
 
 #: Shingles whose bits are counted at once: bounds memory on very long texts.
 CHUNK = 1 << 16
@@ -42,6 +42,7 @@ def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
         for b in batches:
             fp = np.array([fingerprint(t.as_py(), words, seed) for t in b["text"]], dtype=np.int64)
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(fp)], ["doc_id", "fp"])
+        tidy()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
 
