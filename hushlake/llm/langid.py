@@ -307,14 +307,14 @@ def identify(docs: DataFrame, field: Field, text: str = "text") -> DataFrame:
     names = docs.columns
 
     def run(batches):
-        label, got = Labeller(field), None
+        label, got, b = Labeller(field), None, None
         for b in batches:
             got = label(x.as_py() for x in b["_text"])
             yield pa.RecordBatch.from_arrays(
                 [*(b[f"_{i}"] for i in range(len(names))), pa.array([x for x, _ in got], pa.string()), pa.array([x for _, x in got], pa.float64())],
                 [*(f"_{i}" for i in range(len(names))), "lang_pred", "score"],
             )
-        del label, got
+        del label, got, b
         tidy()
 
     safe = docs.select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(names)], F.col(f"`{text}`").cast("string").alias("_text"))

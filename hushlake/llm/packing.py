@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, tidy
 
 #: Pieces that are packed together: enough that what the last bins leave empty is no matter, few enough for one task.
 SHARD = 20_000
@@ -107,6 +107,8 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int =
                 out += [(j, a, b - a, zlib.crc32(ids[4 * a : 4 * b])) for j, (a, b) in enumerate(zip(edges, edges[1:]))]
             columns = [pa.array(x, t) for x, t in zip(list(zip(*out)) or [()] * 4, (pa.int32(), pa.int64(), pa.int64(), pa.int64()))]
             yield pa.RecordBatch.from_arrays([batch["doc_id"].take(pa.array(at, pa.int64())), *columns], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        own.words.clear()
+        tidy()
 
     plain = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return plain.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
