@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 import pandas as pd
@@ -14,6 +13,7 @@ from .functions import patterns as P
 from .operators import analytics as A
 from .operators import bodies, detect, guard, metering, ner, pseudonymize, spans, training
 from .operators.vault import Vault, restore_with_store
+from .session import shared_folder
 from .sources import stores
 from .sources.usage import PRICES, SQL, events, usage
 from .streaming import restore as stream_restore
@@ -257,6 +257,11 @@ def rate_limit(spark, d):
     return metering.rate_limit(usage(spark, d), 20, 86400)
 
 
+@query("rate_snapshot", f"with recursive d as ({ORACLES['rate_limit']}), r as (select *, row_number() over (partition by key_id order by ts_unix_ms desc, request_id desc) as i from d) select key_id, ts_unix_ms, allowed, coalesce(remaining, 0) as remaining from r where i = 1")
+def rate_snapshot(spark, d):
+    return metering.rate_snapshot(metering.rate_limit(usage(spark, d), 20, 86400))
+
+
 @query("budget_window")
 def budget_window(spark, d):
     return metering.budget(usage(spark, d), 0.05, 86400)
@@ -583,12 +588,12 @@ def span_dedupe(spark, d):
     return wide.select("doc_id", F.explode(ner.dedupe(F.col("s"))).alias("s")).select("doc_id", "s.*")
 
 
-_SAMPLES = "samples as (select doc_id, left(text, 40) as text, cast(doc_id % 30 as integer) as s, cast(doc_id % 30 + doc_id % 4 as integer) as e from documents)"
+_SAMPLES = "samples as (select doc_id, text, cast(doc_id % 30 as integer) as s, cast(doc_id % 30 + doc_id % 4 as integer) as e from documents)"
 
 
 @query("train_validate", f"with {_SAMPLES} select doc_id, case when e > length(text) then 'out of range' when s >= e then 'empty' when 2 < e and s <= 2 and s < 10 then 'overlap' end as error from (select doc_id, text, s, e from samples)")
 def train_validate(spark, d):
-    t = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.left("text", F.lit(40)).alias("text"), (F.col("doc_id") % 30).cast("int").alias("s"), (F.col("doc_id") % 30 + F.col("doc_id") % 4).cast("int").alias("e"))
+    t = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", (F.col("doc_id") % 30).cast("int").alias("s"), (F.col("doc_id") % 30 + F.col("doc_id") % 4).cast("int").alias("e"))
     one = F.struct(F.col("s").alias("start"), F.col("e").alias("end"), F.lit("PER").alias("label"))
     fixed = F.struct(F.lit(2).alias("start"), F.lit(3).alias("end"), F.lit("ORG").alias("label"))
     t = t.withColumn("entities", F.when(F.col("s") <= 2, F.array(one, fixed)).otherwise(F.array(one)))
@@ -652,10 +657,7 @@ def trace_shorten(spark, d):
 
 def _streamed(spark, df: DataFrame, transform, mode: str, name: str) -> DataFrame:
     """Runs a streaming query over a table once, to the end, and returns its result as a table."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="hushlake-")
-    import uuid
-
-    place = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    place = _place(spark, name)
     df.write.parquet(f"{place}/in")
     stream = transform(spark.readStream.schema(df.schema).parquet(f"{place}/in"))
     write = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{place}/state").outputMode(mode)
@@ -700,8 +702,7 @@ def usage_tap(spark, d):
 def _place(spark, name: str) -> str:
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="hushlake-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def _blob(b: bytes) -> str:
@@ -791,7 +792,7 @@ def response_restore(spark, d):
     return bodies.restore_responses(c, maps).select("request_id", "turn", F.get_json_object("restored", "$.choices[0].message.content").alias("content"))
 
 
-@query("converse_response", "select event_id, event_type as content, case event_type when 'view' then 'length' else 'stop' end as finish_reason, cast(json_extract_string(props, '$.k') as bigint) as prompt_tokens, event_id as completion_tokens from events")
+@query("converse_response", "select event_id, event_type as content, case event_type when 'view' then 'length' else 'stop' end as finish_reason, cast(json_extract_string(props, '$.k') as bigint) as prompt_tokens, event_id as completion_tokens, cast(json_extract_string(props, '$.k') as bigint) + event_id as total_tokens from events")
 def converse_response(spark, d):
     part = F.struct(F.col("event_type").alias("text"))
     stop = F.when(F.col("event_type") == "view", "max_tokens").otherwise("end_turn")

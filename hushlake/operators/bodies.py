@@ -115,12 +115,24 @@ def restore_responses(bodies: DataFrame, maps: DataFrame, request: str = "reques
     return bodies.join(maps.withColumnRenamed("map", "map_"), request, "left").withColumn("restored", run("style", "body", "map_")).drop("map_")
 
 
-MESSAGES = "messages array<struct<role:string,content:string>>"
-
-
-def request_text(body: Column) -> Column:
-    """The texts of a request of plain messages, one a line: for guardrails."""
-    return F.array_join(F.transform(F.from_json(body, MESSAGES)["messages"], lambda m: m["content"]), "\n")
+def texts(content: Column, whole: bool = False) -> Column:
+    """The texts of a message's content (a variant): of a string the string itself, of a list those of its parts that have one; with ``whole`` parts are strings themselves."""
+    own = F.try_variant_get(content, "$", "string")
+    parts = F.try_variant_get(content, "$", "array<string>" if whole else "array<struct<text:variant>>")
+    if not whole:
+        parts = F.transform(parts, lambda p: F.when(F.schema_of_variant(p["text"]) == "STRING", F.try_variant_get(p["text"], "$", "string")))
+    kind = F.schema_of_variant(content)
+    none = F.array().cast("array<string>")
+    return F.when(kind == "STRING", F.array(own)).when(kind.startswith("ARRAY"), F.coalesce(F.array_compact(parts), none)).otherwise(none)
+
+
+def request_text(body: Column, style: str = "openai") -> Column:
+    """The texts of a request, one a line, for guardrails; parts of a content each for itself. Style "anthropic" has the system text first."""
+    v = F.try_parse_json(body)
+    said = F.flatten(F.transform(F.try_variant_get(v, "$.messages", "array<struct<content:variant>>"), lambda m: texts(m["content"])))
+    if style == "anthropic":
+        said = F.concat(texts(F.try_variant_get(v, "$.system", "variant")), said)
+    return F.array_join(said, "\n")
 
 
 def chat_bodies(conversations: DataFrame) -> DataFrame:

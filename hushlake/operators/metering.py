@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.patterns import RETRIABLE
+from .bodies import texts
+
+ARROW = {"string": pa.string(), "bigint": pa.int64(), "boolean": pa.bool_(), "double": pa.float64()}
 
 
 def longest_match(name: Column, patterns: list[str], value) -> Column:
@@ -101,22 +107,34 @@ def finish_reason(reason: Column) -> Column:
     # Reasons of one wire format in the other's words.
     return (
         F.when(reason.isin("max_tokens", "model_context_window_exceeded"), "length")
-        .when(reason == "tool_use", "tool_calls")
+        .when(reason.isin("tool_use", "malformed_tool_use"), "tool_calls")
         .when(reason.isin("content_filtered", "guardrail_intervened"), "content_filter")
         .otherwise("stop")
     )
 
 
-def _fold(usage: DataFrame, key: str, order: list[str], state: str, step, columns: list[str]) -> DataFrame:
-    """A fold over each key's rows in order, as one aggregate over its sorted rows.
+def _fold(usage: DataFrame, order: list[str], schema: str, start, step) -> DataFrame:
+    """A fold over each key's rows in order: ``step`` takes the state and a row and returns the next state and what it adds to the row's key.
 
-    A key's rows meet in one array, as each decision depends on the one before. Keys of more rows than
-    a task holds are for the streaming operators, which keep the state alone.
+    Rows are sorted within partitions and read batch by batch, so that a key of any number of rows costs
+    its rows once and holds a state alone.
     """
-    rows = usage.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order))).alias("rows"))
-    zero = F.expr(state)
-    out = F.aggregate("rows", zero, step, lambda a: a["out"])
-    return rows.select(key, F.explode(out).alias("d")).select(key, *[f"d.{c}" for c in columns])
+    rows = usage.select("key_id", *order).repartition("key_id").sortWithinPartitions("key_id", *order)
+    target = pa.schema([(name, ARROW[kind]) for name, kind in map(str.split, schema.split(", "))])
+
+    def run(batches):
+        key, state, fresh = None, None, True
+        for batch in batches:
+            out = []
+            for k, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if fresh or k != key:
+                    key, state, fresh = k, start, False
+                state, found = step(state, *row)
+                out.append((k, *found))
+            columns = list(zip(*out)) or [()] * len(target)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, target)], names=target.names)
+
+    return rows.mapInArrow(run, schema)
 
 
 def rate_limit(usage: DataFrame, capacity: int, seconds: int) -> DataFrame:
@@ -125,24 +143,23 @@ def rate_limit(usage: DataFrame, capacity: int, seconds: int) -> DataFrame:
     It starts full, fills evenly and never beyond ``capacity``; a request takes one token or is refused.
     """
     every = seconds / capacity
-    kind = "array<struct<request_id:string,ts_unix_ms:bigint,allowed:boolean,remaining:bigint,retry_after:bigint>>"
-    state = f"named_struct('tokens', cast({capacity} as double), 'at', cast(null as bigint), 'out', cast(array() as {kind}))"
-
-    def step(a: Column, r: Column) -> Column:
-        passed = F.greatest(r["ts_unix_ms"] - F.coalesce(a["at"], r["ts_unix_ms"]), F.lit(0)) / 1000.0
-        have = F.least(a["tokens"] + passed * F.lit(1.0 / every), F.lit(float(capacity)))
-        ok = have >= 1.0
-        left = F.when(ok, have - 1.0).otherwise(have)
-        one = F.struct(
-            r["request_id"].alias("request_id"),
-            r["ts_unix_ms"].alias("ts_unix_ms"),
-            ok.alias("allowed"),
-            F.when(ok, F.floor(left)).cast("bigint").alias("remaining"),
-            F.when(~ok, F.ceil((F.lit(1.0) - have) * every)).cast("bigint").alias("retry_after"),
-        )
-        return F.struct(left.alias("tokens"), r["ts_unix_ms"].alias("at"), F.concat(a["out"], F.array(one)).cast(kind).alias("out"))
 
-    return _fold(usage, "key_id", ["ts_unix_ms", "request_id"], state, step, ["request_id", "ts_unix_ms", "allowed", "remaining", "retry_after"])
+    def step(state, ts, request):
+        tokens, at = state
+        passed = max(ts - (ts if at is None else at), 0) / 1000.0
+        have = min(tokens + passed * (1.0 / every), float(capacity))
+        if have >= 1.0:
+            return (have - 1.0, ts), (request, ts, True, math.floor(have - 1.0), None)
+        return (have, ts), (request, ts, False, None, math.ceil((1.0 - have) * every))
+
+    schema = "key_id string, request_id string, ts_unix_ms bigint, allowed boolean, remaining bigint, retry_after bigint"
+    return _fold(usage, ["ts_unix_ms", "request_id"], schema, (float(capacity), None), step)
+
+
+def rate_snapshot(decisions: DataFrame) -> DataFrame:
+    """What each key's bucket holds after its last request: (key_id, ts_unix_ms, allowed, remaining)."""
+    last = F.max_by(F.struct("ts_unix_ms", "allowed", "remaining"), F.struct("ts_unix_ms", "request_id")).alias("s")
+    return decisions.groupBy("key_id").agg(last).select("key_id", "s.ts_unix_ms", "s.allowed", F.coalesce("s.remaining", F.lit(0)).alias("remaining"))
 
 
 def budget(usage: DataFrame, most: float, seconds: int) -> DataFrame:
@@ -152,22 +169,20 @@ def budget(usage: DataFrame, most: float, seconds: int) -> DataFrame:
     less than ``most`` is spent, so the last may overshoot; its cost counts if it is allowed.
     """
     length = seconds * 1000
-    kind = "array<struct<request_id:string,ts_unix_ms:bigint,allowed:boolean,spent:double,retry_after:bigint>>"
-    state = f"named_struct('spent', 0.0D, 'opened', cast(null as bigint), 'out', cast(array() as {kind}))"
-
-    def step(a: Column, r: Column) -> Column:
-        over = F.coalesce(r["ts_unix_ms"] - a["opened"] >= length, F.lit(False))
-        spent, opened = F.when(over, 0.0).otherwise(a["spent"]), F.when(~over, a["opened"])
-        ok = spent < most
-        wait = F.coalesce(F.ceil((F.lit(length) - (r["ts_unix_ms"] - opened)) / 1000.0), F.lit(0))
-        one = F.struct(
-            r["request_id"].alias("request_id"), r["ts_unix_ms"].alias("ts_unix_ms"), ok.alias("allowed"), spent.alias("spent"), F.when(~ok, wait).cast("bigint").alias("retry_after")
-        )
-        cost = F.when(ok, F.coalesce(r["cost_usd"], F.lit(0.0))).otherwise(0.0)
-        start = F.when(opened.isNull() & (cost > 0), r["ts_unix_ms"]).otherwise(opened)
-        return F.struct((spent + cost).alias("spent"), start.alias("opened"), F.concat(a["out"], F.array(one)).cast(kind).alias("out"))
 
-    return _fold(usage, "key_id", ["ts_unix_ms", "request_id", "cost_usd"], state, step, ["request_id", "ts_unix_ms", "allowed", "spent", "retry_after"])
+    def step(state, ts, request, cost):
+        spent, opened = state
+        if opened is not None and ts - opened >= length:
+            spent, opened = 0.0, None
+        if spent < most:
+            paid = cost or 0.0
+            found = (request, ts, True, spent, None)
+            return (spent + paid, ts if opened is None and paid > 0 else opened), found
+        wait = 0 if opened is None else math.ceil((length - (ts - opened)) / 1000.0)
+        return (spent, opened), (request, ts, False, spent, wait)
+
+    schema = "key_id string, request_id string, ts_unix_ms bigint, allowed boolean, spent double, retry_after bigint"
+    return _fold(usage, ["ts_unix_ms", "request_id", "cost_usd"], schema, (0.0, None), step)
 
 
 def budget_snapshot(decisions: DataFrame) -> DataFrame:
@@ -187,23 +202,41 @@ def tool_catalog(servers: dict[str, DataFrame | None]) -> DataFrame | None:
 
 
 def converse_response(body: Column) -> Column:
-    """A response of the typed wire format as (content, finish_reason, prompt_tokens, completion_tokens)."""
-    schema = "output struct<message:struct<content:array<struct<text:string>>>>, stopReason string, usage struct<inputTokens:bigint,outputTokens:bigint>"
+    """A response of the typed wire format as (content, finish_reason, prompt_tokens, completion_tokens, total_tokens); a total that isn't given is the sum."""
+    schema = "output struct<message:struct<content:array<struct<text:string>>>>, stopReason string, usage struct<inputTokens:bigint,outputTokens:bigint,totalTokens:bigint>"
     p = F.from_json(body, schema)
-    texts = F.filter(F.transform(p["output"]["message"]["content"], lambda c: c["text"]), lambda t: t.isNotNull())
+    said = F.filter(F.transform(p["output"]["message"]["content"], lambda c: c["text"]), lambda t: t.isNotNull())
+    used = p["usage"]
     return F.struct(
-        F.array_join(texts, "").alias("content"),
+        F.array_join(said, "").alias("content"),
         finish_reason(p["stopReason"]).alias("finish_reason"),
-        p["usage"]["inputTokens"].alias("prompt_tokens"),
-        p["usage"]["outputTokens"].alias("completion_tokens"),
+        used["inputTokens"].alias("prompt_tokens"),
+        used["outputTokens"].alias("completion_tokens"),
+        F.coalesce(used["totalTokens"], used["inputTokens"] + used["outputTokens"]).alias("total_tokens"),
     )
 
 
 def converse_request(body: Column) -> Column:
-    """A chat request of plain messages in the typed wire format: system texts apart, each content a list of texts."""
-    p = F.from_json(body, "messages array<struct<role:string,content:string>>, max_tokens int, temperature double")
-    block = lambda m: F.array(F.struct(m["content"].alias("text")))
-    system = F.transform(F.filter(p["messages"], lambda m: m["role"] == "system"), lambda m: F.struct(m["content"].alias("text")))
-    rest = F.transform(F.filter(p["messages"], lambda m: m["role"] != "system"), lambda m: F.struct(m["role"].alias("role"), block(m).alias("content")))
-    limits = F.struct(p["max_tokens"].alias("maxTokens"), p["temperature"].alias("temperature"))
-    return F.to_json(F.struct(F.when(F.size(system) > 0, system).alias("system"), rest.alias("messages"), limits.alias("inferenceConfig")))
+    """A chat request in the typed wire format: system texts apart, each content a list of its texts, limits only where given.
+
+    max_completion_tokens goes before max_tokens; stop is one string or a list.
+    """
+    v = F.try_parse_json(body)
+    part = "array<struct<role:string,content:variant>>"
+    said = F.transform(F.try_variant_get(v, "$.messages", part), lambda m: F.struct(F.coalesce(m["role"], F.lit("user")).alias("role"), F.transform(texts(m["content"]), lambda t: F.struct(t.alias("text"))).alias("content")))
+    system = F.flatten(F.transform(F.filter(said, lambda m: m["role"] == "system"), lambda m: m["content"]))
+    number = lambda path, t: F.try_variant_get(v, path, t)
+    limits = {
+        "maxTokens": F.coalesce(number("$.max_completion_tokens", "bigint"), number("$.max_tokens", "bigint")),
+        "temperature": number("$.temperature", "double"),
+        "topP": number("$.top_p", "double"),
+        "stopSequences": F.nullif(texts(F.try_variant_get(v, "$.stop", "variant"), whole=True), F.array().cast("array<string>")),
+    }
+    some = F.coalesce(*[c.cast("string") for c in limits.values()]).isNotNull()
+    return F.to_json(
+        F.struct(
+            F.when(F.size(system) > 0, system).alias("system"),
+            F.filter(said, lambda m: m["role"] != "system").alias("messages"),
+            F.when(some, F.struct(*[c.alias(k) for k, c in limits.items()])).alias("inferenceConfig"),
+        )
+    )

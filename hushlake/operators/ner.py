@@ -22,33 +22,56 @@ def windows(tokens: DataFrame, request: str = "request_id", size: int = WINDOW,
     return tokens.withColumn("window", F.explode(F.sequence(first.cast("int"), to.cast("int")))).drop("n_")
 
 
+_SPAN = "struct<start:int,end:int,label:string,sum:double,n:int,word:bigint>"
+
+
 def decode(tokens: DataFrame, request: str = "request_id") -> DataFrame:
     """(request, start, end, kind, score) from tokens (request, tok_no, word_id, byte_start, byte_end, tag, score).
 
-    B opens a span; I of its kind goes on and opens one if there is none; a token of the same word
-    always goes on. The score is the mean. Spans of one kind that overlap keep the one that scores
-    more, as ``dedupe`` does. Gaps and islands: three windows over one sort.
+    B opens a span; I of its kind goes on and opens one if there is none; a token of the word that the
+    span ends with always goes on, even if it is tagged O. The score is the mean of tagged tokens. Overlapping spans of
+    several windows are for ``dedupe``. A fold over the tokens of a request in order; spans are added once each.
     """
-    w = Window.partitionBy(request).orderBy("tok_no")
-    kind = F.when(F.col("tag") != "O", F.substr("tag", F.lit(3)))
-    t = tokens.withColumn("kind", kind).withColumn("begin", F.col("tag").startswith("B-"))
-    t = t.withColumn("last_kind", F.lag("kind").over(w)).withColumn("last_word", F.lag("word_id").over(w))
-    same_word = F.coalesce(F.col("word_id") == F.col("last_word"), F.lit(False)) & F.col("last_kind").isNotNull()
-    opens = ~same_word & F.col("kind").isNotNull() & (F.col("begin") | ~F.coalesce(F.col("kind") == F.col("last_kind"), F.lit(False)))
-    t = t.withColumn("opens", opens).withColumn("inside", F.col("kind").isNotNull() | same_word)
-    t = t.withColumn("island", F.sum(F.when(F.col("opens"), 1).otherwise(0)).over(w)).where("inside and island > 0")
-    spans = t.groupBy(request, "island").agg(
-        F.min("byte_start").alias("start"), F.max("byte_end").alias("end"), F.min_by("kind", "tok_no").alias("label"), F.avg("score").alias("score")
-    )
+    fields = ["tok_no", F.col("word_id").cast("long").alias("word"), F.col("byte_start").cast("int").alias("start"), F.col("byte_end").cast("int").alias("end"), "tag", F.col("score").cast("double").alias("score")]
+    rows = tokens.groupBy(request).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("toks"))
+    zero = F.struct(F.array().cast(f"array<{_SPAN}>").alias("done"), F.lit(None).cast(_SPAN).alias("own"))
+
+    def step(a: Column, t: Column) -> Column:
+        own = a["own"]
+        kind = F.when(t["tag"] != "O", F.substr(t["tag"], F.lit(3)))
+        same = F.coalesce(own["word"] == t["word"], F.lit(False))
+        goes_on = F.when(kind.isNull(), same).otherwise(same | F.coalesce(t["tag"].startswith("I-") & (own["label"] == kind), F.lit(False)))
+        counts = kind.isNotNull().cast("int")
+
+        def span(start: Column, label: Column, total: Column, n: Column) -> Column:
+            return F.struct(start.alias("start"), t["end"].alias("end"), label.alias("label"), total.alias("sum"), n.alias("n"), t["word"].alias("word")).cast(_SPAN)
+
+        longer = span(own["start"], own["label"], own["sum"] + counts * t["score"], own["n"] + counts)
+        new = F.when(kind.isNotNull(), span(t["start"], kind, t["score"], F.lit(1)))
+        done = F.when(own.isNotNull() & ~goes_on, F.concat(a["done"], F.array(own))).otherwise(a["done"])
+        return F.struct(done.alias("done"), F.when(goes_on, longer).otherwise(new).alias("own"))
+
+    found = F.aggregate("toks", zero, step, lambda a: F.when(a["own"].isNotNull(), F.concat(a["done"], F.array(a["own"]))).otherwise(a["done"]))
     names = F.create_map(*[F.lit(x) for kv in KINDS.items() for x in kv])
-    return spans.select(request, "start", "end", names[F.col("label")].alias("kind"), F.round("score", 6).alias("score")).where("kind is not null")
+    spans = rows.select(request, F.explode(found).alias("s"))
+    return spans.select(request, "s.start", "s.end", names[F.col("s.label")].alias("kind"), F.round(F.col("s.sum") / F.col("s.n"), 6).alias("score")).where("kind is not null")
 
 
 def dedupe(spans: Column) -> Column:
-    """Of overlapping spans (start, end, kind, score) of one kind the one that scores more, the earlier of equals; in order of start."""
-    out = F.array_sort(spans)
-    lost = lambda s: F.exists(out, lambda o: (o["kind"] == s["kind"]) & (o["start"] < s["end"]) & (s["start"] < o["end"]) & ((o["score"] > s["score"]) | ((o["score"] == s["score"]) & ((o["start"] < s["start"]) | ((o["start"] == s["start"]) & (o["end"] < s["end"]))))))
-    return F.filter(out, lambda s: ~lost(s))
+    """Of spans (start, end, kind, score) of one kind that overlap, the one that scores more; in order of start.
+
+    Spans are taken by start, the better first; each meets the ones kept by then, so a span that has
+    lost doesn't put out others.
+    """
+    queue = F.transform(F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["score"]).alias("low"), s.alias("s")))), lambda x: x["s"])
+    zero = F.slice(spans, 1, 0)
+
+    def step(kept: Column, s: Column) -> Column:
+        hit = F.array_position(F.transform(kept, lambda k: (k["kind"] == s["kind"]) & (k["start"] < s["end"]) & (s["start"] < k["end"])), F.lit(True)).cast("int")
+        better = F.transform(kept, lambda k, i: F.when((i + 1 == hit) & (s["score"] > k["score"]), s).otherwise(k))
+        return F.when(hit > 0, better).otherwise(F.concat(kept, F.array(s)))
+
+    return F.array_sort(F.aggregate(queue, zero, step))
 
 
 def best_first(spans: Column) -> Column:

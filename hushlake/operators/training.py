@@ -72,13 +72,13 @@ def bio_labels(types: list[str]) -> list[str]:
 
 
 def align(samples: DataFrame, special: str = "special") -> DataFrame:
-    """``samples`` (entities, tokens of start, end, word_id) with labels: -100 for special tokens and later ones of a word in an entity, B at an entity's start, I within, else O."""
+    """``samples`` (entities, tokens of start, end, word_id) with labels: -100 for special tokens (no word, or no place) and for all tokens of an entity but the one that holds its start, which has B; else O."""
 
-    def label(t: Column, i: Column) -> Column:
-        own = F.get(F.filter("entities", lambda e: (e["start"] < t["end"]) & (t["start"] < e["end"])), F.lit(0))
-        later = F.coalesce(t["word_id"] == F.get(F.col("tokens"), i - 1)["word_id"], F.lit(False)) & (i > 0)
-        inside = F.when(t["start"] <= own["start"], F.concat(F.lit("B-"), own["label"])).otherwise(F.concat(F.lit("I-"), own["label"]))
-        return F.when(t["word_id"].isNull(), "-100").when(later, "-100").when(own.isNull(), "O").otherwise(inside)
+    def label(t: Column) -> Column:
+        by_start = F.array_sort(F.filter("entities", lambda e: (e["start"] < t["end"]) & (t["start"] < e["end"])))
+        own = F.get(by_start, F.lit(0))
+        nowhere = t["word_id"].isNull() | ((t["start"] == 0) & (t["end"] == 0))
+        return F.when(nowhere, "-100").when(own.isNull(), "O").when(t["start"] <= own["start"], F.concat(F.lit("B-"), own["label"])).otherwise("-100")
 
     return samples.withColumn("labels", F.transform("tokens", label))
 

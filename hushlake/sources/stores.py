@@ -25,12 +25,11 @@ def first_writes(batch: DataFrame, stored: DataFrame | None = None, key: str = "
 def record_usage(batch: DataFrame, path: str) -> None:
     """Appends new usage events, partitioned by day, so that time ranges prune files."""
     spark = batch.sparkSession
-    try:
-        stored = spark.read.parquet(path)
-    except Exception:
-        stored = None
+    day = F.to_date(F.timestamp_millis("ts_unix_ms"))
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stored = spark.read.parquet(path) if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at) else None
     rows = first_writes(batch, stored)
-    rows.withColumn("day", F.to_date(F.timestamp_millis("ts_unix_ms"))).write.mode("append").partitionBy("day").parquet(path)
+    rows.withColumn("day", day).write.mode("append").partitionBy("day").parquet(path)
 
 
 def append(rows: DataFrame, path: str) -> None:

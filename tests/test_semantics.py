@@ -197,3 +197,68 @@ def test_config():
     for bad in ("x = '${NOPE}'", "[odd]", '[prices."a*b"]\ninput=1\noutput=1', "[[keys]]\nrate={requests=0,per_seconds=1}"):
         with pytest.raises(ValueError):
             config.load(bad, {}, strict=True)
+
+
+def _tokens(spark, rows):
+    return spark.createDataFrame([("r", i, w, 4 * i, 4 * i + 4, tag, score) for i, (w, tag, score) in enumerate(rows)], "request_id string, tok_no long, word_id long, byte_start int, byte_end int, tag string, score double")
+
+
+def test_decode_carries_a_word_through_tokens_tagged_o(spark):
+    from hushlake.operators import ner
+
+    got = lambda rows: sorted((r["start"], r["end"], r["kind"], r["score"]) for r in ner.decode(_tokens(spark, rows)).collect())
+    assert got([(0, "B-PER", 0.9), (0, "O", 0.1), (0, "I-PER", 0.7)]) == [(0, 12, "PERSON", 0.8)]
+    assert got([(0, "B-PER", 0.9), (1, "O", 0.1), (2, "I-PER", 0.7)]) == [(0, 4, "PERSON", 0.9), (8, 12, "PERSON", 0.7)]
+    assert got([(0, "I-ORG", 0.5), (1, "I-ORG", 0.7), (2, "I-LOC", 0.4), (2, "B-ORG", 0.6), (3, "B-LOC", 1.0)]) == [(0, 8, "ORGANIZATION", 0.6), (8, 16, "LOCATION", 0.5), (16, 20, "LOCATION", 1.0)]
+    assert got([(None, "B-PER", 0.5), (None, "O", 0.5), (None, "I-PER", 0.5)]) == [(0, 4, "PERSON", 0.5), (8, 12, "PERSON", 0.5)]
+    assert got([(0, "O", 0.5)]) == []
+
+
+def test_dedupe_of_chains(spark):
+    from hushlake.operators import ner
+
+    def run(*spans):
+        d = spark.createDataFrame([([*spans],)], "s array<struct<start:int,end:int,kind:string,score:double>>")
+        return [tuple(x) for x in d.select(ner.dedupe(F.col("s")).alias("s")).first()["s"]]
+
+    assert run((0, 10, "P", 0.9), (5, 20, "P", 0.5), (15, 30, "P", 0.3)) == [(0, 10, "P", 0.9), (15, 30, "P", 0.3)]
+    assert run((0, 10, "P", 0.4), (5, 20, "P", 0.5), (15, 30, "P", 0.3)) == [(5, 20, "P", 0.5)]
+    assert run((0, 10, "P", 0.4), (0, 10, "P", 0.6), (0, 10, "L", 0.1)) == [(0, 10, "L", 0.1), (0, 10, "P", 0.6)]
+    assert run() == []
+
+
+def test_align_learns_the_first_token_of_an_entity(spark):
+    from hushlake.operators import training
+
+    d = spark.createDataFrame([([(0, 5, "PER"), (10, 14, "LOC")], [(0, 0, None), (0, 2, 0), (2, 5, 0), (6, 9, 1), (10, 12, 2), (12, 14, 2), (15, 17, 3), (17, 19, 3), (0, 0, None)])], "entities array<struct<start:int,end:int,label:string>>, tokens array<struct<start:int,end:int,word_id:int>>")
+    assert training.align(d).first()["labels"] == ["-100", "B-PER", "-100", "O", "B-LOC", "-100", "O", "O", "-100"]
+
+
+def test_contents_in_parts(spark):
+    from hushlake.operators import bodies, metering
+
+    parts = [{"type": "text", "text": "one"}, {"type": "image"}, {"text": 5}, {"text": "two"}]
+    body = {"messages": [{"role": "system", "content": "be"}, {"role": "system", "content": [{"text": "kind"}]}, {"role": "user", "content": parts}, {"content": "[1]"}, {"role": "user"}], "max_tokens": 5, "max_completion_tokens": 7, "top_p": 0.5, "stop": "END"}
+    rows = [(json.dumps(body),), (json.dumps({"messages": [{"role": "user", "content": "x"}], "stop": ["a", "b"]}),), (json.dumps({"messages": []}),), (json.dumps({"system": [{"text": "s"}], "messages": [{"role": "user", "content": "x"}]}),)]
+    d = spark.createDataFrame(rows, "body string")
+    assert [r[0] for r in d.select(bodies.request_text(F.col("body"))).collect()] == ["be\nkind\none\ntwo\n[1]", "x", "", "x"]
+    assert d.select(bodies.request_text(F.col("body"), "anthropic")).collect()[3][0] == "s\nx"
+    got = [json.loads(r[0]) for r in d.select(metering.converse_request(F.col("body"))).collect()]
+    text = lambda *t: [{"text": x} for x in t]
+    assert got[0] == {"system": text("be", "kind"), "messages": [{"role": "user", "content": text("one", "two")}, {"role": "user", "content": text("[1]")}, {"role": "user", "content": []}], "inferenceConfig": {"maxTokens": 7, "topP": 0.5, "stopSequences": ["END"]}}
+    assert got[1]["inferenceConfig"] == {"stopSequences": ["a", "b"]} and got[2] == {"messages": []} and "system" not in got[3]
+    r = spark.createDataFrame([('{"output":{"message":{"content":[{"text":"a"},{"x":1},{"text":"b"}]}},"stopReason":"malformed_tool_use","usage":{"inputTokens":2,"outputTokens":3}}',)], "b string").select(metering.converse_response(F.col("b")).alias("r")).first()["r"]
+    assert tuple(r) == ("ab", "tool_calls", 2, 3, 5)
+
+
+def test_limits_of_a_key_with_many_rows(spark):
+    from hushlake.operators import metering
+
+    u = spark.range(50_000).select(F.when(F.col("id") % 10 < 9, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 7)).alias("key_id"), F.format_string("r%06d", "id").alias("request_id"), (F.col("id") * 10).alias("ts_unix_ms"), F.lit(0.5).alias("cost_usd"))
+    got = metering.rate_limit(u, 5, 1)
+    assert got.count() == 50_000
+    hot = got.where("key_id = 'hot'").orderBy("ts_unix_ms").collect()
+    assert [r["allowed"] for r in hot[:7]] == [True] * 5 + [False] * 2 and abs(sum(r["allowed"] for r in hot) - 2505) <= 2
+    spent = metering.budget(u, 2.0, 100).where("key_id = 'hot'").orderBy("ts_unix_ms").collect()
+    assert [r["spent"] for r in spent[:6]] == [0.0, 0.5, 1.0, 1.5, 2.0, 2.0] and [r["allowed"] for r in spent[:6]] == [True] * 4 + [False] * 2
+    assert metering.rate_limit(u.limit(0), 5, 1).collect() == []
