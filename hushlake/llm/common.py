@@ -9,7 +9,6 @@ import tempfile
 import uuid
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -93,15 +92,15 @@ def union_find(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             root = up
 
 
-def _finish(frames):
+def _finish(batches):
     """One bounded task: all remaining edges."""
     a = [np.zeros(0, np.int64)]
     b = [np.zeros(0, np.int64)]
-    for f in frames:
-        a.append(f["a"].to_numpy(np.int64))
-        b.append(f["b"].to_numpy(np.int64))
+    for x in batches:
+        a.append(x["a"].to_numpy(zero_copy_only=False))
+        b.append(x["b"].to_numpy(zero_copy_only=False))
     node, root = union_find(np.concatenate(a), np.concatenate(b))
-    yield pd.DataFrame({"id": node, "to": root})
+    yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(root, pa.int64())], ["id", "to"])
 
 
 def components(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
@@ -130,7 +129,7 @@ def components(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
             .distinct()
         )
         e = cut(e)
-    steps.append(e.repartition(1).mapInPandas(_finish, "id long, to long"))
+    steps.append(e.repartition(1).mapInArrow(_finish, "id long, to long"))
     out = steps[0].select("id", F.col("to").alias("component"))
     for m in steps[1:]:
         m = m.select(F.col("id").alias("component"), "to")

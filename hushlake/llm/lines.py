@@ -137,21 +137,21 @@ def _without_copies(docs: DataFrame, firsts: DataFrame) -> DataFrame:
 
 
 def _candidates(docs: DataFrame, firsts: DataFrame, unique: bool) -> tuple[DataFrame, str]:
-    """The table of entries (v, key, name) that share the key with one of a similar number of words, each with the first of them and the one before."""
+    """The table of entries (v, key, name) that share the key with one of a similar number of words, each with its place among them, the first and the one before."""
     e = _entries(_without_copies(docs, firsts), _rarity(docs), unique)
     key = Window.partitionBy("key")  # spills where a key has many rows
     e = e.withColumn("rows", F.count("*").over(key)).where("rows > 1").drop("rows").withColumn("n", _n("v"))
     least = e.withColumns({"less": F.lag("n").over(key.orderBy("n")), "more": F.lead("n").over(key.orderBy("n"))})
     e = least.where("5 * less >= 4 * n or 5 * n >= 4 * more").select("v", "key", "name")
     own, order = F.struct("name", "v"), key.orderBy(F.col("v") < 0, "name", "v")
-    return shared_table(e.withColumns({"first": F.first(own).over(order), "last": F.lag(own).over(order)}))
+    return shared_table(e.withColumns({"first": F.first(own).over(order), "last": F.lag(own).over(order), "place": F.row_number().over(order)}))
 
 
 def _similar(docs: DataFrame, pairs: DataFrame, unique: bool) -> DataFrame | None:
     """The positions of the later lines of those pairs (x, y, count) whose Jaccard similarity is 4/5 or more; None if there are no pairs.
 
     x and y are structs of name and v without the place. The most promising pair of each x is tried first, the rest only for
-    those x that aren't gone by then.
+    those x that aren't gone by then, if x is known to be the later one.
     """
     line = lambda side: F.struct(F.col(f"{side}.name").alias("name"), F.shiftright(f"{side}.v", 16).bitwiseAND(F.lit((1 << 31) - 1)).cast("int").alias("line_no"))
     pairs = cut(pairs.select(line("x").alias("x"), line("y").alias("y"), "count"))
@@ -174,7 +174,7 @@ def _similar(docs: DataFrame, pairs: DataFrame, unique: bool) -> DataFrame | Non
 
     early = found(pairs.groupBy("x").agg(F.max_by("y", F.struct("count", "y")).alias("y")))
     gone = early.select(F.struct(_name(unique).alias("name"), "line_no").alias("x"))
-    late = found(pairs.join(F.broadcast(gone) if n <= BROADCAST else gone, "x", "left_anti"))
+    late = found(pairs.join(F.broadcast(gone) if n <= BROADCAST else gone, "x", "left_anti") if unique else pairs)
     return early.union(late).distinct()
 
 
@@ -186,7 +186,7 @@ def kept_lines(docs: DataFrame) -> DataFrame:
     First, equal lines become one. The keys of the join are pairs of neighbours in the beginnings of
     lines, rare words first, which hardly any lines share that aren't similar; two must be shared, and
     lengths and places must fit. Before all lines of a key meet, each line meets the first and the last one before
-    it, of those two that share most of its keys; that settles most lines of large groups of near copies, whose pairs are never all made.
+    it, of those the two that share most of its keys; that settles most lines of large groups of near copies, whose pairs are never all made.
     """
     docs = docs.select("doc_id", "text")
     spark = docs.sparkSession
@@ -196,27 +196,28 @@ def kept_lines(docs: DataFrame) -> DataFrame:
     release(spark)
 
     line = lambda at: F.struct(F.col(f"{at}name").alias("name"), F.shiftright(f"{at}v", 16).alias("v"))
-    other = F.array_compact(F.array("first", F.when(F.col("first") != F.col("last"), F.col("last"))))
-    star = e.select("name", "v", F.explode(other).alias("y")).where(_fit("v", "y.v")).select(line("").alias("x"), line("y.").alias("y")).where("x <> y").groupBy("x", "y").count().where((F.col("count") > 1) | (F.col("x.v").bitwiseAND(F.lit(_MOST)) <= 3))
+    enough = (F.col("count") > 1) | (F.col("x.v").bitwiseAND(F.lit(_MOST)) <= 3)
+
+    def nearest(e: DataFrame) -> DataFrame:
+        """Each line with the first of its key and the one before it."""
+        other = F.array_compact(F.array(F.when(F.col("place") > 1, F.col("first")), F.when(F.col("place") > 2, F.col("last"))))
+        return e.select("name", "v", F.explode(other).alias("y")).where(_fit("v", "y.v")).select(line("").alias("x"), line("y.").alias("y"))
+
     best = F.slice(F.sort_array(F.collect_list(F.struct("count", "y")), False), 1, 2)  # a line has a few pairs for each of its keys
-    star = star.groupBy("x").agg(best.alias("best")).select("x", F.explode("best").alias("b")).select("x", "b.y", "b.count")
-    early = _similar(docs, star, unique)
+    star = nearest(e).groupBy("x", "y").count().where(enough).groupBy("x").agg(best.alias("best"))
+    early = _similar(docs, star.select("x", F.explode("best").alias("b")).select("x", "b.y", "b.count"), unique)
     release(spark)
 
-    x, y = (e.select(*[F.col(c).alias(f"{c}_{side}") for c in ("v", "key", "name")]) for side in "xy")
-    if early is not None:
-        gone = early.select(_name(unique).alias("name"), "line_no")
+    left = e
+    if early is not None and unique:  # then the places are those of the documents, so that x is the later of each pair
+        gone = early.select(_name(unique).alias("name_"), F.col("line_no").alias("line_"))
         gone = F.broadcast(gone) if gone.count() <= BROADCAST else gone
-        x = x.join(gone, (x["name_x"] == gone["name"]) & (_line("v_x").bitwiseAND(F.lit((1 << 31) - 1)) == gone["line_no"]), "left_anti")
-    c = F.col
-    other = (c("name_y") != c("name_x")) | (_line("v_y") != _line("v_x"))
-    before = F.lit(True)  # narrows the search only; ``_similar`` tells which one is later
-    if unique:
-        before = ((c("v_y") >= 0) & (c("v_x") < 0)) | (((c("v_y") < 0) == (c("v_x") < 0)) & ((c("v_x") < 0) | (c("name_y") <= c("name_x"))))
-    meets = (c("key_x") == c("key_y")) & other & before & _fit("v_x", "v_y")
-    pair = [F.struct(c(f"name_{side}").alias("name"), F.shiftright(f"v_{side}", 16).alias("v")).alias(side) for side in "xy"]
-    pairs = x.join(y, meets).groupBy(*pair).count()
-    late = _similar(docs, pairs.where((c("count") > 1) | (c("x.v").bitwiseAND(F.lit(_MOST)) <= 3)), unique)
+        left = e.join(gone, (F.col("name") == F.col("name_")) & (_line("v").bitwiseAND(F.lit((1 << 31) - 1)) == F.col("line_")), "left_anti")
+    x = left.where("place > 3").select(F.col("key").alias("key_x"), F.struct("name", "v", "place").alias("x"))
+    y = e.where("place > 1").select(F.col("key").alias("key_y"), F.struct("name", "v", "place").alias("y"))
+    rest = x.join(y, (F.col("key_x") == F.col("key_y")) & (F.col("y.place") + 1 < F.col("x.place")) & _fit("x.v", "y.v"))
+    pairs = nearest(left).union(rest.select(line("x.").alias("x"), line("y.").alias("y"))).groupBy("x", "y").count()
+    late = _similar(docs, pairs.where(enough), unique)
 
     lines = firsts.select(*POSITION)
     for found in (early, late):
