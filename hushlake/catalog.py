@@ -12,10 +12,13 @@ from .functions import checks, text
 from .functions import patterns as P
 from .operators import analytics as A
 from .operators import bodies, detect, guard, metering, ner, pseudonymize, spans, training
-from .operators.vault import Vault, restore_with_store
+from .operators.vault import Vault, restore_two_pass, restore_with_store
+from .operators.vault import size as vault_size_of
 from .session import shared_folder
 from .sources import stores
 from .sources.usage import PRICES, SQL, events, usage
+from .streaming import converse as stream_converse
+from .streaming import events as stream_events
 from .streaming import restore as stream_restore
 from .streaming import usage as stream_usage
 
@@ -834,3 +837,128 @@ def scan_distinct(spark, d):
     engine = detect.Engine(ner=_first_word, disabled=tuple(P.RECOGNIZERS))
     s = detect.scan_distinct(conversations(spark, d), engine)
     return s.where(F.size("spans") > 0).groupBy("role").agg(F.count("*").alias("n"))
+
+
+@query("entity_map_size", f"with {INJECTED}, m as (select doc_id, unnest(regexp_extract_all(text, {_q(P.EMAIL)})) as v from texts) select doc_id, count(distinct v) as entities, cast(6 + length(cast(count(distinct v) as varchar)) as integer) as longest from m group by 1")
+def entity_map_size(spark, d):
+    return pseudonymize.map_size(entity_map(spark, d), "doc_id")
+
+
+@query("vault_size", f"{_MAILS} select count(*) as entities, count(*) = 0 as empty from m")
+def vault_size(spark, d):
+    return vault_size_of(vault().assign(_emails(spark, d)))
+
+
+@query("list_users", "select c_custkey as id, c_name as username, sha256(c_name) as password_hash from customer")
+def list_users(spark, d):
+    return A.list_users(spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("username"), F.sha2("c_name", 256).alias("password_hash")))
+
+
+@query("restore_two_pass", f"with {INJECTED} select doc_id, true as hidden, text || ' past p' || (doc_id % 50) || '@example.org' as restored from texts")
+def two_pass(spark, d):
+    """Texts hidden by a request's own map, then followed by a placeholder that only the vault knows."""
+    v = vault()
+    t = texts(spark, d).withColumn("spans", detect.scan_native(F.col("text"), ["email"]))
+    out, own = pseudonymize.pseudonymize(t)
+    past = spark.range(50).select(F.lit("EMAIL").alias("prefix"), F.concat(F.lit("p"), "id", F.lit("@example.org")).alias("value"))
+    stored = v.assign(past).join(past.withColumn("value_hmac", v.blind(F.col("prefix"), F.col("value"))).select("value_hmac", "value"), "value_hmac")
+    number = F.regexp_extract("value", "[0-9]+", 0).cast("long").alias("number")
+    out = out.withColumn("number", F.col("doc_id") % 50).join(stored.select(number, "placeholder"), "number")
+    sent = out.select("doc_id", F.concat("pseudonymized", F.lit(" past "), "placeholder").alias("sent"))
+    back = restore_two_pass(sent, own, v, stored.drop("value"), "doc_id", "sent")
+    return back.select("doc_id", (~F.col("sent").rlike(P.EMAIL)).alias("hidden"), "restored")
+
+
+@query("vault_hide", f"with {INJECTED} select doc_id, case when len(regexp_extract_all(text, {_q(P.EMAIL)})) > 0 then regexp_replace(text, {_q(P.EMAIL)}, '<mail>', 'g') else text end as hidden from texts")
+def vault_hide(spark, d):
+    v = vault()
+    t = texts(spark, d).withColumn("spans", detect.scan_native(F.col("text"), ["email"]))
+    out = v.hide(t, v.assign(detect.values(t)))
+    return out.select("doc_id", F.regexp_replace("hidden", "EMAIL_[0-9]{19,20}", "<mail>").alias("hidden"))
+
+
+@query(
+    "guard_enforced",
+    f"""with {INJECTED}, o as (select *, {_INJECTION} as blocked, len(regexp_extract_all(text, {_q(P.EMAIL)})) as mails, len(regexp_extract_all(text, '(?i)pills')) as pills, len(regexp_extract_all(text, 'nothing$')) as ends from texts)
+select doc_id, not blocked as passed, case when blocked then 'guardrail `injection` blocked content' when mails > 0 then null when pills + ends > 0 then
+  concat_ws('; ', case when pills > 0 then 'guardrail `pills` matched (' || pills || ' span(s))' end, case when ends > 0 then 'guardrail `empty` matched (' || ends || ' span(s))' end) end as reason from o""",
+)
+def guard_enforced(spark, d):
+    t = texts(spark, d).withColumn("spans", detect.scan_native(F.col("text"), ["email"]))
+    passed, refused = guard.enforce(t, RULES, "pre")
+    return passed.select("doc_id", F.lit(True).alias("passed"), "reason").union(refused.select("doc_id", F.lit(False), "reason"))
+
+
+@query("annotate_lines", "with l as (select unnest(string_split(text, chr(10))) as text from documents) select text, cast(case when contains(text, ' ') and strpos(text, ' ') > 1 then 1 else 0 end as integer) as n, count(*) as rows from l where regexp_matches(text, '\\S') group by 1, 2")
+def annotate_lines(spark, d):
+    """Labels lines by a stand-in for a model: the first word, a longer and less likely span on it, and a kind that has no label."""
+    lines = spark.read.parquet(f"{d}/documents.parquet").select(F.explode(F.split("text", "\n")).alias("text"))
+
+    def find(t: str):
+        n = t.find(" ")
+        return [(0, n, "PERSON", 0.9), (0, n + 1, "LOCATION", 0.5), (0, n, "URL", 1.0), (n, n + 1, "PERSON", 0.1)] if n > 0 else []
+
+    out = training.annotate(lines, find, {"PERSON": "PER", "LOCATION": "LOC"})
+    return out.groupBy("text", F.size("entities").alias("n")).agg(F.count("*").alias("rows"))
+
+
+ORACLES["budget_snapshot"] = f"with recursive d as ({ORACLES['budget_window']}), r as (select *, row_number() over (partition by key_id order by ts_unix_ms desc, request_id desc) as i from d) select key_id, request_id, allowed, round(spent, 6) as spent from r where i = 1"
+
+
+@query(
+    "event_restore",
+    "with c as (select conv_id, turn, coalesce(text, '') as text from conversations) select conv_id || '-' || turn as response_id, text || ' a' || conv_id || '@example.com' as answer, '{\"to\":\"a' || conv_id || '@example.com\"}' as arguments, true as ended from c",
+)
+def event_restore(spark, d):
+    """Streams of a text and a tool call, each with a placeholder that is cut in two, in chunks of 150 characters."""
+    c = conversations(spark, d).select("conv_id", F.concat("conv_id", F.lit("-"), "turn").alias("response_id"), F.coalesce("text", F.lit("")).alias("t"), F.when(F.col("turn") % 2 == 0, "openai").otherwise("anthropic").alias("style"))
+    event = lambda s: F.concat(F.lit("data: "), F.to_json(s), F.lit("\n\n"))
+
+    def chat(text=None, call=None):
+        delta = F.struct(text.alias("content")) if text is not None else F.struct(F.array(F.struct(F.lit(3).alias("index"), F.struct(F.lit(call).alias("arguments")).alias("function"))).alias("tool_calls"))
+        return event(F.struct(F.lit("r").alias("id"), F.array(F.struct(delta.alias("delta"))).alias("choices")))
+
+    def block(text=None, call=None):
+        delta = F.struct(F.lit("text_delta").alias("type"), text.alias("text")) if text is not None else F.struct(F.lit("input_json_delta").alias("type"), F.lit(call).alias("partial_json"))
+        return event(F.struct(F.lit("content_block_delta").alias("type"), F.lit(3 if call else 0).alias("index"), delta.alias("delta")))
+
+    parts = lambda f: [f(F.concat("t", F.lit(" EMA"))), f(None, '{"to":"EMAIL'), f(F.lit("IL_1")), f(None, '_1"}')]
+    end = F.lit('event: message_stop\ndata: {"type":"message_stop"}\n\n')
+    c = c.withColumn("raw", F.when(F.col("style") == "openai", F.concat(*parts(chat), F.lit("data: [DONE]\n\n"))).otherwise(F.concat(*parts(block), end)))
+    n = F.ceil(F.length("raw") / 150).cast("int")
+    chunks = c.select("response_id", "style", "raw", n.alias("n"), F.explode(F.sequence(F.lit(1), n)).alias("i"))
+    chunks = chunks.select("response_id", "style", F.col("i").cast("long").alias("seq"), F.substr("raw", (F.col("i") - 1) * 150 + 1, F.lit(150)).alias("chunk"), (F.col("i") == F.col("n")).alias("last"))
+    maps = c.select("response_id", F.create_map(F.lit("EMAIL_1"), F.concat(F.lit("a"), "conv_id", F.lit("@example.com"))).alias("map"))
+    got = _streamed(spark, chunks, lambda s: stream_events.restore_events(s, maps), "append", "events")
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), "")
+    got = got.groupBy("response_id").agg(whole.alias("text")).join(c.select("response_id", "style"), "response_id")
+    out = stream_events.collect_events(got)
+    return out.select("response_id", F.col("channels")["answer"].alias("answer"), F.col("channels")["3"].alias("arguments"), F.col("text").rlike(r"(\[DONE\]|message_stop\"\})\n\n$").alias("ended"))
+
+
+_CHUNK = """'data: {"id":"' || event_id || '","object":"chat.completion.chunk","created":1700000000,"model":"m","choices":[{"index":0,"delta":'"""
+
+
+@query(
+    "converse_stream",
+    f"""select event_id as response_id, {_CHUNK} || '{{"role":"assistant"}},"finish_reason":null}}]}}' || chr(10) || chr(10) || {_CHUNK} || '{{"content":"' || event_type || '"}},"finish_reason":null}}]}}' || chr(10) || chr(10)
+  || case when event_type = 'error' then 'data: {{"error":{{"message":"boom","type":"throttlingException"}}}}' || chr(10) || chr(10)
+          when event_id % 5 = 0 then ''
+          else {_CHUNK} || '{{}},"finish_reason":"' || case event_type when 'view' then 'length' else 'stop' end || '"}}],"usage":{{"prompt_tokens":' || json_extract_string(props, '$.k') || ',"completion_tokens":' || event_id || ',"total_tokens":' || (cast(json_extract_string(props, '$.k') as bigint) + event_id) || '}}}}' || chr(10) || chr(10) end
+  || 'data: [DONE]' || chr(10) || chr(10) as text from events""",
+)
+def converse_stream(spark, d):
+    """Typed streams of all events: whole ones, ones that fail, and ones that break off; some go on after their end."""
+    e = events(spark, d)
+    frame = lambda name, s: F.struct(F.lit(name).alias("event"), F.to_json(s).alias("payload"))
+    delta = F.struct(F.col("event_type").alias("text"))
+    stop = F.when(F.col("event_type") == "view", "max_tokens").otherwise("end_turn")
+    used = F.struct(F.get_json_object("props", "$.k").cast("long").alias("inputTokens"), F.col("event_id").alias("outputTokens"))
+    begin = [frame("messageStart", F.struct(F.lit("assistant").alias("role"))), frame("contentBlockStart", F.struct(F.lit(0).alias("i"))), frame("contentBlockDelta", F.struct(delta.alias("delta")))]
+    late = frame("contentBlockDelta", F.struct(delta.alias("delta")))
+    ends = [frame("messageStop", F.struct(stop.alias("stopReason"))), frame("metadata", F.struct(used.alias("usage"))), late]
+    fails = [frame("throttlingException", F.struct(F.lit("boom").alias("message"))), late]
+    frames = F.when(F.col("event_type") == "error", F.array(*begin, *fails)).when(F.col("event_id") % 5 == 0, F.array(*begin)).otherwise(F.array(*begin, *ends))
+    rows = e.select(F.col("event_id").alias("response_id"), F.lit("m").alias("model"), F.lit(1700000000).cast("long").alias("created"), F.posexplode(frames).alias("seq", "f")).select("response_id", "model", "created", "seq", "f.*")
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), "")
+    return stream_converse.chat_chunks(rows).groupBy("response_id").agg(whole.alias("text"))

@@ -144,3 +144,9 @@ def named_range(name: str, now: int) -> tuple[int, int, str]:
     day = 86_400_000
     length, unit = {"24h": (day, "hour"), "7d": (7 * day, "day")}.get(name, (30 * day, "day"))
     return now - length, now, unit
+
+
+def list_users(users: DataFrame) -> DataFrame:
+    """(id, username, password_hash) by id; a name or hash that is null is empty."""
+    text = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    return users.select("id", text("username"), text("password_hash")).orderBy("id")

@@ -62,6 +62,11 @@ def kind_counts(found: DataFrame, request: str) -> DataFrame:
     return found.groupBy(request, "prefix").agg(F.countDistinct("value").cast("int").alias("count"))
 
 
+def map_size(entities: DataFrame, request: str) -> DataFrame:
+    """(request, entities, longest): how many placeholders a request's map has and the length of the longest, which bounds what a stream holds back."""
+    return entities.groupBy(request).agg(F.count("*").alias("entities"), F.max(F.length("placeholder")).alias("longest"))
+
+
 def tokens_of(texts: DataFrame, text: str) -> DataFrame:
     """One row for each placeholder in a text: place and token."""
     return texts.select("*", F.posexplode(F.regexp_extract_all(text, F.lit(TOKEN), 1)).alias("place", "token"))

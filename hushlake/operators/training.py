@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .ner import best_first
+
 SAMPLE = "text string, entities array<struct<start:int,end:int,label:string>>"
 TEMPLATES = [
     "{PER} works for {ORG} in {LOC}.",
@@ -32,6 +37,21 @@ def write(samples: DataFrame, path: str) -> None:
     samples.select(F.to_json(F.struct("text", "entities")).alias("value")).write.mode("overwrite").text(path)
 
 
+def annotate(lines: DataFrame, find: Callable[[str], list[tuple[int, int, str, float]]], kinds: dict[str, str], threshold: float = 0.35) -> DataFrame:
+    """(text, entities) of the lines (text) that aren't blank, labelled by a model.
+
+    ``find`` gives (start, end, kind, score); kinds are renamed, others and scores below the threshold left
+    out. Of spans that overlap the one that scores more stays, of equal ones the longer.
+    """
+
+    @F.pandas_udf("array<struct<start:int,end:int,label:string,score:double>>")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([[{"start": s, "end": e, "label": kinds[k], "score": score} for s, e, k, score in find(t) if k in kinds and score >= threshold] for t in texts])
+
+    found = lines.where(F.col("text").rlike(r"\S")).select("text", run("text").alias("found"))
+    return found.select("text", F.transform(best_first(F.col("found")), lambda s: s.dropFields("score")).alias("entities"))
+
+
 def problem(text: Column, entities: Column, labels: list[str] | None = None) -> Column:
     """The first thing wrong with a sample; null if nothing is."""
     ordered = F.array_sort(F.transform(entities, lambda e: F.struct(e["start"].alias("start"), e["end"].alias("end"), e["label"].alias("label"))))

@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.checks import hmac_sha256, subkey
+from .detect import values
+from .pseudonymize import restore
+from .spans import rewrite
 
 CHECK = "vault key check"
 
@@ -64,6 +67,14 @@ class Vault:
         own = entities.select(F.col("placeholder").alias("token"), self.decrypt(F.col("value_enc")).alias("value"))
         return tokens.join(own, "token", "left")
 
+    def hide(self, docs: DataFrame, entities: DataFrame, request: str = "doc_id", text: str = "text") -> DataFrame:
+        """``docs`` (with spans) and their text rewritten as ``hidden`` with the vault's placeholders; a value that it hasn't stays."""
+        found = values(docs, text).withColumn("value_hmac", self.blind(F.col("prefix"), F.col("value")))
+        known = found.join(entities.select(F.col("kind").alias("prefix"), "value_hmac", "placeholder"), ["prefix", "value_hmac"])
+        tokens = known.groupBy(request).agg(F.array_sort(F.collect_list(F.struct("start", "end", F.col("placeholder").alias("token")))).alias("tokens"))
+        out = docs.join(tokens, request, "left")
+        return out.withColumn("hidden", F.when(F.col("tokens").isNull(), F.col(text)).otherwise(rewrite(F.col(text), F.col("tokens")))).drop("tokens")
+
     def meta(self, spark) -> DataFrame:
         return spark.range(1).select(self.encrypt(F.lit(CHECK)).alias("key_check"), F.lit(1).alias("schema_version"))
 
@@ -87,3 +98,14 @@ def restore_with_store(texts: DataFrame, vault: Vault, entities: DataFrame, key:
     joined = parts.join(known, (F.col("part") == F.col("token")) & (F.col("n") % 2 == 1), "left")
     whole = joined.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", F.coalesce("value", "part").alias("s")))), lambda x: x["s"]), "").alias("restored"))
     return texts.join(whole, key, "left")
+
+
+def restore_two_pass(texts: DataFrame, own: DataFrame, vault: Vault, entities: DataFrame, key: str, text: str) -> DataFrame:
+    """``texts`` (key, text) with ``restored``: first the request's own placeholders by its map, then those of past requests by the vault."""
+    first = restore(texts, own, key, text).withColumnRenamed("restored", "first_")
+    return restore_with_store(first, vault, entities, key, "first_").drop("first_")
+
+
+def size(entities: DataFrame) -> DataFrame:
+    """(entities, empty): how many a vault holds."""
+    return entities.agg(F.count("*").alias("entities")).withColumn("empty", F.col("entities") == 0)

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import io
 import json
 import struct
+import tarfile
 import zlib
+from itertools import islice
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,6 +55,24 @@ def read_traces(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(TRACE).json(path)
 
 
+def read_archives(spark: SparkSession, path: str) -> DataFrame:
+    """The traces in the tar.gz archives of a folder, line by line; one task reads one archive, file after file."""
+
+    def lines(batches):
+        for batch in batches:
+            for blob in batch.column("content"):
+                with tarfile.open(fileobj=io.BytesIO(blob.as_py()), mode="r:gz") as tar:
+                    for member in tar:
+                        if member.isfile() and member.name.endswith(".jsonl"):
+                            file = tar.extractfile(member)
+                            while part := list(islice(file, 4096)):
+                                yield pa.RecordBatch.from_pydict({"value": [x.decode("utf-8", "replace").rstrip("\r\n") for x in part]})
+
+    blobs = spark.read.format("binaryFile").option("pathGlobFilter", "*.tar.gz").load(path).select("content")
+    text = blobs.mapInArrow(lines, "value string").where(F.trim("value") != "")
+    return text.select(F.from_json("value", TRACE).alias("t")).select("t.*")
+
+
 def shorten(value: Column, most: int = TRACE_FIELD_BYTES) -> Column:
     """A trace's field of at most ``most`` bytes and a mark where it is cut, between characters."""
     cut = F.make_valid_utf8(F.substring(value.cast("binary"), 1, most).cast("string"))

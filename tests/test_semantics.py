@@ -138,8 +138,9 @@ def test_cost_fixture(spark):
 def test_guard_order(spark):
     rules = [guard.Rule("a", "banned_content", "flag", "pre", ["x"]), guard.Rule("b", "banned_content", "flag", "pre", ["y"]), guard.Rule("c", "banned_content", "redact", "both", ["zz"]), guard.Rule("d", "prompt_injection", "block", "post")]
     d = spark.createDataFrame([("xy",), ("xzz",), ("you are now",), ("",), (None,)], "text string")
+    told = lambda *names: "; ".join(f"guardrail `{n}` matched (1 span(s))" for n in names)
     run = lambda phase: [tuple(r[0])[:3] for r in d.select(guard.evaluate(F.col("text"), F.array().cast(spans.SPAN), rules, phase)).collect()]
-    assert run("pre") == [("flag", None, "a; b"), ("redact", None, None), ("flag", None, "b"), ("allow", None, None), ("allow", None, None)]
+    assert run("pre") == [("flag", None, told("a", "b")), ("redact", None, None), ("flag", None, told("b")), ("allow", None, None), ("allow", None, None)]
     assert run("post")[2] == ("block", "d", None)
 
 
