@@ -43,7 +43,7 @@ def rotate(turns: DataFrame) -> DataFrame:
     mine = ~F.col("rule") & (F.col("speaker") == F.col("perspective"))
     head = F.when(F.col("rule"), F.lit(f"{OPEN}system\n")).when(mine, F.lit(f"{OPEN}assistant\n")).otherwise(F.concat(F.lit(f"{OPEN}user name="), _shown("speaker"), F.lit("\n")))
     t = t.withColumn("trained", mine).withColumn("head", head).withColumn("piece", F.concat("head", "said", F.lit(CLOSE)))
-    t = t.withColumn("n", F.length("piece").cast("long")).withColumn("run", F.floor(F.coalesce("turn", F.lit(-1)) / RUN).cast("long"))
+    t = t.withColumn("n", F.length("piece").cast("long")).withColumn("run", F.floor(F.coalesce("turn", F.lit(-1 << 63)) / RUN).cast("long"))
     keys = ["conv_id", "perspective"]
     runs = t.groupBy(*keys, "run").agg(F.sum("n").alias("chars"))
     past = Window.partitionBy(*keys).orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
