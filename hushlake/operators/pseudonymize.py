@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.patterns import TOKEN
 from .detect import values
-from .spans import rewrite
+from .spans import rewrite, widen
 
 
 def entity_map(found: DataFrame, request: str, order: list[str]) -> DataFrame:
@@ -27,10 +27,11 @@ def entity_map(found: DataFrame, request: str, order: list[str]) -> DataFrame:
 def pseudonymize(docs: DataFrame, request: str = "doc_id", leaf: str | None = None, text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(texts, map): ``docs`` (with spans) and their text rewritten as ``pseudonymized``, and the entity map.
 
-    ``leaf`` numbers the texts of a request. A request's texts share one map.
+    ``leaf`` numbers the texts of a request. A request's texts share one map. Digits and underscores right behind a
+    span go with it: behind a placeholder they would keep it from being restored.
     """
     keys = [request] + ([leaf] if leaf else [])
-    found = values(docs, text)
+    found = values(docs.withColumn("spans", widen(F.col(text), F.col("spans"))), text)
     entities = entity_map(found, request, ([leaf] if leaf else []) + ["start"])
     tokens = found.join(entities, [request, "prefix", "value"]).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("start", "end", F.col("placeholder").alias("token")))).alias("tokens"))
     out = docs.join(tokens, keys, "left")

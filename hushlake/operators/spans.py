@@ -41,6 +41,13 @@ def merge(spans: Column) -> Column:
     return F.aggregate(plain, zero, lambda a, s: F.when(F.size(a) == 0, F.array(s)).otherwise(step(a, s)))
 
 
+def widen(text: Column, spans: Column) -> Column:
+    """Sorted, disjoint spans, each with the digits and underscores right behind it, up to the next span: a placeholder that those follow could not be told from a longer one."""
+    ends = lambda s, i: F.coalesce(F.get(spans, i + 1)["start"], F.length(text)) - s["end"]
+    more = lambda s, i: F.length(F.regexp_extract(F.substr(text, s["end"] + 1, ends(s, i)), "^[0-9_]*", 0))
+    return F.transform(spans, lambda s, i: F.struct(s["start"].alias("start"), (s["end"] + more(s, i)).cast("int").alias("end"), s["kind"].alias("kind"), s["prio"].alias("prio")))
+
+
 def rewrite(text: Column, spans: Column) -> Column:
     """The text with each of the sorted, disjoint spans (start, end, token) replaced by its token."""
     zero = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
