@@ -293,9 +293,23 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Field:
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = known.select("lang", "doc_id").distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample).drop("n")
-    rows = known.join(F.broadcast(ids), ["lang", "doc_id"]).groupBy("lang", "doc_id").agg(F.min("text").alias("text")).collect()
-    rows = sorted(r for r in ((r["lang"], r["doc_id"], r["text"] or "") for r in rows) if LETTER.search(r[2]))
-    return fit([r[2] for r in rows], [r[0] for r in rows])
+    rows = known.join(F.broadcast(ids), ["lang", "doc_id"]).groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
+
+    def run(batches):
+        got = [r for b in batches for r in zip(b["lang"].to_pylist(), b["doc_id"].to_pylist(), b["text"].to_pylist())]
+        got = sorted(r for r in ((lang, d, t or "") for lang, d, t in got) if LETTER.search(r[2]))
+        field = fit([r[2] for r in got], [r[0] for r in got])
+        del got
+        arrays = [pa.array([x.tobytes()], pa.binary()) for x in (field.weights, field.step, field.start)]
+        yield pa.RecordBatch.from_arrays([pa.array([field.labels], pa.list_(pa.string())), *arrays], ["labels", "weights", "step", "start"])
+        tidy()
+
+    # a worker fits, not the driver, whose memory this would take for good: of the sample only the field comes back
+    r = rows.select(F.col("lang").cast("string"), "doc_id", F.col("text").cast("string")).repartition(1).mapInArrow(run, "labels array<string>, weights binary, step binary, start binary").first()
+    if r is None or not (k := len(r["labels"])):
+        return fit([], [])
+    w, step, start = (np.frombuffer(bytes(r[c]), np.float32) for c in ("weights", "step", "start"))
+    return Field(list(r["labels"]), w.reshape(BUCKETS, k), step.reshape(k, k), start)
 
 
 def identify(docs: DataFrame, field: Field, text: str = "text") -> DataFrame:
