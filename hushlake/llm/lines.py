@@ -39,7 +39,8 @@ def _lines(docs: DataFrame) -> DataFrame:
 def _rarity(docs: DataFrame) -> Column:
     """A literal of COUNTERS levels, 1 to 127: how often words of a hash occur in all documents, in quarters of a binary logarithm.
 
-    Its size is fixed, whatever the documents.
+    Its size is fixed, whatever the documents, so most counters hold many rare words: up to a little above the median they tell
+    nothing, and have one level.
     """
     each = docs.select(F.explode(F.split(F.replace(F.lower(F.col("text").cast("string")), F.lit("\n"), F.lit(" ")), " ")).alias("w"))
     n = each.groupBy(F.xxhash64("w").bitwiseAND(F.lit(COUNTERS - 1)).cast("int").alias("i")).count()
@@ -47,6 +48,8 @@ def _rarity(docs: DataFrame) -> Column:
     got = [1] * COUNTERS
     for r in n.select("i", level.alias("level")).collect():  # at most COUNTERS rows
         got[r["i"]] = r["level"]
+    least = sorted(got)[COUNTERS // 2] + 2
+    got = [max(x, min(least, 127)) for x in got]
     return F.from_json(F.lit(json.dumps(got, separators=(",", ":"))), "array<bigint>")
 
 
@@ -56,9 +59,17 @@ def _words(line: str) -> Column:
 
 
 def _ordered(line: str, rarity: Column) -> Column:
-    """The distinct words of a line, rare ones first: the level of the word's counter, and behind it 56 bits of its hash."""
+    """The distinct words of a line, rare ones first: the level of the word's counter, behind it its length, the longer first, and 50 bits of its hash."""
     level = lambda x: F.get(rarity, x.bitwiseAND(F.lit(COUNTERS - 1)).cast("int"))
-    return F.sort_array(F.transform(_words(line), lambda x: F.shiftleft(level(x), 56).bitwiseOR(F.shiftrightunsigned(x, 8))))
+    short = lambda w: F.lit(63) - F.least(F.length(w), F.lit(63))
+    code = lambda w: F.shiftleft(level(F.xxhash64(w)), 56).bitwiseOR(F.shiftleft(short(w).cast("long"), 50)).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 14))
+    return F.sort_array(F.transform(F.array_remove(F.array_distinct(F.split(line, " ")), ""), code))
+
+
+def _parity(k: str) -> Column:
+    """64 bits, each the parity of the number of words whose hash falls on it: of two lines no more bits differ than words are in one only."""
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
+    return F.aggregate(k, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(bit(x)))
 
 
 def _prefix(n: Column) -> Column:
@@ -73,17 +84,19 @@ def _prefix(n: Column) -> Column:
 
 
 def _entries(lines: DataFrame, rarity: Column, unique: bool) -> DataFrame:
-    """(v, key, name): a row for each pair of neighbours in the beginning of each line; see ``_packed`` for v.
+    """(v, key, name, bits): a row for each pair of neighbours in the beginning of each line; see ``_packed`` for v, ``_parity`` for bits.
 
-    Lines of up to three words have equals only, so they have one key, made of all words.
+    Lines of up to three words have equals only, so they have one key, made of all words. What belongs to a line is made before
+    its keys become rows, or it would be made for each of them. No line is without keys; the outer form only keeps Spark from
+    inferring a filter, for which it would make the words of a line anew a dozen times.
     """
     k = lines.select(_name(unique).alias("name"), "null_id", "line_no", _ordered("line", rarity).alias("k"))
     n = F.size("k")
     m = F.greatest(_prefix(n), F.lit(0))
     pairs = F.zip_with(F.slice("k", 1, m), F.slice("k", 2, m), lambda a, b: F.shiftrightunsigned(F.xxhash64(a, b), 16))
     keys = F.when(n > 3, pairs).otherwise(F.array(F.xxhash64("k", F.lit(0))))
-    e = k.select("name", _packed(n).alias("v"), F.posexplode(keys).alias("pos", "key"))
-    return e.select(F.col("v").bitwiseOR(F.least("pos", F.lit(_MOST)).cast("long")).alias("v"), F.coalesce("key", F.lit(0)).alias("key"), "name")
+    e = k.select("name", _packed(n).alias("v"), _parity("k").alias("bits"), keys.alias("keys")).select("name", "v", "bits", F.posexplode_outer("keys").alias("pos", "key"))
+    return e.select(F.col("v").bitwiseOR(F.least("pos", F.lit(_MOST)).cast("long")).alias("v"), F.coalesce("key", F.lit(0)).alias("key"), "name", "bits")
 
 
 def _packed(n: Column) -> Column:
@@ -106,12 +119,17 @@ def _n(v: str) -> Column:
     return F.shiftright(v, 16).bitwiseAND(F.lit(_MOST))
 
 
-def _fit(vx: str, vy: str) -> Column:
-    """Whether lines that share neighbours may be similar, by their numbers of words and by the words before and behind, unless one is too long to tell."""
-    nx, ny = _n(vx), _n(vy)
-    i, j = (F.col(v).bitwiseAND(F.lit(_MOST)) for v in (vx, vy))
+def _apart(x: str, y: str) -> Column:
+    """In how many bits of parity lines x and y differ."""
+    return F.bit_count(F.col(f"{x}bits").bitwiseXOR(F.col(f"{y}bits")))
+
+
+def _fit(x: str, y: str) -> Column:
+    """Whether lines that share neighbours may be similar, by their numbers of words, by the words before and behind and by their bits, unless one is too long to tell."""
+    nx, ny = _n(f"{x}v"), _n(f"{y}v")
+    i, j = (F.col(f"{c}v").bitwiseAND(F.lit(_MOST)) for c in (x, y))
     common = F.least(nx - i, ny - j) + F.least(i, j)
-    return (F.least(nx, ny) * 5 >= F.greatest(nx, ny) * 4) & ((F.greatest(nx, ny) == _MOST) | (common * 9 >= (nx + ny) * 4))
+    return (F.least(nx, ny) * 5 >= F.greatest(nx, ny) * 4) & ((F.greatest(nx, ny) == _MOST) | (common * 9 >= (nx + ny) * 4) & (_apart(x, y) * 9 <= nx + ny))
 
 
 def _firsts(docs: DataFrame) -> tuple[DataFrame, str]:
@@ -137,24 +155,24 @@ def _without_copies(docs: DataFrame, firsts: DataFrame) -> DataFrame:
 
 
 def _candidates(docs: DataFrame, firsts: DataFrame, unique: bool) -> tuple[DataFrame, str]:
-    """The table of entries (v, key, name) that share the key with one of a similar number of words, each with its place among them, the first and the one before."""
+    """The table of entries (v, key, name, bits) that share the key with one of a similar number of words, each with its place among them, the first and the one before."""
     e = _entries(_without_copies(docs, firsts), _rarity(docs), unique)
     key = Window.partitionBy("key")  # spills where a key has many rows
     e = e.withColumn("rows", F.count("*").over(key)).where("rows > 1").drop("rows").withColumn("n", _n("v"))
     least = e.withColumns({"less": F.lag("n").over(key.orderBy("n")), "more": F.lead("n").over(key.orderBy("n"))})
-    e = least.where("5 * less >= 4 * n or 5 * n >= 4 * more").select("v", "key", "name")
-    own, order = F.struct("name", "v"), key.orderBy(F.col("v") < 0, "name", "v")
+    e = least.where("5 * less >= 4 * n or 5 * n >= 4 * more").select("v", "key", "name", "bits")
+    own, order = F.struct("name", "v", "bits"), key.orderBy(F.col("v") < 0, "name", "v")
     return shared_table(e.withColumns({"first": F.first(own).over(order), "last": F.lag(own).over(order), "place": F.row_number().over(order)}))
 
 
 def _similar(docs: DataFrame, pairs: DataFrame, unique: bool) -> DataFrame | None:
-    """The positions of the later lines of those pairs (x, y, count) whose Jaccard similarity is 4/5 or more; None if there are no pairs.
+    """The positions of the later lines of those pairs (x, y, near) whose Jaccard similarity is 4/5 or more; None if there are no pairs.
 
-    x and y are structs of name and v without the place. The most promising pair of each x is tried first, the rest only for
-    those x that aren't gone by then, if x is known to be the later one.
+    x and y are structs of name and v without the place. The most promising pair of each x, that with most of ``near``, is tried first,
+    the rest only for those x that aren't gone by then, if x is known to be the later one.
     """
     line = lambda side: F.struct(F.col(f"{side}.name").alias("name"), F.shiftright(f"{side}.v", 16).bitwiseAND(F.lit((1 << 31) - 1)).cast("int").alias("line_no"))
-    pairs = cut(pairs.select(line("x").alias("x"), line("y").alias("y"), "count"))
+    pairs = cut(pairs.select(line("x").alias("x"), line("y").alias("y"), "near"))
     ids = cut(pairs.select("x.*").union(pairs.select("y.*")).distinct())
     n = ids.count()
     if not n:
@@ -172,7 +190,7 @@ def _similar(docs: DataFrame, pairs: DataFrame, unique: bool) -> DataFrame | Non
         both = some.join(side("x"), "x").join(side("y"), "y").where((F.col("at_x") != F.col("at_y")) & alike)
         return cut(both.select(later.alias("at")).distinct().select("at.*"))
 
-    early = found(pairs.groupBy("x").agg(F.max_by("y", F.struct("count", "y")).alias("y")))
+    early = found(pairs.groupBy("x").agg(F.max_by("y", F.struct("near", "y")).alias("y")))
     gone = early.select(F.struct(_name(unique).alias("name"), "line_no").alias("x"))
     late = found(pairs.join(F.broadcast(gone) if n <= BROADCAST else gone, "x", "left_anti") if unique else pairs)
     return early.union(late).distinct()
@@ -185,8 +203,8 @@ def kept_lines(docs: DataFrame) -> DataFrame:
     words up to a Jaccard similarity of 4/5; case doesn't count. Words are compared by 64-bit hashes.
     First, equal lines become one. The keys of the join are pairs of neighbours in the beginnings of
     lines, rare words first, which hardly any lines share that aren't similar; two must be shared, and
-    lengths and places must fit. Before all lines of a key meet, each line meets the first and the last one before
-    it, of those the two that share most of its keys; that settles most lines of large groups of near copies, whose pairs are never all made.
+    lengths, places and parities of words must fit. Before all lines of a key meet, each line meets the first and the last one before
+    it, of those the two nearest by parities; that settles most lines of large groups of near copies, whose pairs are never all made.
     """
     docs = docs.select("doc_id", "text")
     spark = docs.sparkSession
@@ -201,11 +219,17 @@ def kept_lines(docs: DataFrame) -> DataFrame:
     def nearest(e: DataFrame) -> DataFrame:
         """Each line with the first of its key and the one before it."""
         other = F.array_compact(F.array(F.when(F.col("place") > 1, F.col("first")), F.when(F.col("place") > 2, F.col("last"))))
-        return e.select("name", "v", F.explode(other).alias("y")).where(_fit("v", "y.v")).select(line("").alias("x"), line("y.").alias("y"))
+        met = e.select("name", "v", "bits", F.explode(other).alias("y")).where(_fit("", "y."))
+        return met.select(line("").alias("x"), line("y.").alias("y"), _apart("", "y.").alias("apart"))
+
+    def counted(pairs: DataFrame) -> DataFrame:
+        """(x, y, near) of the pairs that share enough keys; most of near has the pair whose bits differ least."""
+        n = pairs.groupBy("x", "y").agg(F.count("*").alias("count"), F.min("apart").alias("apart")).where(enough)
+        return n.select("x", "y", F.struct((-F.col("apart")).alias("apart"), "count").alias("near"))
 
-    best = F.slice(F.sort_array(F.collect_list(F.struct("count", "y")), False), 1, 2)  # a line has a few pairs for each of its keys
-    star = nearest(e).groupBy("x", "y").count().where(enough).groupBy("x").agg(best.alias("best"))
-    early = _similar(docs, star.select("x", F.explode("best").alias("b")).select("x", "b.y", "b.count"), unique)
+    best = F.slice(F.sort_array(F.collect_list(F.struct("near", "y")), False), 1, 2)  # a line has a few pairs for each of its keys
+    star = counted(nearest(e)).groupBy("x").agg(best.alias("best"))
+    early = _similar(docs, star.select("x", F.explode("best").alias("b")).select("x", "b.y", "b.near"), unique)
     release(spark)
 
     left = e
@@ -213,11 +237,11 @@ def kept_lines(docs: DataFrame) -> DataFrame:
         gone = early.select(_name(unique).alias("name_"), F.col("line_no").alias("line_"))
         gone = F.broadcast(gone) if gone.count() <= BROADCAST else gone
         left = e.join(gone, (F.col("name") == F.col("name_")) & (_line("v").bitwiseAND(F.lit((1 << 31) - 1)) == F.col("line_")), "left_anti")
-    x = left.where("place > 3").select(F.col("key").alias("key_x"), F.struct("name", "v", "place").alias("x"))
-    y = e.where("place > 1").select(F.col("key").alias("key_y"), F.struct("name", "v", "place").alias("y"))
-    rest = x.join(y, (F.col("key_x") == F.col("key_y")) & (F.col("y.place") + 1 < F.col("x.place")) & _fit("x.v", "y.v"))
-    pairs = nearest(left).union(rest.select(line("x.").alias("x"), line("y.").alias("y"))).groupBy("x", "y").count()
-    late = _similar(docs, pairs.where(enough), unique)
+    x = left.where("place > 3").select(F.col("key").alias("key_x"), F.struct("name", "v", "bits", "place").alias("x"))
+    y = e.where("place > 1").select(F.col("key").alias("key_y"), F.struct("name", "v", "bits", "place").alias("y"))
+    rest = x.join(y, (F.col("key_x") == F.col("key_y")) & (F.col("y.place") + 1 < F.col("x.place")) & _fit("x.", "y."))
+    pairs = counted(nearest(left).union(rest.select(line("x.").alias("x"), line("y.").alias("y"), _apart("x.", "y.").alias("apart"))))
+    late = _similar(docs, pairs, unique)
 
     lines = firsts.select(*POSITION)
     for found in (early, late):
