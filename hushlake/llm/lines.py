@@ -129,7 +129,8 @@ def _fit(x: str, y: str) -> Column:
     nx, ny = _n(f"{x}v"), _n(f"{y}v")
     i, j = (F.col(f"{c}v").bitwiseAND(F.lit(_MOST)) for c in (x, y))
     common = F.least(nx - i, ny - j) + F.least(i, j)
-    return (F.least(nx, ny) * 5 >= F.greatest(nx, ny) * 4) & ((F.greatest(nx, ny) == _MOST) | (common * 9 >= (nx + ny) * 4) & (_apart(x, y) * 9 <= nx + ny))
+    first = (i * 3 <= nx * 2 - ny + 3) & (j * 3 <= ny * 2 - nx + 3)  # as in _prefix, but for these two lengths: two pairs are there
+    return (F.least(nx, ny) * 5 >= F.greatest(nx, ny) * 4) & ((F.greatest(nx, ny) == _MOST) | first & (common * 9 >= (nx + ny) * 4) & (_apart(x, y) * 9 <= nx + ny))
 
 
 def _firsts(docs: DataFrame) -> tuple[DataFrame, str]:
