@@ -53,7 +53,8 @@ def drop_table(spark: SparkSession, path: str) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Has the driver find which shuffles no plan refers to any more, as their files stay until it does."""
+    """Has the driver find which shuffles no plan refers to any more, as their files stay until it does; Python's own references to plans go first."""
+    gc.collect()
     spark._jvm.System.gc()
 
 

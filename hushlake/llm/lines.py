@@ -36,6 +36,11 @@ def _lines(docs: DataFrame) -> DataFrame:
     return d.select("doc", "null_id", "th", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(_full(F.col("line")))
 
 
+def _counter(h: Column) -> Column:
+    """The counter of a word's hash, by bits above the lowest six."""
+    return F.shiftrightunsigned(h, 6).bitwiseAND(F.lit(COUNTERS - 1)).cast("int")
+
+
 def _rarity(docs: DataFrame) -> Column:
     """A literal of COUNTERS levels, 1 to 127: how often words of a hash occur in all documents, in quarters of a binary logarithm.
 
@@ -43,7 +48,7 @@ def _rarity(docs: DataFrame) -> Column:
     nothing, and have one level.
     """
     each = docs.select(F.explode(F.split(F.replace(F.lower(F.col("text").cast("string")), F.lit("\n"), F.lit(" ")), " ")).alias("w"))
-    n = each.groupBy(F.xxhash64("w").bitwiseAND(F.lit(COUNTERS - 1)).cast("int").alias("i")).count()
+    n = each.groupBy(_counter(F.xxhash64("w")).alias("i")).count()
     level = F.least(F.floor(F.log2(F.col("count").cast("double")) * 4) + 1, F.lit(127)).cast("int")
     got = [1] * COUNTERS
     for r in n.select("i", level.alias("level")).collect():  # at most COUNTERS rows
@@ -60,10 +65,11 @@ def _words(line: str) -> Column:
 
 def _ordered(line: str, rarity: Column) -> Column:
     """The distinct words of a line, rare ones first: the level of the word's counter, behind it its length, the longer first, and 50 bits of its hash."""
-    level = lambda x: F.get(rarity, x.bitwiseAND(F.lit(COUNTERS - 1)).cast("int"))
     short = lambda w: F.lit(63) - F.least(F.length(w), F.lit(63))
-    code = lambda w: F.shiftleft(level(F.xxhash64(w)), 56).bitwiseOR(F.shiftleft(short(w).cast("long"), 50)).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 14))
-    return F.sort_array(F.transform(F.array_remove(F.array_distinct(F.split(line, " ")), ""), code))
+    hashed = F.transform(F.split(line, " "), lambda w: F.xxhash64(w).bitwiseAND(F.lit(~63)).bitwiseOR(short(w).cast("long")))  # once for each word
+    hashed = F.array_remove(hashed, F.xxhash64(F.lit("")).bitwiseAND(F.lit(~63)).bitwiseOR(F.lit(63)))
+    code = lambda x: F.shiftleft(F.get(rarity, _counter(x)), 56).bitwiseOR(F.shiftleft(x.bitwiseAND(F.lit(63)), 50)).bitwiseOR(F.shiftrightunsigned(x, 14))
+    return F.sort_array(F.array_distinct(F.transform(hashed, code)))
 
 
 def _parity(k: str) -> Column:
@@ -73,14 +79,14 @@ def _parity(k: str) -> Column:
 
 
 def _prefix(n: Column) -> Column:
-    """How many pairs of neighbours, rare words first, hold two that any similar line has as neighbours too.
+    """How many pairs of neighbours, rare words first, hold one that any similar line has as neighbours too.
 
     A line of n words and a similar one of m differ in at most (n + m) / 9 words, of which a <= n - 4 (n + m) / 9
     are in this one only. Each word that only one has comes between two neighbours that both have, and no other, so
-    that of d + 2 common words in a row two are neighbours in both lines. That many words, and the a in between, are
-    the first n - (n + m) / 3 + 1 at most; one more has a second such pair, and m is 4/5 of n at least.
+    that of d + 2 common words in a row two are neighbours in both lines. So before the first such pair there are d common words
+    at most and a others: n - (n + m) / 3, and m is 4/5 of n at least.
     """
-    return F.least(n - 1, F.floor(n * 2 / 5).cast("int") + 2)
+    return F.least(n - 1, F.floor(n * 2 / 5).cast("int") + 1)
 
 
 def _entries(lines: DataFrame, rarity: Column, unique: bool) -> DataFrame:
@@ -119,18 +125,27 @@ def _n(v: str) -> Column:
     return F.shiftright(v, 16).bitwiseAND(F.lit(_MOST))
 
 
-def _apart(x: str, y: str) -> Column:
-    """In how many bits of parity lines x and y differ."""
-    return F.bit_count(F.col(f"{x}bits").bitwiseXOR(F.col(f"{y}bits")))
+def _differ(x: str, y: str) -> Column:
+    """Three times how many words at least are in one only of lines x and y, if the neighbours they share there are the first they share.
+
+    Before those, no two of c common words in a row are neighbours in both lines, nor are the last of them and the first shared
+    word; so c words at least, a third of the i + j there, are in one line only.
+    """
+    nx, ny = _n(f"{x}v"), _n(f"{y}v")
+    i, j = (F.col(f"{c}v").bitwiseAND(F.lit(_MOST)) for c in (x, y))
+    before = F.greatest(i + j, F.abs(i - j) * 3)
+    return F.greatest(before + F.abs((nx - i) - (ny - j)) * 3, F.bit_count(F.col(f"{x}bits").bitwiseXOR(F.col(f"{y}bits"))) * 3)
 
 
 def _fit(x: str, y: str) -> Column:
-    """Whether lines that share neighbours may be similar, by their numbers of words, by the words before and behind and by their bits, unless one is too long to tell."""
+    """Whether lines that share neighbours may be similar, by their numbers of words, by the words before and behind and by their bits, unless one is too long to tell.
+
+    Similar lines fit at the first neighbours they share, others need not.
+    """
     nx, ny = _n(f"{x}v"), _n(f"{y}v")
     i, j = (F.col(f"{c}v").bitwiseAND(F.lit(_MOST)) for c in (x, y))
-    common = F.least(nx - i, ny - j) + F.least(i, j)
-    first = (i * 3 <= nx * 2 - ny + 3) & (j * 3 <= ny * 2 - nx + 3)  # as in _prefix, but for these two lengths: two pairs are there
-    return (F.least(nx, ny) * 5 >= F.greatest(nx, ny) * 4) & ((F.greatest(nx, ny) == _MOST) | first & (common * 9 >= (nx + ny) * 4) & (_apart(x, y) * 9 <= nx + ny))
+    first = (i * 3 <= nx * 2 - ny) & (j * 3 <= ny * 2 - nx)  # as in _prefix, but for these two lengths
+    return (F.least(nx, ny) * 5 >= F.greatest(nx, ny) * 4) & ((F.greatest(nx, ny) == _MOST) | first & (_differ(x, y) * 3 <= nx + ny))
 
 
 def _firsts(docs: DataFrame) -> tuple[DataFrame, str]:
@@ -155,15 +170,67 @@ def _without_copies(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     return lines.where(F.col("first").isNull() | (F.struct(*POSITION) == F.col("first"))).select(*POSITION, "line")
 
 
+def _id(at: str) -> Column:
+    """A line by the name of its document and v without the place."""
+    return F.struct(F.col(f"{at}name").alias("name"), F.shiftright(f"{at}v", 16).alias("v"))
+
+
 def _candidates(docs: DataFrame, firsts: DataFrame, unique: bool) -> tuple[DataFrame, str]:
-    """The table of entries (v, key, name, bits) that share the key with one of a similar number of words, each with its place among them, the first and the one before."""
+    """The table of entries (v, key, name, bits) that share the key with one of a similar number of words, each with its place among them.
+
+    In ``met`` are the first of the key and the one before, if they fit, as structs (y, differ); ``more`` says whether two follow.
+    """
     e = _entries(_without_copies(docs, firsts), _rarity(docs), unique)
     key = Window.partitionBy("key")  # spills where a key has many rows
     e = e.withColumn("rows", F.count("*").over(key)).where("rows > 1").drop("rows").withColumn("n", _n("v"))
     least = e.withColumns({"less": F.lag("n").over(key.orderBy("n")), "more": F.lead("n").over(key.orderBy("n"))})
     e = least.where("5 * less >= 4 * n or 5 * n >= 4 * more").select("v", "key", "name", "bits")
     own, order = F.struct("name", "v", "bits"), key.orderBy(F.col("v") < 0, "name", "v")
-    return shared_table(e.withColumns({"first": F.first(own).over(order), "last": F.lag(own).over(order), "place": F.row_number().over(order)}))
+    e = e.withColumns({"first": F.first(own).over(order), "last": F.lag(own).over(order), "place": F.row_number().over(order), "more": F.lead("v", 2).over(order).isNotNull()})
+    met = [F.when((F.col("place") > after) & _fit("", f"{y}."), F.struct(_id(f"{y}.").alias("y"), _differ("", f"{y}.").alias("differ"))) for after, y in ((1, "first"), (2, "last"))]
+    return shared_table(e.select("v", "key", "name", "bits", "place", "more", F.array_compact(F.array(*met)).alias("met")))
+
+
+def _met(e: DataFrame) -> DataFrame:
+    """(x, y, differ): each line with the first of its key and the one before it, if they fit."""
+    return e.select(_id("").alias("x"), F.explode("met").alias("m")).select("x", "m.y", "m.differ")
+
+
+def _worded(docs: DataFrame, ids: DataFrame, n: int, unique: bool) -> DataFrame:
+    """(name, line_no, at, w): positions and words of the n lines of ids (name, line_no)."""
+    small = F.broadcast if n <= BROADCAST else lambda df: df
+    name = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")) if unique else F.xxhash64("text")
+    some = docs.select("doc_id", "text", name.alias("name")).join(small(ids.select("name").distinct()), "name", "left_semi")
+    lines = _lines(some).withColumn("name", _name(unique)).join(small(ids), ["name", "line_no"], "left_semi")
+    return cut(lines.select("name", "line_no", F.struct(*POSITION).alias("at"), _words("line").alias("w")).distinct())
+
+
+def _alike(x: str, y: str) -> Column:
+    return F.size(F.array_intersect(x, y)) * 9 >= (F.size(x) + F.size(y)) * 4
+
+
+def _rest(docs: DataFrame, left: DataFrame, e: DataFrame, unique: bool) -> DataFrame | None:
+    """The positions of the lines of left that an earlier line of e resembles, beyond the first of a key and the one before; None if no two fit.
+
+    Pairs are never made: of the entries those are taken that fit with any other, first of left, then of e, they get their
+    lines' words, and an entry of left is looked up until an earlier line is found that is similar.
+    """
+    side = lambda some, c: some.select(F.col("key").alias(f"key_{c}"), F.struct("name", "v", "bits", "place").alias(c))
+    x_after, y_before = ("place > 3", "place > 1 and more") if unique else ("place > 1 and (place > 3 or more)",) * 2
+    apart = F.col("x.place") - F.col("y.place")
+    meet = (F.col("key_x") == F.col("key_y")) & ((apart if unique else F.abs(apart)) > 1) & _fit("x.", "y.")
+    e = e.where(y_before)
+    x = cut(side(left.where(x_after), "x").join(side(e, "y"), meet, "left_semi"))
+    y = cut(side(e, "y").join(F.broadcast(x) if x.count() <= BROADCAST else x, meet, "left_semi"))
+    line_no = lambda c: _line(f"{c}.v").bitwiseAND(F.lit((1 << 31) - 1)).cast("int").alias("line_no")
+    ids = cut(x.select("x.name", line_no("x")).union(y.select("y.name", line_no("y"))).distinct())
+    n = ids.count()
+    if not n:
+        return None
+    lines = _worded(docs, ids, n, unique)
+    worded = lambda some, c: some.withColumns({"name": F.col(f"{c}.name"), "line_no": line_no(c)}).join(lines, ["name", "line_no"]).select(f"key_{c}", c, F.col("at").alias(f"at_{c}"), F.col("w").alias(f"w_{c}"))
+    earlier = (F.col("key_x") == F.col("key_y")) & (F.col("at_y") < F.col("at_x")) & _fit("x.", "y.") & _alike("w_x", "w_y")
+    return cut(worded(x, "x").join(worded(y, "y"), earlier, "left_semi").select("at_x.*").distinct())
 
 
 def _similar(docs: DataFrame, pairs: DataFrame, unique: bool) -> DataFrame | None:
@@ -178,17 +245,12 @@ def _similar(docs: DataFrame, pairs: DataFrame, unique: bool) -> DataFrame | Non
     n = ids.count()
     if not n:
         return None
-    small = F.broadcast if n <= BROADCAST else lambda df: df
-    name = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")) if unique else F.xxhash64("text")
-    some = docs.select("doc_id", "text", name.alias("name")).join(small(ids.select("name").distinct()), "name", "left_semi")
-    lines = _lines(some).withColumn("name", _name(unique)).join(small(ids), ["name", "line_no"], "left_semi")
-    lines = cut(lines.select("name", "line_no", F.struct(*POSITION).alias("at"), _words("line").alias("w")).distinct())
+    lines = _worded(docs, ids, n, unique)
     side = lambda c: lines.select(F.struct("name", "line_no").alias(c), F.col("at").alias(f"at_{c}"), F.col("w").alias(f"w_{c}"))
-    alike = F.size(F.array_intersect("w_x", "w_y")) * 9 >= (F.size("w_x") + F.size("w_y")) * 4
     later = F.when(F.col("at_x") > F.col("at_y"), F.col("at_x")).otherwise(F.col("at_y"))
 
     def found(some: DataFrame) -> DataFrame:
-        both = some.join(side("x"), "x").join(side("y"), "y").where((F.col("at_x") != F.col("at_y")) & alike)
+        both = some.join(side("x"), "x").join(side("y"), "y").where((F.col("at_x") != F.col("at_y")) & _alike("w_x", "w_y"))
         return cut(both.select(later.alias("at")).distinct().select("at.*"))
 
     early = found(pairs.groupBy("x").agg(F.max_by("y", F.struct("near", "y")).alias("y")))
@@ -203,9 +265,9 @@ def kept_lines(docs: DataFrame) -> DataFrame:
     A line goes if an earlier one, by doc_id (null last), hash of the text and number, has the same
     words up to a Jaccard similarity of 4/5; case doesn't count. Words are compared by 64-bit hashes.
     First, equal lines become one. The keys of the join are pairs of neighbours in the beginnings of
-    lines, rare words first, which hardly any lines share that aren't similar; two must be shared, and
-    lengths, places and parities of words must fit. Before all lines of a key meet, each line meets the first and the last one before
-    it, of those the two nearest by parities; that settles most lines of large groups of near copies, whose pairs are never all made.
+    lines, rare words first, which hardly any lines share that aren't similar; lengths, places and parities of words must fit
+    as they do at the first that two similar lines share. Before all lines of a key meet, each line meets the first and the last one before
+    it; that settles most lines of large groups of near copies. The others are looked up, and pairs of them are never made.
     """
     docs = docs.select("doc_id", "text")
     spark = docs.sparkSession
@@ -214,23 +276,8 @@ def kept_lines(docs: DataFrame) -> DataFrame:
     e, of_e = _candidates(docs, firsts, unique)
     release(spark)
 
-    line = lambda at: F.struct(F.col(f"{at}name").alias("name"), F.shiftright(f"{at}v", 16).alias("v"))
-    enough = (F.col("count") > 1) | (F.col("x.v").bitwiseAND(F.lit(_MOST)) <= 3)
-
-    def nearest(e: DataFrame) -> DataFrame:
-        """Each line with the first of its key and the one before it."""
-        other = F.array_compact(F.array(F.when(F.col("place") > 1, F.col("first")), F.when(F.col("place") > 2, F.col("last"))))
-        met = e.select("name", "v", "bits", F.explode(other).alias("y")).where(_fit("", "y."))
-        return met.select(line("").alias("x"), line("y.").alias("y"), _apart("", "y.").alias("apart"))
-
-    def counted(pairs: DataFrame) -> DataFrame:
-        """(x, y, near) of the pairs that share enough keys; most of near has the pair whose bits differ least."""
-        n = pairs.groupBy("x", "y").agg(F.count("*").alias("count"), F.min("apart").alias("apart")).where(enough)
-        return n.select("x", "y", F.struct((-F.col("apart")).alias("apart"), "count").alias("near"))
-
-    best = F.slice(F.sort_array(F.collect_list(F.struct("near", "y")), False), 1, 2)  # a line has a few pairs for each of its keys
-    star = counted(nearest(e)).groupBy("x").agg(best.alias("best"))
-    early = _similar(docs, star.select("x", F.explode("best").alias("b")).select("x", "b.y", "b.near"), unique)
+    near = F.struct((-F.min("differ")).alias("differ"), F.count("*").alias("count")).alias("near")  # most of it has the pair that differs least
+    early = _similar(docs, _met(e).groupBy("x", "y").agg(near), unique)
     release(spark)
 
     left = e
@@ -238,11 +285,7 @@ def kept_lines(docs: DataFrame) -> DataFrame:
         gone = early.select(_name(unique).alias("name_"), F.col("line_no").alias("line_"))
         gone = F.broadcast(gone) if gone.count() <= BROADCAST else gone
         left = e.join(gone, (F.col("name") == F.col("name_")) & (_line("v").bitwiseAND(F.lit((1 << 31) - 1)) == F.col("line_")), "left_anti")
-    x = left.where("place > 3").select(F.col("key").alias("key_x"), F.struct("name", "v", "bits", "place").alias("x"))
-    y = e.where("place > 1").select(F.col("key").alias("key_y"), F.struct("name", "v", "bits", "place").alias("y"))
-    rest = x.join(y, (F.col("key_x") == F.col("key_y")) & (F.col("y.place") + 1 < F.col("x.place")) & _fit("x.", "y."))
-    pairs = counted(nearest(left).union(rest.select(line("x.").alias("x"), line("y.").alias("y"), _apart("x.", "y.").alias("apart"))))
-    late = _similar(docs, pairs, unique)
+    late = _rest(docs, left, e, unique)
 
     lines = firsts.select(*POSITION)
     for found in (early, late):
