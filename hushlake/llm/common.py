@@ -41,9 +41,12 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def shared_table(df: DataFrame) -> tuple[DataFrame, str]:
-    """``df`` written as a table in the shared folder, smaller than a checkpoint, and its path, for ``drop_table``."""
+    """``df`` written as a table in the shared folder, smaller than a checkpoint, and its path, for ``drop_table``.
+
+    Row groups are small, as each task holds a whole one of every column when it writes or reads.
+    """
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(**{"compression": "zstd", "parquet.block.size": 16 << 20}).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 

@@ -11,8 +11,8 @@ from .common import cut, drop_table, release, renamed, shared_table
 
 #: Counters of word frequency. A word counts with all words of its hash, which changes the order only, not the result.
 COUNTERS = 1 << 14
-#: Lines that are broadcast by name at most (about 12 MB); more are joined by a shuffle.
-BROADCAST = 1 << 19
+#: Rows of 32 bytes, or twice as many as of 40, that are broadcast at most (8 and 21 MB, which the driver holds more than once); more are joined by a shuffle.
+BROADCAST = 1 << 18
 _LAST = (1 << 63) - 1
 _MOST = (1 << 16) - 1
 POSITION = ["doc", "null_id", "th", "line_no"]
@@ -165,9 +165,11 @@ def _without_copies(docs: DataFrame, firsts: DataFrame) -> DataFrame:
         if (total := total + r["count"]) > BROADCAST:
             break
         least = r["size"]
-    most = firsts.where((F.col("n") > 1) & (F.col("n") >= 1 << min(least, 62))).select("h", "g", F.struct(*POSITION).alias("first"))
-    lines = _lines(docs).withColumns({"h": F.xxhash64("line"), "g": F.hash("line")}).join(F.broadcast(most), ["h", "g"], "left")
-    return lines.where(F.col("first").isNull() | (F.struct(*POSITION) == F.col("first"))).select(*POSITION, "line")
+    at = F.xxhash64(*POSITION)
+    most = firsts.where((F.col("n") > 1) & (F.col("n") >= 1 << min(least, 62))).select(F.col("h").alias("h_"), F.col("g").alias("g_"), at.alias("first"))
+    same = (F.xxhash64("line") == F.col("h_")) & (F.hash("line").bitwiseXOR(F.col("g_")) == 0)  # an equality would be a second key, and one long takes least memory
+    lines = _lines(docs).join(F.broadcast(most), same, "left")
+    return lines.where(F.col("first").isNull() | (at == F.col("first"))).select(*POSITION, "line")
 
 
 def _id(at: str) -> Column:
@@ -217,11 +219,15 @@ def _rest(docs: DataFrame, left: DataFrame, e: DataFrame, unique: bool) -> DataF
     """
     side = lambda some, c: some.select(F.col("key").alias(f"key_{c}"), F.struct("name", "v", "bits", "place").alias(c))
     x_after, y_before = ("place > 3", "place > 1 and more") if unique else ("place > 1 and (place > 3 or more)",) * 2
-    apart = F.col("x.place") - F.col("y.place")
-    meet = (F.col("key_x") == F.col("key_y")) & ((apart if unique else F.abs(apart)) > 1) & _fit("x.", "y.")
+
+    def meet(x: str) -> Column:
+        apart = F.col(f"{x}place") - F.col("y.place")
+        return (F.col("key_x") == F.col("key_y")) & ((apart if unique else F.abs(apart)) > 1) & _fit(x, "y.")
+
     e = e.where(y_before)
-    x = cut(side(left.where(x_after), "x").join(side(e, "y"), meet, "left_semi"))
-    y = cut(side(e, "y").join(F.broadcast(x) if x.count() <= BROADCAST else x, meet, "left_semi"))
+    x = cut(side(left.where(x_after), "x").join(side(e, "y"), meet("x."), "left_semi"))
+    flat = x.select("key_x", *[F.col(f"x.{c}").alias(f"x_{c}") for c in ("v", "bits", "place")])
+    y = cut(side(e, "y").join(F.broadcast(flat) if x.count() <= 2 * BROADCAST else flat, meet("x_"), "left_semi"))
     line_no = lambda c: _line(f"{c}.v").bitwiseAND(F.lit((1 << 31) - 1)).cast("int").alias("line_no")
     ids = cut(x.select("x.name", line_no("x")).union(y.select("y.name", line_no("y"))).distinct())
     n = ids.count()
