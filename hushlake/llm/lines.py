@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,11 +11,15 @@ from pyspark.sql import functions as F
 from .common import cut, drop_table, release, renamed, shared_table
 
 #: Counters of word frequency. A word counts with all words of its hash, which changes the order only, not the result.
-COUNTERS = 1 << 14
+COUNTERS = 1 << 17
+#: Two words that are each on no more than this share of the square root of all words meet in few lines by chance, however many there are.
+RARE = 1 / 24
 #: Rows of 32 bytes, or twice as many as of 40, that are broadcast at most (8 and 21 MB, which the driver holds more than once); more are joined by a shuffle.
 BROADCAST = 1 << 18
 _LAST = (1 << 63) - 1
 _MOST = (1 << 16) - 1
+_THREE = 1 << 15
+_COMMON = 1 << 56
 POSITION = ["doc", "null_id", "th", "line_no"]
 
 
@@ -37,24 +42,25 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def _counter(h: Column) -> Column:
-    """The counter of a word's hash, by bits above the lowest six."""
-    return F.shiftrightunsigned(h, 6).bitwiseAND(F.lit(COUNTERS - 1)).cast("int")
+    """The counter of a word's hash."""
+    return h.bitwiseAND(F.lit(COUNTERS - 1)).cast("int")
 
 
 def _rarity(docs: DataFrame) -> Column:
-    """A literal of COUNTERS levels, 1 to 127: how often words of a hash occur in all documents, in quarters of a binary logarithm.
+    """A literal of COUNTERS levels: how often words of a hash occur in all documents, in quarters of a binary logarithm; 0 is rare.
 
-    Its size is fixed, whatever the documents, so most counters hold many rare words: up to a little above the median they tell
-    nothing, and have one level.
+    Its size is fixed, whatever the documents. What counts as rare grows with the square root of the words, so that the lines
+    that share two rare words by chance stay in proportion to the input.
     """
     each = docs.select(F.explode(F.split(F.replace(F.lower(F.col("text").cast("string")), F.lit("\n"), F.lit(" ")), " ")).alias("w"))
     n = each.groupBy(_counter(F.xxhash64("w")).alias("i")).count()
-    level = F.least(F.floor(F.log2(F.col("count").cast("double")) * 4) + 1, F.lit(127)).cast("int")
-    got = [1] * COUNTERS
-    for r in n.select("i", level.alias("level")).collect():  # at most COUNTERS rows
+    level = F.least(F.floor(F.log2(F.col("count").cast("double")) * 4) + 1, F.lit(254)).cast("int")
+    got, words = [0] * COUNTERS, 0
+    for r in n.select("i", level.alias("level"), "count").collect():  # at most COUNTERS rows
         got[r["i"]] = r["level"]
-    least = sorted(got)[COUNTERS // 2] + 2
-    got = [max(x, min(least, 127)) for x in got]
+        words += r["count"]
+    rare = 4 * math.log2(max(math.sqrt(words) * RARE, 1))
+    got = [min(max(x - int(rare) - 1, 0), 127) for x in got]
     return F.from_json(F.lit(json.dumps(got, separators=(",", ":"))), "array<bigint>")
 
 
@@ -64,12 +70,10 @@ def _words(line: str) -> Column:
 
 
 def _ordered(line: str, rarity: Column) -> Column:
-    """The distinct words of a line, rare ones first: the level of the word's counter, behind it its length, the longer first, and 50 bits of its hash."""
-    short = lambda w: F.lit(63) - F.least(F.length(w), F.lit(63))
-    hashed = F.transform(F.split(line, " "), lambda w: F.xxhash64(w).bitwiseAND(F.lit(~63)).bitwiseOR(short(w).cast("long")))  # once for each word
-    hashed = F.array_remove(hashed, F.xxhash64(F.lit("")).bitwiseAND(F.lit(~63)).bitwiseOR(F.lit(63)))
-    code = lambda x: F.shiftleft(F.get(rarity, _counter(x)), 56).bitwiseOR(F.shiftleft(x.bitwiseAND(F.lit(63)), 50)).bitwiseOR(F.shiftrightunsigned(x, 14))
-    return F.sort_array(F.array_distinct(F.transform(hashed, code)))
+    """The distinct words of a line, rare ones first, and among them ``_COMMON``, before the common ones: the level of the word's counter and 56 bits of its hash."""
+    hashed = F.array_remove(F.array_distinct(F.transform(F.split(line, " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+    code = lambda x: F.shiftleft(F.get(rarity, _counter(x)), 56).bitwiseOR(F.shiftrightunsigned(x, 8))
+    return F.sort_array(F.array_append(F.array_distinct(F.transform(hashed, code)), F.lit(_COMMON)))
 
 
 def _parity(k: str) -> Column:
@@ -78,35 +82,50 @@ def _parity(k: str) -> Column:
     return F.aggregate(k, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(bit(x)))
 
 
-def _prefix(n: Column) -> Column:
-    """How many pairs of neighbours, rare words first, hold one that any similar line has as neighbours too.
+def _prefix(n: Column, rare: Column) -> Column:
+    """How many keys, rare words first, hold one that any similar line has too; ``rare`` of the n words are rare.
 
-    A line of n words and a similar one of m differ in at most (n + m) / 9 words, of which a <= n - 4 (n + m) / 9
-    are in this one only. Each word that only one has comes between two neighbours that both have, and no other, so
-    that of d + 2 common words in a row two are neighbours in both lines. So before the first such pair there are d common words
-    at most and a others: n - (n + m) / 3, and m is 4/5 of n at least.
+    A key is two neighbours if both are rare, or else three. A line of n words and a similar one of m differ in d <= (n + m) / 9
+    words, of which a <= n - 4 (n + m) / 9 are in this one only. The words both have come in runs between those that only one has.
+    A run without a key has one word if it ends among rare ones, else two at most, one of them rare; and a run with a key begins
+    with one. So before the first key that both have there are a + d words at most if it begins with a rare one. Else there are
+    a + 2 d, less one for each rare word that only one line has, and of those there are at least half of rare - 1, and rare - 1 - a.
+    With m at 4/5 of n, where all of these are largest, a and d are n / 5.
     """
-    return F.least(n - 1, F.floor(n * 2 / 5).cast("int") + 1)
+    ones, threes = F.floor(n * 2 / 5), F.floor((n * 6 - F.greatest(rare * 10 - 10 - n * 2, rare * 5 - 5)) / 10)
+    pairs = F.least(ones + 1, F.greatest(rare, F.lit(0)))
+    return F.least(F.greatest(pairs, threes + 1), F.when(rare >= n, n - 1).otherwise(n - 2)).cast("int")
 
 
 def _entries(lines: DataFrame, rarity: Column, unique: bool) -> DataFrame:
-    """(v, key, name, bits): a row for each pair of neighbours in the beginning of each line; see ``_packed`` for v, ``_parity`` for bits.
+    """(v, key, name, bits): a row for each of the keys, see ``_prefix``, in the beginning of each line; see ``_packed`` for v, ``_parity`` for bits.
 
-    Lines of up to three words have equals only, so they have one key, made of all words. What belongs to a line is made before
+    Lines of up to three words have equals only, so they have one key, made of all words. Of four and five words two in a row may be
+    all that similar lines share, so those have their pairs besides, without places. What belongs to a line is made before
     its keys become rows, or it would be made for each of them. No line is without keys; the outer form only keeps Spark from
     inferring a filter, for which it would make the words of a line anew a dozen times.
     """
-    k = lines.select(_name(unique).alias("name"), "null_id", "line_no", _ordered("line", rarity).alias("k"))
+    k = lines.select(_name(unique).alias("name"), "null_id", "line_no", _ordered("line", rarity).alias("all"))
+    k = k.select("name", "null_id", "line_no", (F.array_position("all", F.lit(_COMMON)) - 1).cast("int").alias("rare"), F.array_remove("all", F.lit(_COMMON)).alias("k"))
     n = F.size("k")
-    m = F.greatest(_prefix(n), F.lit(0))
-    pairs = F.zip_with(F.slice("k", 1, m), F.slice("k", 2, m), lambda a, b: F.shiftrightunsigned(F.xxhash64(a, b), 16))
-    keys = F.when(n > 3, pairs).otherwise(F.array(F.xxhash64("k", F.lit(0))))
-    e = k.select("name", _packed(n).alias("v"), _parity("k").alias("bits"), keys.alias("keys")).select("name", "v", "bits", F.posexplode_outer("keys").alias("pos", "key"))
-    return e.select(F.col("v").bitwiseOR(F.least("pos", F.lit(_MOST)).cast("long")).alias("v"), F.coalesce("key", F.lit(0)).alias("key"), "name", "bits")
+    m = F.greatest(_prefix(n, F.col("rare")), F.lit(0))
+    k = k.select("name", "rare", "k", m.alias("m"), _packed(n).alias("v"), _parity("k").alias("bits"), F.when(n > 3, F.slice("k", 1, m + 2)).alias("front"))
+    front = F.size("front") - 1
+    both = F.zip_with(F.slice("front", 1, front), F.slice("front", 2, front), lambda a, b: F.xxhash64(a, b))
+    two = F.greatest(F.least("m", F.col("rare") - 1), F.lit(0))
+    three = F.col("m") - two
+    k = k.select("name", "v", "bits", "k", "m", two.alias("two"), three.alias("three"), both.alias("both"))
+    threes = F.zip_with(F.slice("both", F.col("two") + 1, F.col("three")), F.slice("both", F.col("two") + 2, F.col("three")), lambda a, b: F.xxhash64(a, b))
+    keys = F.concat(F.slice("both", F.lit(1), F.col("two")), threes)
+    keys = F.when(F.col("both").isNull(), F.array(F.xxhash64("k", F.lit(0)))).when(F.size("k") > 5, keys).otherwise(F.concat(keys, "both"))
+    e = k.select("name", "v", "bits", "m", "two", keys.alias("keys")).select("name", "v", "bits", "m", "two", F.posexplode_outer("keys").alias("pos", "key"))
+    place = F.least("pos", F.lit(_THREE - 1)).bitwiseOR(F.when(F.col("pos") >= F.col("two"), F.lit(_THREE)).otherwise(F.lit(0)))
+    v = F.col("v").bitwiseOR(F.when(F.col("pos") < F.col("m"), place).otherwise(F.lit(0)).cast("long"))
+    return e.select(v.alias("v"), F.coalesce(F.shiftrightunsigned("key", 16), F.lit(0)).alias("key"), "name", "bits")
 
 
 def _packed(n: Column) -> Column:
-    """In one long: null_id as the sign, line_no in 31 bits, n, the number of words, in 16, and 16 bits free for the place. The last two stop at ``_MOST``."""
+    """In one long: null_id as the sign, line_no in 31 bits, n, the number of words, in 16, and 16 bits free for the place, ``_THREE`` among them if the key has three words. n stops at ``_MOST``."""
     null_id = F.when(F.col("null_id"), F.lit(-1 << 63)).otherwise(F.lit(0))
     return null_id.bitwiseOR(F.shiftleft(F.col("line_no").cast("long"), 32)).bitwiseOR(F.shiftleft(F.least(n, F.lit(_MOST)).cast("long"), 16))
 
@@ -125,27 +144,34 @@ def _n(v: str) -> Column:
     return F.shiftright(v, 16).bitwiseAND(F.lit(_MOST))
 
 
+def _place(v: str) -> Column:
+    return F.col(v).bitwiseAND(F.lit(_THREE - 1))
+
+
 def _differ(x: str, y: str) -> Column:
-    """Three times how many words at least are in one only of lines x and y, if the neighbours they share there are the first they share.
+    """Three times how many words at least are in one only of lines x and y, if the key they share there is the first they share.
 
-    Before those, no two of c common words in a row are neighbours in both lines, nor are the last of them and the first shared
-    word; so c words at least, a third of the i + j there, are in one line only.
+    Before it, in runs of one word each, or two if the key has three words, come the words both have, and each run ends with a
+    word that one line only has; so of the i + j words there a third, or a fifth, are in one line only.
     """
     nx, ny = _n(f"{x}v"), _n(f"{y}v")
-    i, j = (F.col(f"{c}v").bitwiseAND(F.lit(_MOST)) for c in (x, y))
-    before = F.greatest(i + j, F.abs(i - j) * 3)
+    i, j = _place(f"{x}v"), _place(f"{y}v")
+    before = F.when(F.col(f"{x}v").bitwiseAND(F.lit(_THREE)) == 0, i + j).otherwise(F.floor((i + j) * 3 / 5))
+    before = F.greatest(before, F.abs(i - j) * 3)
     return F.greatest(before + F.abs((nx - i) - (ny - j)) * 3, F.bit_count(F.col(f"{x}bits").bitwiseXOR(F.col(f"{y}bits"))) * 3)
 
 
 def _fit(x: str, y: str) -> Column:
-    """Whether lines that share neighbours may be similar, by their numbers of words, by the words before and behind and by their bits, unless one is too long to tell.
+    """Whether lines that share a key may be similar, by their numbers of words, by the words before and behind and by their bits, unless one is too long to tell.
 
-    Similar lines fit at the first neighbours they share, others need not.
+    Similar lines fit at the first key they share, others need not.
     """
     nx, ny = _n(f"{x}v"), _n(f"{y}v")
-    i, j = (F.col(f"{c}v").bitwiseAND(F.lit(_MOST)) for c in (x, y))
-    first = (i * 3 <= nx * 2 - ny) & (j * 3 <= ny * 2 - nx)  # as in _prefix, but for these two lengths
-    return (F.least(nx, ny) * 5 >= F.greatest(nx, ny) * 4) & ((F.greatest(nx, ny) == _MOST) | first & (_differ(x, y) * 3 <= nx + ny))
+    i, j = _place(f"{x}v"), _place(f"{y}v")
+    two = (i * 3 <= nx * 2 - ny) & (j * 3 <= ny * 2 - nx)  # as in _prefix, but for these two lengths
+    three = (i * 9 <= nx * 7 - ny * 2) & (j * 9 <= ny * 7 - nx * 2)
+    first = F.when(F.col(f"{x}v").bitwiseAND(F.lit(_THREE)) == 0, two).otherwise(three)
+    return (F.least(nx, ny) * 5 >= F.greatest(nx, ny) * 4) & ((F.greatest(nx, ny) >= _THREE) | first & (_differ(x, y) * 3 <= nx + ny))
 
 
 def _firsts(docs: DataFrame) -> tuple[DataFrame, str]:
@@ -180,9 +206,15 @@ def _id(at: str) -> Column:
 def _candidates(docs: DataFrame, firsts: DataFrame, unique: bool) -> tuple[DataFrame, str]:
     """The table of entries (v, key, name, bits) that share the key with one of a similar number of words, each with its place among them.
 
+    On the way to their keys' tasks entries are three longs: the bits are folded to 24, still one for each word, beside 40 of the key.
+
     In ``met`` are the first of the key and the one before, if they fit, as structs (y, differ); ``more`` says whether two follow.
     """
     e = _entries(_without_copies(docs, firsts), _rarity(docs), unique)
+    own_key = F.col("key").bitwiseAND(F.lit((1 << 40) - 1))
+    folded = F.col("bits").bitwiseXOR(F.shiftrightunsigned("bits", 24)).bitwiseXOR(F.shiftrightunsigned("bits", 48))
+    packed = F.shiftleft(folded, 40).bitwiseOR(own_key)
+    e = e.select("v", "name", packed.alias("key")).repartition(own_key).select("v", own_key.alias("key"), "name", F.shiftrightunsigned("key", 40).alias("bits"))
     key = Window.partitionBy("key")  # spills where a key has many rows
     e = e.withColumn("rows", F.count("*").over(key)).where("rows > 1").drop("rows").withColumn("n", _n("v"))
     least = e.withColumns({"less": F.lag("n").over(key.orderBy("n")), "more": F.lead("n").over(key.orderBy("n"))})
