@@ -32,7 +32,8 @@ def _plain(text: str) -> Column:
     lower = blanks = F.lower(F.col(text).cast("string"))
     for x in "\t\x0b\x0c\r":
         blanks = F.replace(blanks, F.lit(x), F.lit(" "))
-    return F.when(F.col(text).cast("string").rlike("[\t\x0b\x0c\r]"), blanks).otherwise(lower)
+    found = [F.contains(F.col(text).cast("string"), F.lit(x)) for x in "\t\x0b\x0c\r"]
+    return F.when(found[0] | found[1] | found[2] | found[3], blanks).otherwise(lower)
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -72,8 +73,9 @@ def _words(line: str) -> Column:
 def _ordered(line: str, rarity: Column) -> Column:
     """The distinct words of a line, rare ones first, and among them ``_COMMON``, before the common ones: the level of the word's counter and 56 bits of its hash."""
     hashed = F.array_remove(F.array_distinct(F.transform(F.split(line, " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
-    code = lambda x: F.shiftleft(F.get(rarity, _counter(x)), 56).bitwiseOR(F.shiftrightunsigned(x, 8))
-    return F.sort_array(F.array_append(F.array_distinct(F.transform(hashed, code)), F.lit(_COMMON)))
+    level = lambda x: F.coalesce(F.get(rarity, _counter(x)), F.lit(0))  # noqa: E731  # an array that can hold no null is sorted as plain longs
+    code = lambda x: F.shiftleft(level(x), 56).bitwiseOR(F.shiftrightunsigned(x, 8))
+    return F.sort_array(F.concat(F.array_distinct(F.transform(hashed, code)), F.array(F.lit(_COMMON))))
 
 
 def _parity(k: str) -> Column:
@@ -109,16 +111,14 @@ def _entries(lines: DataFrame, rarity: Column, unique: bool) -> DataFrame:
     k = k.select("name", "null_id", "line_no", (F.array_position("all", F.lit(_COMMON)) - 1).cast("int").alias("rare"), F.array_remove("all", F.lit(_COMMON)).alias("k"))
     n = F.size("k")
     m = F.greatest(_prefix(n, F.col("rare")), F.lit(0))
-    k = k.select("name", "rare", "k", m.alias("m"), _packed(n).alias("v"), _parity("k").alias("bits"), F.when(n > 3, F.slice("k", 1, m + 2)).alias("front"))
-    front = F.size("front") - 1
-    both = F.zip_with(F.slice("front", 1, front), F.slice("front", 2, front), lambda a, b: F.xxhash64(a, b))
+    n_keys = F.when(n <= 3, 1).when(n <= 5, m + n - 1).otherwise(m)
     two = F.greatest(F.least("m", F.col("rare") - 1), F.lit(0))
-    three = F.col("m") - two
-    k = k.select("name", "v", "bits", "k", "m", two.alias("two"), three.alias("three"), both.alias("both"))
-    threes = F.zip_with(F.slice("both", F.col("two") + 1, F.col("three")), F.slice("both", F.col("two") + 2, F.col("three")), lambda a, b: F.xxhash64(a, b))
-    keys = F.concat(F.slice("both", F.lit(1), F.col("two")), threes)
-    keys = F.when(F.col("both").isNull(), F.array(F.xxhash64("k", F.lit(0)))).when(F.size("k") > 5, keys).otherwise(F.concat(keys, "both"))
-    e = k.select("name", "v", "bits", "m", "two", keys.alias("keys")).select("name", "v", "bits", "m", "two", F.posexplode_outer("keys").alias("pos", "key"))
+    k = k.select("name", "rare", "k", m.alias("m"), _packed(n).alias("v"), _parity("k").alias("bits"), n_keys.alias("n_keys"))
+    e = k.select("name", "v", "bits", "m", two.alias("two"), "k", F.explode_outer(F.sequence(F.lit(0), F.col("n_keys") - 1)).alias("pos"))
+    at = F.when(F.col("pos") < F.col("m"), F.col("pos")).otherwise(F.col("pos") - F.col("m"))
+    both = lambda i: F.xxhash64(F.get("k", i), F.get("k", i + 1))
+    pair = (F.col("pos") < F.col("two")) | (F.col("pos") >= F.col("m"))
+    e = e.withColumn("key", F.when(F.size("k") <= 3, F.xxhash64("k", F.lit(0))).when(pair, both(at)).otherwise(F.xxhash64(both(at), both(at + 1))))
     place = F.least("pos", F.lit(_THREE - 1)).bitwiseOR(F.when(F.col("pos") >= F.col("two"), F.lit(_THREE)).otherwise(F.lit(0)))
     v = F.col("v").bitwiseOR(F.when(F.col("pos") < F.col("m"), place).otherwise(F.lit(0)).cast("long"))
     return e.select(v.alias("v"), F.coalesce(F.shiftrightunsigned("key", 16), F.lit(0)).alias("key"), "name", "bits")
@@ -231,18 +231,41 @@ def _met(e: DataFrame) -> DataFrame:
 
 
 def _worded(docs: DataFrame, ids: DataFrame, n: int, unique: bool) -> DataFrame:
-    """(name, line_no, at, w): positions and words of the n lines of ids (name, line_no)."""
+    """(name, line_no, at, w, s): positions, words and sketches, see ``_sketch``, of the n lines of ids (name, line_no)."""
     small = F.broadcast if n <= BROADCAST else lambda df: df
     name = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")) if unique else F.xxhash64("text")
     some = docs.select("doc_id", "text", name.alias("name")).join(small(ids.select("name").distinct()), "name", "left_semi")
     lines = _lines(some).withColumn("name", _name(unique)).join(small(ids), ["name", "line_no"], "left_semi")
-    return cut(lines.select("name", "line_no", F.struct(*POSITION).alias("at"), _words("line").alias("w")).distinct())
+    lines = lines.select("name", "line_no", F.struct(*POSITION).alias("at"), _words("line").alias("w"))
+    if not unique or not docs.where("doc_id is null").isEmpty():  # else no line comes twice
+        lines = lines.distinct()
+    return cut(lines.withColumn("s", _sketch("w")))
+
+
+def _sketch(w: str) -> Column:
+    """The number of words, and 128 bits, each the parity of the number of words whose hash falls on it."""
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
+    half = lambda i: F.aggregate(F.filter(w, lambda x: F.getbit(x, F.lit(6)) == i), F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(bit(x)))
+    return F.struct(F.size(w).alias("n"), half(0).alias("a"), half(1).alias("b"))
+
+
+def _may_be_alike(x: str, y: str) -> Column:
+    """Whether lines with sketches x and y may be similar: no more bits differ than words are in one only, and those are a ninth of all at most."""
+    n = F.col(f"{x}.n") + F.col(f"{y}.n")
+    differ = lambda c: F.bit_count(F.col(f"{x}.{c}").bitwiseXOR(F.col(f"{y}.{c}")))
+    return (F.least(f"{x}.n", f"{y}.n") * 5 >= F.greatest(f"{x}.n", f"{y}.n") * 4) & ((differ("a") + differ("b")) * 9 <= n)
 
 
 def _alike(x: str, y: str) -> Column:
     return F.size(F.array_intersect(x, y)) * 9 >= (F.size(x) + F.size(y)) * 4
 
 
+def _only(lines: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of lines whose (name, line_no) are among ids; it counts them first, to shuffle no words that none asks for."""
+    ids = cut(ids.distinct())
+    return lines.join(F.broadcast(ids) if ids.count() <= BROADCAST else ids, ["name", "line_no"], "left_semi")
+
+
 def _rest(docs: DataFrame, left: DataFrame, e: DataFrame, unique: bool) -> DataFrame | None:
     """The positions of the lines of left that an earlier line of e resembles, beyond the first of a key and the one before; None if no two fit.
 
@@ -266,9 +289,16 @@ def _rest(docs: DataFrame, left: DataFrame, e: DataFrame, unique: bool) -> DataF
     if not n:
         return None
     lines = _worded(docs, ids, n, unique)
-    worded = lambda some, c: some.withColumns({"name": F.col(f"{c}.name"), "line_no": line_no(c)}).join(lines, ["name", "line_no"]).select(f"key_{c}", c, F.col("at").alias(f"at_{c}"), F.col("w").alias(f"w_{c}"))
-    earlier = (F.col("key_x") == F.col("key_y")) & (F.col("at_y") < F.col("at_x")) & _fit("x.", "y.") & _alike("w_x", "w_y")
-    return cut(worded(x, "x").join(worded(y, "y"), earlier, "left_semi").select("at_x.*").distinct())
+    brief = lines.select("name", "line_no", "at", "s")
+    known = lambda some, c: some.select(f"key_{c}", F.struct(f"{c}.v", f"{c}.bits").alias(c), F.col(f"{c}.name").alias("name"), line_no(c)).join(brief, ["name", "line_no"])
+    known_as = lambda some, c: some.select(f"key_{c}", c, F.struct("name", "line_no").alias(f"id_{c}"), F.col("at").alias(f"at_{c}"), F.col("s").alias(f"s_{c}"))
+    earlier = (F.col("key_x") == F.col("key_y")) & (F.col("at_y") < F.col("at_x")) & _fit("x.", "y.") & _may_be_alike("s_x", "s_y")
+    x, y = (known_as(known(some, c), c) for some, c in ((x, "x"), (y, "y")))
+    x = cut(x.join(y, earlier, "left_semi"))
+    y = cut(y.join(x, earlier, "left_semi"))
+    lines = _only(lines, x.select("id_x.*").union(y.select("id_y.*"))).select(F.struct("name", "line_no").alias("id"), "at", "w")
+    worded = lambda some, c: some.join(lines.select(F.col("id").alias(f"id_{c}"), F.col("at").alias(f"at_{c}"), F.col("w").alias(f"w_{c}")), [f"id_{c}", f"at_{c}"])
+    return cut(worded(x, "x").join(worded(y, "y"), earlier & _alike("w_x", "w_y"), "left_semi").select("at_x.*").distinct())
 
 
 def _similar(docs: DataFrame, pairs: DataFrame, unique: bool) -> DataFrame | None:
@@ -284,11 +314,16 @@ def _similar(docs: DataFrame, pairs: DataFrame, unique: bool) -> DataFrame | Non
     if not n:
         return None
     lines = _worded(docs, ids, n, unique)
-    side = lambda c: lines.select(F.struct("name", "line_no").alias(c), F.col("at").alias(f"at_{c}"), F.col("w").alias(f"w_{c}"))
+    brief = lambda c: lines.select(F.struct("name", "line_no").alias(c), F.col("at").alias(f"at_{c}"), F.col("s").alias(f"s_{c}"))
+    pairs = pairs.join(brief("x"), "x").join(brief("y"), "y").where((F.col("at_x") != F.col("at_y")) & _may_be_alike("s_x", "s_y"))
+    pairs = cut(pairs.select("x", "y", "near").distinct())
+    side = lambda some, c: some.select(F.struct("name", "line_no").alias(c), F.col("at").alias(f"at_{c}"), F.col("w").alias(f"w_{c}"))
     later = F.when(F.col("at_x") > F.col("at_y"), F.col("at_x")).otherwise(F.col("at_y"))
 
     def found(some: DataFrame) -> DataFrame:
-        both = some.join(side("x"), "x").join(side("y"), "y").where((F.col("at_x") != F.col("at_y")) & _alike("w_x", "w_y"))
+        some = cut(some)
+        words = _only(lines, some.select("x.*").union(some.select("y.*")))
+        both = some.join(side(words, "x"), "x").join(side(words, "y"), "y").where((F.col("at_x") != F.col("at_y")) & _alike("w_x", "w_y"))
         return cut(both.select(later.alias("at")).distinct().select("at.*"))
 
     early = found(pairs.groupBy("x").agg(F.max_by("y", F.struct("near", "y")).alias("y")))
