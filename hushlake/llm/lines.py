@@ -24,7 +24,8 @@ POSITION = ["doc", "null_id", "th", "line_no"]
 
 
 def _full(line: Column) -> Column:
-    return F.trim(line, F.lit(" \t\x0b\x0c\r")) != ""
+    """Whether a line has a word; trimming its end too would walk through all of it."""
+    return F.ltrim(line, F.lit(" \t\x0b\x0c\r")) != ""
 
 
 def _plain(text: str) -> Column:
@@ -36,15 +37,16 @@ def _plain(text: str) -> Column:
     return F.when(found[0] | found[1] | found[2] | found[3], blanks).otherwise(lower)
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """(doc, null_id, th, line_no, line): the lines that aren't blank; doc is doc_id, null last, th tells rows of one doc_id apart."""
+def _lines(docs: DataFrame, blank: bool = False) -> DataFrame:
+    """(doc, null_id, th, line_no, line): the lines that aren't blank, or all; doc is doc_id, null last, th tells rows of one doc_id apart."""
     d = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), F.col("doc_id").isNull().alias("null_id"), F.xxhash64("text").alias("th"), _plain("text").alias("text"))
-    return d.select("doc", "null_id", "th", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(_full(F.col("line")))
+    lines = d.select("doc", "null_id", "th", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return lines if blank else lines.where(_full(F.col("line")))
 
 
 def _counter(h: Column) -> Column:
     """The counter of a word's hash."""
-    return h.bitwiseAND(F.lit(COUNTERS - 1)).cast("int")
+    return h.bitwiseAND(F.lit(COUNTERS - 1))
 
 
 def _rarity(docs: DataFrame) -> Column:
@@ -54,7 +56,7 @@ def _rarity(docs: DataFrame) -> Column:
     that share two rare words by chance stay in proportion to the input.
     """
     each = docs.select(F.explode(F.split(F.replace(F.lower(F.col("text").cast("string")), F.lit("\n"), F.lit(" ")), " ")).alias("w"))
-    n = each.groupBy(_counter(F.xxhash64("w")).alias("i")).count()
+    n = each.groupBy(_counter(F.xxhash64("w")).cast("int").alias("i")).count()
     level = F.least(F.floor(F.log2(F.col("count").cast("double")) * 4) + 1, F.lit(254)).cast("int")
     got, words = [0] * COUNTERS, 0
     for r in n.select("i", level.alias("level"), "count").collect():  # at most COUNTERS rows
@@ -72,10 +74,11 @@ def _words(line: str) -> Column:
 
 def _ordered(line: str, rarity: Column) -> Column:
     """The distinct words of a line, rare ones first, and among them ``_COMMON``, before the common ones: the level of the word's counter and 56 bits of its hash."""
-    hashed = F.array_remove(F.array_distinct(F.transform(F.split(line, " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
-    level = lambda x: F.coalesce(F.get(rarity, _counter(x)), F.lit(0))  # noqa: E731  # an array that can hold no null is sorted as plain longs
+    hashed = F.transform(F.split(line, " "), lambda w: F.xxhash64(w))
+    level = lambda x: F.coalesce(F.get(rarity, _counter(x)), F.lit(0).cast("long"))  # noqa: E731  # an array that can hold no null is sorted as plain longs
     code = lambda x: F.shiftleft(level(x), 56).bitwiseOR(F.shiftrightunsigned(x, 8))
-    return F.sort_array(F.concat(F.array_distinct(F.transform(hashed, code)), F.array(F.lit(_COMMON))))
+    words = F.array_remove(F.array_distinct(F.transform(hashed, code)), code(F.xxhash64(F.lit(""))))
+    return F.sort_array(F.concat(words, F.array(F.lit(_COMMON))))
 
 
 def _parity(k: str) -> Column:
@@ -116,9 +119,9 @@ def _entries(lines: DataFrame, rarity: Column, unique: bool) -> DataFrame:
     k = k.select("name", "rare", "k", m.alias("m"), _packed(n).alias("v"), _parity("k").alias("bits"), n_keys.alias("n_keys"))
     e = k.select("name", "v", "bits", "m", two.alias("two"), "k", F.explode_outer(F.sequence(F.lit(0), F.col("n_keys") - 1)).alias("pos"))
     at = F.when(F.col("pos") < F.col("m"), F.col("pos")).otherwise(F.col("pos") - F.col("m"))
-    both = lambda i: F.xxhash64(F.get("k", i), F.get("k", i + 1))
+    next_ = lambda *i: F.xxhash64(*[F.get("k", at + x) for x in i])
     pair = (F.col("pos") < F.col("two")) | (F.col("pos") >= F.col("m"))
-    e = e.withColumn("key", F.when(F.size("k") <= 3, F.xxhash64("k", F.lit(0))).when(pair, both(at)).otherwise(F.xxhash64(both(at), both(at + 1))))
+    e = e.withColumn("key", F.when(F.size("k") <= 3, F.xxhash64("k", F.lit(0))).when(pair, next_(0, 1)).otherwise(next_(0, 1, 2)))
     place = F.least("pos", F.lit(_THREE - 1)).bitwiseOR(F.when(F.col("pos") >= F.col("two"), F.lit(_THREE)).otherwise(F.lit(0)))
     v = F.col("v").bitwiseOR(F.when(F.col("pos") < F.col("m"), place).otherwise(F.lit(0)).cast("long"))
     return e.select(v.alias("v"), F.coalesce(F.shiftrightunsigned("key", 16), F.lit(0)).alias("key"), "name", "bits")
@@ -235,7 +238,7 @@ def _worded(docs: DataFrame, ids: DataFrame, n: int, unique: bool) -> DataFrame:
     small = F.broadcast if n <= BROADCAST else lambda df: df
     name = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")) if unique else F.xxhash64("text")
     some = docs.select("doc_id", "text", name.alias("name")).join(small(ids.select("name").distinct()), "name", "left_semi")
-    lines = _lines(some).withColumn("name", _name(unique)).join(small(ids), ["name", "line_no"], "left_semi")
+    lines = _lines(some, blank=True).withColumn("name", _name(unique)).join(small(ids), ["name", "line_no"], "left_semi")  # none of ids is blank
     lines = lines.select("name", "line_no", F.struct(*POSITION).alias("at"), _words("line").alias("w"))
     if not unique or not docs.where("doc_id is null").isEmpty():  # else no line comes twice
         lines = lines.distinct()
